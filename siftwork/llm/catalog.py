@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("lookalike", "reports")
+MODULES = ("lookalike", "reports", "near")
 
 
 def _merged(name: str) -> dict:
