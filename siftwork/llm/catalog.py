@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("lookalike", "reports", "near", "neighbours", "consensus")
+MODULES = ("lookalike", "reports", "near", "neighbours", "consensus", "bpe")
 
 
 def _merged(name: str) -> dict:
