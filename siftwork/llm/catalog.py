@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("lookalike", "reports", "near", "neighbours", "consensus", "bpe", "sentences")
+MODULES = ("lookalike", "reports", "near", "neighbours", "consensus", "bpe", "sentences", "leaks")
 
 
 def _merged(name: str) -> dict:
