@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from siftwork.session import checkpointed, table
 
 #: Rows a cell should hold, rows of the sample that the splits are fitted on, and leaves at most.
-CELL, SAMPLE, LEAVES = 4096, 1 << 16, 4096
+CELL, SAMPLE, LEAVES = 8192, 1 << 16, 4096
+#: Rows of the table of repeated vectors up to which it is broadcast.
+DUPS = 200_000
 PROJECTIONS, SLACK, STOP = 6, 2.0, 0.75
 QUERIES_AT_ONCE = 2048
 
@@ -89,7 +91,7 @@ class Tree:
 
 
 def usable(df: DataFrame, key: str, vector: str, order: str, dim: int) -> DataFrame:
-    """``key, id, q``: the newest usable vector of each key, packed. ``order`` is unique.
+    """``key, id, q, c``: the newest usable vector of each key, packed, and a digest of it. ``order`` is unique.
 
     Usable are vectors of ``dim`` finite numbers of which one is not zero.
     """
@@ -100,11 +102,12 @@ def usable(df: DataFrame, key: str, vector: str, order: str, dim: int) -> DataFr
         for b in batches:
             if len(b):
                 q = pack(np.stack(b["v"].to_numpy()).astype(np.float64))
-                yield pd.DataFrame({"key": b["key"], "id": b["id"], "q": [x.tobytes() for x in q]})
+                q = [x.tobytes() for x in q]
+                yield pd.DataFrame({"key": b["key"], "id": b["id"], "q": q})
 
     rows = df.filter(F.col(key).isNotNull() & F.col(order).isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col(key).alias("key"), F.col(order).cast("long").alias("id"), v.alias("v"))
     packed = rows.mapInPandas(run, "key string, id bigint, q binary")
-    return packed.groupBy("key").agg(F.max("id").alias("id"), F.max_by("q", "id").alias("q"))
+    return packed.groupBy("key").agg(F.max("id").alias("id"), F.max_by("q", "id").alias("q")).withColumn("c", F.unhex(F.md5("q")))
 
 
 def _search(index_id: np.ndarray, index: np.ndarray, ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,23 +181,24 @@ def _cells(rows: DataFrame, dim: int, k: int) -> DataFrame:
     return placed.mapInPandas(run, "id bigint, q binary, ids array<bigint>, sims array<float>")
 
 
-def nearest(vectors: DataFrame, k: int, min_cosine: float = -1.0, dim: int = 64, asking=None, m: int = PROJECTIONS, slack: float = SLACK, stop: float = STOP, cell: int = CELL) -> DataFrame:
+def nearest(vectors: DataFrame, names: DataFrame, k: int, min_cosine: float = -1.0, dim: int = 64, asking=None, m: int = PROJECTIONS, slack: float = SLACK, stop: float = STOP, cell: int = CELL) -> DataFrame:
     """``key, neighbour, cosine, rank``: up to ``k`` other keys of highest cosine per key.
 
-    ``vectors`` comes from :func:`usable`. ``min_cosine`` leaves out what lies below it and so
+    ``vectors`` comes from :func:`usable`, ``names`` has the ``key`` of each ``id``. ``min_cosine`` leaves out what lies below it and so
     bounds the search; ``asking``, a condition on ``key`` and ``id``, restricts who asks, not what is
     searched. Ties go to the smaller ``id``. Cosines are of the packed vectors, off by about 0.0001.
     An empty table gives an empty result, a table of one key no neighbours.
     """
-    spark = vectors.sparkSession
-    sc = spark.sparkContext
-    vectors = checkpointed(vectors)
-    asks = asking if asking is not None else F.lit(True)
-    # Equal vectors: the first k + 1 of a class stand for it; one of them is indexed.
-    ranked = vectors.withColumn("rn", F.row_number().over(W.partitionBy("q").orderBy("id"))).filter(F.col("rn") <= k + 1)
-    reps = ranked.groupBy("q").agg(F.min("id").alias("id"), F.sort_array(F.collect_list("id")).alias("mates"))
-    asked = vectors.withColumn("a", asks).groupBy("q").agg(F.max("a").alias("a"))
-    reps = checkpointed(reps.join(asked, "q"))
+    sc = vectors.sparkSession.sparkContext
+    slim = checkpointed(vectors.select("id", "q", "c", (asking if asking is not None else F.lit(True)).alias("a")))
+    # Equal vectors: one of a class is indexed, and the first k + 1 stand for it as neighbours.
+    ids = slim.select("c", "id")
+    first_of = ids.groupBy("c").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("c", "rep")
+    repeated = checkpointed(ids.withColumnRenamed("id", "mate").join(first_of, "c").select("rep", "mate"))
+    dups = repeated.select(F.col("mate").alias("id"), (F.col("rep") == F.col("mate")).alias("is_rep"))
+    dups = F.broadcast(dups) if repeated.count() <= DUPS else dups
+    reps = slim.join(dups, "id", "left").filter("is_rep IS NULL OR is_rep").select("id", "q", (F.col("a") | F.col("is_rep").isNotNull()).alias("a"))
+    mates = repeated.withColumn("rn", F.row_number().over(W.partitionBy("rep").orderBy("mate"))).filter(F.col("rn") <= k + 1).select(F.col("rep").alias("id"), "mate")
     n = reps.count()
     g = directions(dim, m)
 
@@ -252,26 +256,28 @@ def nearest(vectors: DataFrame, k: int, min_cosine: float = -1.0, dim: int = 64,
     hits = hits.select("id", F.explode(F.arrays_zip("ids", "sims")).alias("z")).select("id", F.col("z.ids").alias("other"), F.col("z.sims").alias("cosine"))
     top = hits.withColumn("rn", F.row_number().over(W.partitionBy("id").orderBy(F.desc("cosine"), "other"))).filter(F.col("rn") <= k)
     # From representatives back to all keys, a class's own mates first.
-    mates = reps.select("id", "mates")
-    others = top.select("id", "other", "cosine").join(mates.withColumnRenamed("id", "other"), "other").select("id", F.explode("mates").alias("n"), "cosine")
-    lists = others.unionByName(mates.filter(F.size("mates") > 1).select("id", F.explode("mates").alias("n"), F.lit(1.0).alias("cosine")))
-    classes = vectors.filter(asks).join(reps.select("q", F.col("id").alias("rep")), "q").select("id", "rep", "key")
-    full = classes.join(lists.select(F.col("id").alias("rep"), "n", "cosine"), "rep").filter("n <> id")
+    others = top.select("id", "other", "cosine").join(mates.withColumnRenamed("id", "other"), "other", "left").select("id", F.coalesce("mate", "other").alias("n"), "cosine")
+    lists = others.unionByName(mates.select("id", F.col("mate").alias("n"), F.lit(1.0).alias("cosine")))
+    full = lists.join(repeated.withColumnRenamed("rep", "id").withColumnRenamed("mate", "member"), "id", "left").select(F.coalesce("member", "id").alias("id"), "n", "cosine").filter("n <> id")
     full = full.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.desc("cosine"), "n"))).filter(F.col("rank") <= k)
-    names = vectors.select(F.col("id").alias("n"), F.col("key").alias("neighbour"))
-    return full.join(names, "n").select("key", "neighbour", F.col("cosine").cast("double").alias("cosine"), "rank")
+    named = full.join(names.filter(asking) if asking is not None else names, "id").join(names.select(F.col("id").alias("n"), F.col("key").alias("neighbour")), "n")
+    return named.select("key", "neighbour", F.col("cosine").cast("double").alias("cosine"), "rank")
+
+
+def cache_neighbours(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    t = table(spark, sf_dir, "embedding_cache")
+    names = t.select(F.col("line_no").alias("id"), F.col("cache_key").alias("key"))
+    return nearest(usable(t, "cache_key", "value", "line_no", 64), names, 5, **options)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = usable(table(spark, sf_dir, "embedding_cache"), "cache_key", "value", "line_no", 64)
-    found = nearest(v, 5, min_cosine=0.90)
+    found = cache_neighbours(spark, sf_dir, min_cosine=0.90)
     return found.select(F.least("key", "neighbour").alias("key_a"), F.greatest("key", "neighbour").alias("key_b")).distinct()
 
 
 def p3_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest keys without a floor, for every row whose line_no is divisible by 100, among all rows."""
-    v = usable(table(spark, sf_dir, "embedding_cache"), "cache_key", "value", "line_no", 64)
-    return nearest(v, 5, asking=F.col("id") % 100 == 0).withColumn("cosine", F.round("cosine", 2))
+    return cache_neighbours(spark, sf_dir, asking=F.col("id") % 100 == 0).withColumn("cosine", F.round("cosine", 2))
 
 
 SQL = {
