@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("packed",)
+MODULES: tuple[str, ...] = ("records", "clusters", "evaluation", "packed")
 
 
 def _merged(name: str) -> dict:
