@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siftwork.llm.form import by_distinct, one_form
 from siftwork.operators.groups import connected_components, pairs_within
-from siftwork.session import table
+from siftwork.session import checkpointed, table
 
 DASHES = "-‐‑‒–—―−"
 #: What stands before a label and what stands after it, in one form.
@@ -74,7 +74,7 @@ def fingerprints(df: DataFrame, key: str, text: str) -> DataFrame:
     and the halves of the hashes are added up, so the order of the fields has no part in it. It
     is null where the text is not made of labelled fields.
     """
-    p = df.select(F.col(key).alias("key"), parsed_column(text).alias("p")).filter(F.col("p.plain") != "")
+    p = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), parsed_column(text).alias("p")).filter(F.col("p.plain") != "")
     hashes = F.transform("p.fields", lambda f: F.xxhash64(f["name"], F.lit("\u0000"), f["value"]))
     low = F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + h.bitwiseAND(F.lit(0x7FFFFFFF)))
     high = F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + F.shiftrightunsigned(h, 33))
@@ -103,7 +103,7 @@ def verified(prints: DataFrame) -> DataFrame:
 
 def same_reports(df: DataFrame, key: str, text: str) -> DataFrame:
     """Pairs of keys that hold one report; null and blank texts, or texts without letters and digits, are no case."""
-    v = verified(fingerprints(df, key, text))
+    v = checkpointed(verified(checkpointed(fingerprints(df, key, text))))
     by_text = pairs_within(v.select("plain_key", "key"), ["plain_key"], "key").select("key_a", "key_b")
     by_field = pairs_within(v.select("field_class", "plain_key", "key"), ["field_class"], "key", "plain_key").select("key_a", "key_b")
     return by_text.unionByName(by_field).distinct()
@@ -112,13 +112,13 @@ def same_reports(df: DataFrame, key: str, text: str) -> DataFrame:
 def collapse(df: DataFrame, key: str, text: str, sources: str) -> DataFrame:
     """One row per report: its smallest key, the rows and the distinct source ids it stands for.
 
-    Rows without letters and digits stand for themselves. The classes are the components over
+    Rows without letters and digits stand for themselves, rows without a key for nothing. The classes are the components over
     both kinds of equality, each row tied to the first row of its groups.
     """
-    v = verified(fingerprints(df, key, text))
+    v = checkpointed(verified(checkpointed(fingerprints(df, key, text))))
     ties = [v.dropna(subset=[c]).join(v.dropna(subset=[c]).groupBy(c).agg(F.min("key").alias("first")), c).select("key", "first") for c in ("plain_key", "field_class")]
     classes = connected_components(ties[0].unionByName(ties[1]), "key", "first")
-    tagged = df.select(F.col(key).alias("key"), F.col(sources).alias("src")).join(classes, F.col("key") == F.col("node"), "left").select(F.coalesce("component", "key").alias("report_id"), "key", "src")
+    tagged = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(sources).alias("src")).join(classes, F.col("key") == F.col("node"), "left").select(F.coalesce("component", "key").alias("report_id"), "key", "src")
     rows = tagged.groupBy("report_id").agg(F.count(F.lit(1)).alias("n_rows"))
     ids = tagged.select("report_id", F.explode_outer("src").alias("s")).distinct().groupBy("report_id").agg(F.count("s").alias("n_source_ids"))
     return rows.join(ids, "report_id")
