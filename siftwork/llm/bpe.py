@@ -106,7 +106,8 @@ def encoder(data: bytes):
 
 
 def encode_texts(df: DataFrame, key: str, text: str, vocabulary: str | None = None) -> DataFrame:
-    """``key, ids`` of every row. Null and empty texts give an empty list; no special tokens.
+    """``key, ids`` of every row. Null and empty texts give an empty list; no special tokens. Rows
+    without a key are left out.
 
     What looks like a special token is ordinary text. The vocabulary is one file of fixed size,
     read once and sent to the workers.
@@ -123,7 +124,7 @@ def encode_texts(df: DataFrame, key: str, text: str, vocabulary: str | None = No
                 part = b.iloc[s : s + 1000]
                 yield pd.DataFrame({key: part[key], "ids": [np.frombuffer(x, np.int32) if len(x := encode(t)) else np.empty(0, np.int32) for t in part[text]]})
 
-    return df.select(key, text).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, ids array<int>")
+    return df.select(key, text).filter(F.col(key).isNotNull()).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, ids array<int>")
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

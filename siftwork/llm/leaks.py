@@ -164,7 +164,7 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str,
     """``key, item, start_at, stop_at``: merged spans of the reduced document that an item shares.
 
     Every span is a stretch of at least ``run`` letters and digits, each window of which stands in
-    the item. Null and blank texts and items shorter than ``run`` share nothing; equal items are all
+    the item. Rows without a key, null and blank texts and items shorter than ``run`` share nothing; equal items are all
     reported. The items are a set of bounded size: they are sent to the workers in passes of at most
     ``ITEMS_AT_ONCE`` characters.
     """
@@ -216,7 +216,7 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str,
             if held:
                 yield search(held)
 
-        found = docs.select(key, text).filter(F.col(text).isNotNull()).mapInPandas(scan, schema)
+        found = docs.select(key, text).filter(F.col(text).isNotNull() & F.col(key).isNotNull()).mapInPandas(scan, schema)
         out = found if out is None else out.unionByName(found)
     return out
 

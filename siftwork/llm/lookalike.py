@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftwork.llm.form import form_column
 from siftwork.operators.groups import pairs_within
-from siftwork.session import table
+from siftwork.session import checkpointed, table
 
 
 def field_texts(spark: SparkSession, sf_dir: str, fields: dict[str, tuple[str, str]]) -> DataFrame:
@@ -38,7 +38,7 @@ def lookalike_pairs(texts: DataFrame) -> DataFrame:
     pair. Groups are joined on a digest of the form, in blocks.
     """
     formed = forms(texts.filter(F.col("text").isNotNull())).filter(F.col("form") != "")
-    small = formed.select("field_name", "key", F.unhex(F.md5("form")).alias("g"), F.unhex(F.md5("text")).alias("v"))
+    small = checkpointed(formed.select("field_name", "key", F.unhex(F.md5("form")).alias("g"), F.unhex(F.md5("text")).alias("v")))
     return pairs_within(small, ["field_name", "g"], "key", "v").select("field_name", "key_a", "key_b").distinct()
 
 

@@ -74,7 +74,7 @@ def token_sets(texts: DataFrame) -> DataFrame:
             out = pd.DataFrame({"field_name": b["field_name"].to_numpy(), "key": b["key"].to_numpy(), "digest": [hashlib.md5(x.tobytes()).digest() for x in sets], "tokens": sets})
             yield out[[len(x) > 0 for x in sets]]
 
-    return texts.filter("text IS NOT NULL").mapInPandas(run, "field_name string, key string, digest binary, tokens array<bigint>")
+    return texts.filter("text IS NOT NULL AND key IS NOT NULL").mapInPandas(run, "field_name string, key string, digest binary, tokens array<bigint>")
 
 
 def _summed(df: DataFrame, run) -> np.ndarray:

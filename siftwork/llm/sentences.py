@@ -35,7 +35,7 @@ _BLANK = re.compile(rf"{BREAK}[^\S\n\r]*(?:{BREAK}\s*)+")
 _BREAK = re.compile(BREAK)
 _MARKER = re.compile(r"[^\S\n\r]*(?:(\d{1,3})\.(?!\d)|\d{1,3}[)）]|[(（]\d{1,3}[)）]|[①-⑳]|[-*](?=\s)|•)")
 _MARKS = re.compile(f"[{re.escape(STRONG + DOTS)}…⋯]+")
-_OPEN = re.compile("[" + re.escape("".join(PAIRS) + '"') + "]")
+_OPEN = re.compile("[" + re.escape("".join({*PAIRS, *PAIRS.values(), '"'})) + "]")
 _THAI = re.compile(r"(?<=[ก-ฺเ-๎])[^\S\n\r\x0b\x0c\x85  ]+(?=[ก-ฺเ-๎])")
 _BEFORE = re.compile(r"(?<![^\W\d_])(?:[^\W\d_]\.)+[^\W\d_]$|[^\W\d_](?:[^\W_]|[̀-ͯऀ-෿])*$")
 _CJK = re.compile(r"[⺀-鿿가-힯豈-﫿ｦ-ﾟ]")
@@ -43,27 +43,34 @@ _NEXT = re.compile(r"\s*([\"“„«‹「『(（\[]*)\s*([^\W\d_][^\W\d_̀-ͯ]*
 
 
 def covered(text: str) -> list[tuple[int, int]]:
-    """Disjoint spans within paired quotes or brackets; an opener that never closes covers nothing."""
-    out, i = [], 0
-    while m := _OPEN.search(text, i):
-        at, ch = m.start(), m[0]
-        if ch == '"':
-            end = text.find('"', at + 1)
-        else:
-            close, depth, end, j = PAIRS[ch], 0, -1, at
-            other = re.compile(f"[{re.escape(ch + close)}]") if ch != close else None
-            for x in other.finditer(text, at):
-                depth += 1 if x[0] == ch else -1
-                if not depth:
-                    end = x.start()
+    """Disjoint spans within paired quotes or brackets; an opener that never closes covers nothing.
+
+    One pass with a stack: a closing mark ends the last open mark of its kind and drops what was
+    opened inside it and not closed.
+    """
+    spans: list[tuple[int, int]] = []
+    stack: list[tuple[str, int]] = []
+    waiting: Counter = Counter()
+    for m in _OPEN.finditer(text):
+        ch = m[0]
+        close = '"' if ch == '"' else ch
+        if waiting[close]:
+            while True:
+                want, at = stack.pop()
+                waiting[want] -= 1
+                if want == close:
                     break
-            if end < 0 and ch == "“":
-                end = -1
-        if end < 0:
-            i = at + 1
-        else:
-            out.append((at, end))
-            i = end + 1
+            spans.append((at, m.start()))
+        elif ch == '"' or ch in PAIRS:
+            want = '"' if ch == '"' else PAIRS[ch]
+            stack.append((want, m.start()))
+            waiting[want] += 1
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if not out or a > out[-1][1]:
+            out.append((a, b))
+        elif b > out[-1][1]:
+            out[-1] = (out[-1][0], b)
     return out
 
 
@@ -241,11 +248,11 @@ def corpus_words(docs: DataFrame) -> DataFrame:
 def split_documents(docs: DataFrame, key: str, text: str, sent: int = SENT) -> DataFrame:
     """``key, start_at, stop_at`` of every sentence of every document.
 
-    Null, empty and blank texts have none. Corpus words are broadcast while there are at most
+    Null, empty and blank texts have none, nor have rows without a key. Corpus words are broadcast while there are at most
     ``sent`` of them; beyond that each document is joined with the corpus words it holds.
     """
     kind = dict(docs.dtypes)[key]
-    d = docs.select(F.col(key), F.col(text).alias("text")).filter(F.col("text").isNotNull())
+    d = docs.select(F.col(key), F.col(text).alias("text")).filter(F.col("text").isNotNull() & F.col(key).isNotNull())
     both = checkpointed(corpus_words(d))
     schema = f"{key} {kind}, start_at int, stop_at int"
     sets = ("never", "may", "opens")
