@@ -11,7 +11,7 @@ from siftwork.operators import correspondence as R
 from siftwork.operators import topics as K
 from siftwork.operators import vectors as X
 from siftwork.plans.records import UNITS, channel_inputs_union, n_, s_, units
-from siftwork.session import table
+from siftwork.session import checkpointed, table
 from siftwork.sources.tables import cached_vectors
 
 DIM = 64
@@ -82,7 +82,7 @@ def missing_channel_labels(spark, d):
 
 
 def _cells(spark, d):
-    v = vectors(spark, d)
+    v = checkpointed(vectors(spark, d).select("cache_key", "label", "other"))
     return R.contingency(R.joined_labels(v, v, "cache_key", "label", "other"))
 
 
@@ -99,11 +99,11 @@ def cluster_profiles(spark, d):
 
 
 def clustering_agreement(spark, d):
-    return round_all(R.agreement(_cells(spark, d)).drop("ami"))
+    return round_all(R.agreement(checkpointed(_cells(spark, d))).drop("ami"))
 
 
 def adjusted_mutual_information(spark, d):
-    return round_all(R.agreement(_cells(spark, d)).select("n_records", "ami"))
+    return round_all(R.agreement(checkpointed(_cells(spark, d))).select("n_records", "ami"))
 
 
 def _labelled(spark, d):
@@ -158,7 +158,7 @@ def representative_parent(spark, d):
 
 
 def _topics(spark, d):
-    c = X.centroids(vectors(spark, d), ["topic"], "value", DIM)
+    c = checkpointed(X.centroids(vectors(spark, d), ["topic"], "value", DIM))
     return c.select(F.format_string("K%04d", "topic").alias("topic_id"), (F.col("topic") % 3).alias("parent"), "centroid")
 
 
@@ -171,7 +171,7 @@ def rule_comparison(spark, d):
 
 
 def provisional_groups(spark, d):
-    p = K.candidate_pairs(_topics(spark, d))
+    p = checkpointed(K.candidate_pairs(_topics(spark, d)))
     return round_all(K.group_summary(K.maximal_cliques(p.filter("mutual OR high"), "key_a", "key_b"), p), 5)
 
 
@@ -240,10 +240,10 @@ SQL = {
     "contingency": f"WITH {VEC}, {CELLS} SELECT a, b, n, n_a, n_b, round(share_a, 6) AS share_a, round(share_b, 6) AS share_b, dominant_a, dominant_b, mutual, ties_a, ties_b FROM cells",
     "tie_aware_summary": f"WITH {VEC}, {CELLS}, z AS (SELECT *, dominant_a AND b = min(b) FILTER (dominant_a) OVER (PARTITION BY a) AS single_a FROM cells) SELECT sum(n)::BIGINT AS n_records, count(DISTINCT a) AS n_a_clusters, count(DISTINCT b) AS n_b_clusters, sum(n) FILTER (single_a)::BIGINT AS dominant_records, count(*) FILTER (mutual) AS mutual_pairs, coalesce(sum(n) FILTER (mutual), 0)::BIGINT AS mutual_records, count(DISTINCT a) FILTER (ties_a > 1) AS tied_a, count(DISTINCT b) FILTER (ties_b > 1) AS tied_b FROM z",
     "cluster_profiles": f"WITH {VEC}, {CELLS} SELECT a, sum(n)::BIGINT AS n, count(*) AS n_partners, arg_min(b, row(-n, b)) AS dominant, round(max(share_a), 6) AS dominant_share, round(CASE WHEN count(*) > 1 THEN -sum(share_a * ln(share_a)) / ln(count(*)) ELSE 0 END, 6) AS normalized_entropy FROM cells GROUP BY 1",
-    "clustering_agreement": f"""WITH {VEC}, {CELLS}, t AS (SELECT sum(n)::DOUBLE AS N FROM cells), ma AS (SELECT DISTINCT a, n_a FROM cells), mb AS (SELECT DISTINCT b, n_b FROM cells),
- x AS (SELECT -sum(n_a / N * ln(n_a / N)) AS h_a, sum(n_a * (n_a - 1) / 2.0) AS pa FROM ma, t), y AS (SELECT -sum(n_b / N * ln(n_b / N)) AS h_b, sum(n_b * (n_b - 1) / 2.0) AS pb FROM mb, t), z AS (SELECT sum(n / N * ln(n * N / (n_a * n_b::DOUBLE))) AS mi, sum(n * (n - 1) / 2.0) AS pp FROM cells, t),
- r AS (SELECT *, mi / h_a AS hom, mi / h_b AS com, pa * pb / (N * (N - 1) / 2) AS e FROM x, y, z, t)
- SELECT N::BIGINT AS n_records, round(h_a, 6) AS h_a, round(h_b, 6) AS h_b, round(mi, 6) AS mi, round(hom, 6) AS homogeneity, round(com, 6) AS completeness, round(2 * hom * com / (hom + com), 6) AS v_measure, round(mi / ((h_a + h_b) / 2), 6) AS nmi, round((pp - e) / ((pa + pb) / 2 - e), 6) AS ari FROM r""",
+    "clustering_agreement": f"""WITH {VEC}, {CELLS}, t AS (SELECT sum(n)::DOUBLE AS tot FROM cells), ma AS (SELECT DISTINCT a, n_a FROM cells), mb AS (SELECT DISTINCT b, n_b FROM cells),
+ x AS (SELECT -sum(n_a / tot * ln(n_a / tot)) AS h_a, sum(n_a * (n_a - 1) / 2.0) AS pa FROM ma, t), y AS (SELECT -sum(n_b / tot * ln(n_b / tot)) AS h_b, sum(n_b * (n_b - 1) / 2.0) AS pb FROM mb, t), z AS (SELECT sum(n / tot * ln(n * tot / (n_a * n_b::DOUBLE))) AS mi, sum(n * (n - 1) / 2.0) AS pp FROM cells, t),
+ r AS (SELECT *, mi / h_a AS hom, mi / h_b AS com, pa * pb / (tot * (tot - 1) / 2) AS e FROM x, y, z, t)
+ SELECT tot::BIGINT AS n_records, round(h_a, 6) AS h_a, round(h_b, 6) AS h_b, round(mi, 6) AS mi, round(hom, 6) AS homogeneity, round(com, 6) AS completeness, round(2 * hom * com / (hom + com), 6) AS v_measure, round(mi / ((h_a + h_b) / 2), 6) AS nmi, round((pp - e) / ((pa + pb) / 2 - e), 6) AS ari FROM r""",
     "parent_inherited_join": f"WITH {LAB} SELECT parent AS a, cluster_id AS b, count(*) AS n FROM s GROUP BY 1, 2",
     "assignment_review": f"WITH {LAB} SELECT record_id, cluster_id, count(*) OVER (PARTITION BY cluster_id) AS cluster_size, scene, CASE WHEN cluster_id >= 0 THEN 0 ELSE 3 END AS sort_group FROM s",
     "cluster_top5": f"WITH {LAB}, r AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY record_id) <= 5) SELECT cluster_id, string_agg(record_id, ',' ORDER BY record_id) AS samples FROM r GROUP BY 1",

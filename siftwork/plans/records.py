@@ -10,7 +10,7 @@ from siftwork.operators import channels as C
 from siftwork.operators import dedup as D
 from siftwork.operators import voting as V
 from siftwork.operators.ordinal import batches
-from siftwork.session import table
+from siftwork.session import checkpointed, table
 
 MODELS = ["lm-aster", "lm-birch", "lm-cedar", "lm-dahlia", "lm-elm", "lm-fern", "lm-gorse"]
 
@@ -112,7 +112,7 @@ def text_helpers(spark, d):
 
 
 def unit_dedupe_audit(spark, d):
-    return D.unit_audit(units(spark, d), D.canonical_groups(raw(spark, d)))
+    return D.unit_audit(checkpointed(units(spark, d)), D.canonical_groups(raw(spark, d)))
 
 
 def unit_dedupe(spark, d):
@@ -120,8 +120,8 @@ def unit_dedupe(spark, d):
 
 
 def consolidate_units(spark, d):
-    u = units(spark, d)
-    g = D.canonical_groups(raw(spark, d))
+    u = checkpointed(units(spark, d))
+    g = checkpointed(D.canonical_groups(raw(spark, d)))
     kept = D.unit_audit(u, g).filter("is_kept_unit").select("record_id")
     return D.consolidate(g, u.join(kept, "record_id", "left_semi"))
 
@@ -154,12 +154,12 @@ def batch_assignment(spark, d):
 
 
 def candidate_groups(spark, d):
-    c = V.candidate_groups(candidates(spark, d), "raw_record_id", "source_model", "finding", ["cand_pos", "candidate_id"])
+    c = V.candidate_groups(checkpointed(candidates(spark, d)), "raw_record_id", "source_model", "finding", ["cand_pos", "candidate_id"])
     return c.select("candidate_id", "raw_record_id", "group_index")
 
 
 def vote_extraction(spark, d):
-    c = V.candidate_groups(candidates(spark, d), "raw_record_id", "source_model", "finding", ["cand_pos", "candidate_id"])
+    c = V.candidate_groups(checkpointed(candidates(spark, d)), "raw_record_id", "source_model", "finding", ["cand_pos", "candidate_id"])
     return V.vote(c, ["raw_record_id", "group_index"], "source_model", ["finding", "objects", "scene"], ["cand_pos", "candidate_id"], ["candidate_id", "finding", "scene"])
 
 
