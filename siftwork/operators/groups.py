@@ -15,14 +15,21 @@ def pairs_within(members: DataFrame, group: list[str], key: str, variant: str |
     """All pairs ``key_a < key_b`` of members that share ``group``.
 
     ``members`` has one row per member with the columns ``group``, ``key`` and, if given,
-    ``variant``; with ``variant`` only pairs of unlike variants come out. Groups of one member are
-    dropped before the join. A large group is cut into blocks by a hash of the key, and each block
-    meets each other block as a join key of its own, so that no task holds more than two blocks.
+    ``variant``; with ``variant`` only pairs of unlike variants come out: the variants of a group are
+    paired first and their members joined on, so a group of copies costs no more than it yields.
+    Groups of one member are dropped before the join. A large group is cut into blocks by a hash
+    of the key, and each block meets each other block as a join key of its own, so that no task
+    holds more than two blocks.
 
-    Null groups or keys take part in nothing; an empty input gives an empty result.
+    Null groups, keys or variants take part in nothing; an empty input gives an empty result.
     """
-    cols = [*group, key] + ([variant] if variant else [])
-    base = members.select(*cols).dropna(subset=[*group, key])
+    if variant:
+        base = members.select(*group, F.col(key).alias("_k"), F.col(variant).alias("_v")).dropna()
+        unlike = pairs_within(base.select(*group, "_v").distinct(), group, "_v", block=block)
+        sides = [base.select(*group, F.col("_v").alias(f"key_{s}"), F.col("_k").alias(f"_{s}")) for s in "ab"]
+        both = unlike.join(sides[0], [*group, "key_a"]).join(sides[1], [*group, "key_b"]).filter("_a <> _b")
+        return both.select(*group, F.least("_a", "_b").alias("key_a"), F.greatest("_a", "_b").alias("key_b")).distinct()
+    base = members.select(*group, key).dropna()
     sizes = base.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     blocks = F.ceil(F.col("_n") / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64(key), F.col("_b")).cast("int")
@@ -35,10 +42,8 @@ def pairs_within(members: DataFrame, group: list[str], key: str, variant: str |
         .withColumn("_hi", F.greatest("_c", "_o"))
         .drop("_n", "_b", "_o")
     )
-    left, right = (spread.select(*group, "_lo", "_hi", F.col("_c").alias(f"_c{s}"), F.col(key).alias(f"key_{s}"), *([F.col(variant).alias(f"_v{s}")] if variant else [])) for s in "ab")
+    left, right = (spread.select(*group, "_lo", "_hi", F.col("_c").alias(f"_c{s}"), F.col(key).alias(f"key_{s}")) for s in "ab")
     on = left.join(right, [*group, "_lo", "_hi"]).filter((F.col("key_a") < F.col("key_b")) & ((F.col("_lo") == F.col("_hi")) | (F.col("_ca") != F.col("_cb"))))
-    if variant:
-        on = on.filter(~F.col("_va").eqNullSafe(F.col("_vb")))
     return on.select(*group, "key_a", "key_b")
 
 
