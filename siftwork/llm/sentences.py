@@ -252,14 +252,14 @@ def split_documents(docs: DataFrame, key: str, text: str, sent: int = SENT) -> D
     ``sent`` of them; beyond that each document is joined with the corpus words it holds.
     """
     kind = dict(docs.dtypes)[key]
-    d = docs.select(F.col(key), F.col(text).alias("text")).filter(F.col("text").isNotNull() & F.col(key).isNotNull())
+    d = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).filter(F.col("text").isNotNull() & F.col(key).isNotNull())
     both = checkpointed(corpus_words(d))
-    schema = f"{key} {kind}, start_at int, stop_at int"
+    schema = f"_key {kind}, start_at int, stop_at int"
     sets = ("never", "may", "opens")
 
     def rows(b: pd.DataFrame, words) -> pd.DataFrame:
-        out = [(k, s, e) for k, t, w in zip(b[key], b["text"], words, strict=True) for s, e in sentences(t, *w)]
-        return pd.DataFrame(out, columns=[key, "start_at", "stop_at"])
+        out = [(k, s, e) for k, t, w in zip(b["_key"], b["text"], words, strict=True) for s, e in sentences(t, *w)]
+        return pd.DataFrame(out, columns=["_key", "start_at", "stop_at"])
 
     few = both.limit(sent + 1).toPandas()
     if len(few) <= sent:
@@ -271,20 +271,20 @@ def split_documents(docs: DataFrame, key: str, text: str, sent: int = SENT) -> D
                     part = b.iloc[s : s + 500]
                     yield rows(part, [shared.value] * len(part))
 
-        return d.mapInPandas(run, schema)
+        return d.mapInPandas(run, schema).withColumnRenamed("_key", key)
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(k, w) for k, t in zip(b[key], b["text"], strict=True) for w in {x for _, _, p, _, n in dots(t) for x in (p, n) if x}]
-            yield pd.DataFrame(out, columns=[key, "word"])
+            out = [(k, w) for k, t in zip(b["_key"], b["text"], strict=True) for w in {x for _, _, p, _, n in dots(t) for x in (p, n) if x}]
+            yield pd.DataFrame(out, columns=["_key", "word"])
 
-    held = d.mapInPandas(words, f"{key} {kind}, word string").join(both, "word").groupBy(key).agg(*[F.collect_set(F.when(F.col("k") == k, F.col("word"))).alias(k) for k in sets])
+    held = d.mapInPandas(words, f"_key {kind}, word string").join(both, "word").groupBy("_key").agg(*[F.collect_set(F.when(F.col("k") == k, F.col("word"))).alias(k) for k in sets])
 
     def run_joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield rows(b, [tuple(frozenset(x if x is not None else ()) for x in p) for p in zip(*(b[k] for k in sets), strict=True)])
 
-    return d.join(held, key, "left").mapInPandas(run_joined, schema)
+    return d.join(held, "_key", "left").mapInPandas(run_joined, schema).withColumnRenamed("_key", key)
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
