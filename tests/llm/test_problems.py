@@ -273,7 +273,7 @@ def test_long_hostile_texts_end():
 
 
 def test_documents(spark):
-    texts = ["See Fig. 3 now. Good."] * 30 + [None, "", "  ", "一。" * 20_000]
+    texts = ["See Fig. 3 now. Good."] * 30 + [None, "", "  ", "一。" * 20_000] + ["It is over now."] * 5
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(None, "a", 1)], "k long, t string, start_at int")
     for sent in (0, sentences.SENT):
         rows = sentences.split_documents(df, "k", "t", sent=sent).collect()
