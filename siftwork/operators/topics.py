@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftwork.operators.groups import connected_components, pairs_within
+from siftwork.operators.ordinal import numbered_id, with_ordinal
 from siftwork.operators.vectors import dot, unit
 
 
@@ -113,3 +114,30 @@ def top_samples(rows: DataFrame, by: list[str], order: list[Column], value: str,
     """The first ``n`` rows per group as one ordered list."""
     first = rows.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter(F.col("_r") <= n)
     return first.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", F.col(value).cast("string").alias("v")))), lambda x: x["v"]), ",").alias("samples"))
+
+
+def batched_requests(rows: DataFrame, batch: str, order: str, fields: list[str]) -> DataFrame:
+    """Rows of a batch as one ordered array of structs, with a digest of its JSON; batches are of fixed size."""
+    items = F.array_sort(F.collect_list(F.struct(order, *[f for f in fields if f != order])))
+    return rows.groupBy(batch).agg(items.alias("items")).withColumn("n_items", F.size("items")).withColumn("payload_sha256", F.sha2(F.to_json("items", {"ignoreNullFields": "false"}), 256))
+
+
+def controls(validations: DataFrame, request: str, groups: str) -> tuple[DataFrame, DataFrame]:
+    """Controls and their members from nested answers ``array<struct<name, members: array<string>>>``.
+
+    Controls are numbered ``CTRL-001`` and on by request and by the sorted members within it; a
+    group of fewer than two distinct members is no control.
+    """
+    g = validations.select(request, F.posexplode(groups).alias("place", "g")).select(request, "place", F.col("g.name").alias("name"), F.array_sort(F.array_distinct("g.members")).alias("members"))
+    g = g.filter(F.size("members") >= 2).withColumn("first", F.array_join("members", "\u001f"))
+    numbered = with_ordinal(g, [request, "first", "place"], "n")
+    named = numbered.withColumn("control_id", numbered_id("n", "CTRL-", 3))
+    return named.select("control_id", request, "name", F.size("members").alias("n_members")), named.select("control_id", F.explode("members").alias("member"))
+
+
+def partition_errors(asked: DataFrame, answered: DataFrame, request: str, item: str) -> DataFrame:
+    """Items of a request that the answer misses, has in excess or holds twice: the answer must be an exact partition."""
+    a = asked.select(request, item).distinct().withColumn("_a", F.lit(True))
+    b = answered.groupBy(request, item).agg(F.count(F.lit(1)).alias("_n"))
+    why = F.when(F.col("_n").isNull(), "missing").when(F.col("_a").isNull(), "unknown").when(F.col("_n") > 1, "repeated")
+    return a.join(b, [request, item], "full").withColumn("reason", why).filter("reason IS NOT NULL").select(request, item, "reason")
