@@ -29,35 +29,67 @@ def label_column(col: Column | str) -> Column:
     return F.when(c != "", c)
 
 
+#: Annotators up to which their sums are sent to the workers; beyond it they are joined to the votes.
+SENT = 100_000
+
+
 def _edges(b: pd.DataFrame) -> dict[str, np.ndarray]:
     """The batch's votes and edges as flat arrays."""
-    n = b["votes"].map(len).to_numpy()
+    n = b["annotators"].map(len).to_numpy()
     item = np.repeat(np.arange(len(b)), n)
-    votes = [v for vs in b["votes"] for v in vs]
-    label = pd.factorize(pd.Series([v["label"] for v in votes], dtype=object))[0]
-    question, q_of_vote = np.unique(item * (label.max(initial=0) + 1) + label, return_inverse=True)
-    q_item = question // (label.max(initial=0) + 1)
+    annotators = np.concatenate(b["annotators"].to_list())
+    labels = np.concatenate(b["labels"].to_list())
+    code, names = pd.factorize(labels)
+    question, q_of_vote = np.unique(item * len(names) + code, return_inverse=True)
+    q_item = question // len(names)
     q_first = np.searchsorted(q_item, np.arange(len(b)))
     q_count = np.bincount(q_item, minlength=len(b))
-    vote = np.repeat(np.arange(len(votes)), q_count[item])
+    vote = np.repeat(np.arange(len(item)), q_count[item])
     base = np.cumsum(q_count[item]) - q_count[item]
     asked = q_first[item][vote] + np.arange(len(vote)) - base[vote]
     sign = np.where(q_of_vote[vote] == asked, 1.0, -1.0)
-    return {"item": item, "votes": votes, "q_of_vote": q_of_vote, "n_q": len(question), "vote": vote, "asked": asked, "sign": sign, "q_item": q_item}
+    return {"item": item, "annotators": annotators, "label_of_q": names[question % len(names)], "q_of_vote": q_of_vote, "n_q": len(question), "vote": vote, "asked": asked, "sign": sign, "q_item": q_item}
+
+
+def _past(b: pd.DataFrame, e: dict, rounds: int, known: dict | None) -> np.ndarray:
+    """Sum and scale per vote and round, from the table that was sent or from the rows themselves."""
+    if not rounds:
+        return np.empty((len(e["item"]), 0, 2))
+    if known is None:
+        flat = lambda c: np.concatenate([np.stack(x) for x in b[c]])
+        return np.stack([flat("totals"), flat("scales")], axis=2)
+    codes, uniques = pd.factorize(pd.MultiIndex.from_arrays([b["field_name"].to_numpy()[e["item"]], e["annotators"]]))
+    return np.array([known[u] for u in uniques], float)[codes]
 
 
-def _messages(e: dict, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """The edge messages after so many rounds: annotator to item, item to annotator."""
+def _messages(e: dict, past: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The edge messages after the rounds of ``past``: annotator to item, item to annotator."""
     y = np.ones(len(e["vote"]))
-    past = np.array([[(h["total"], h["scale"]) for h in v["past"]] for v in e["votes"]], float).reshape(len(e["votes"]), rounds, 2)
-    for s in range(rounds + 1):
+    for s in range(past.shape[1] + 1):
         x = np.bincount(e["asked"], e["sign"] * y, minlength=e["n_q"])[e["asked"]] - e["sign"] * y
-        if s < rounds:
-            total, scale = past[e["vote"], s, 0], past[e["vote"], s, 1]
-            y = (total - e["sign"] * x) * scale
+        if s < past.shape[1]:
+            y = (past[e["vote"], s, 0] - e["sign"] * x) * past[e["vote"], s, 1]
     return y, x
 
 
+def _items(votes: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """One row per item with its annotators and labels, and with their sums if ``state`` is given."""
+    if state is None:
+        v = votes.groupBy("field_name", "item_key").agg(F.collect_list(F.struct("annotator", "label")).alias("v"))
+        return v.select("field_name", "item_key", F.col("v.annotator").alias("annotators"), F.col("v.label").alias("labels"))
+    joined = votes.join(state.select("field_name", "annotator", F.col("past.total").alias("total"), F.col("past.scale").alias("scale")), ["field_name", "annotator"])
+    v = joined.groupBy("field_name", "item_key").agg(F.collect_list(F.struct("annotator", "label", "total", "scale")).alias("v"))
+    return v.select("field_name", "item_key", F.col("v.annotator").alias("annotators"), F.col("v.label").alias("labels"), F.col("v.total").alias("totals"), F.col("v.scale").alias("scales"))
+
+
+def _table(state: DataFrame | None, sent: int) -> dict | None:
+    """The sums of all annotators if there are at most ``sent`` of them."""
+    if state is None:
+        return {}
+    rows = state.select("field_name", "annotator", "past").limit(sent + 1).collect()
+    return {(r["field_name"], r["annotator"]): [(p["total"], p["scale"]) for p in r["past"]] for r in rows} if len(rows) <= sent else None
+
+
 def latest_votes(df: DataFrame, field: str, item: str, annotator: str, label: str, order: list[str]) -> DataFrame:
     """``field_name, item_key, annotator, label``: each annotator's last answer per item, if it has a label.
 
@@ -69,31 +101,30 @@ def latest_votes(df: DataFrame, field: str, item: str, annotator: str, label: st
     return last.select(F.lit(field).alias("field_name"), "item_key", "annotator", label_column("s.l").alias("label")).filter("label IS NOT NULL")
 
 
-def reliabilities(votes: DataFrame, tolerance: float = 1e-3, most: int = 30) -> DataFrame:
+def reliabilities(votes: DataFrame, tolerance: float = 1e-3, most: int = 30, sent: int = SENT, items: DataFrame | None = None) -> DataFrame:
     """``field_name, annotator, n_edges, reliability, past`` after the messages have settled.
 
     ``past`` holds the annotator's sum and scale of every round. Reliability is the mean agreement
     with the other annotators' messages, scaled so that the most reliable of a field has 1.
     """
     state = None
-    items = votes.groupBy("field_name", "item_key").agg(F.collect_list(F.struct("annotator", "label", F.array().cast("array<struct<total:double,scale:double>>").alias("past"))).alias("votes"))
+    items = items if items is not None else checkpointed(_items(votes))
     for rounds in range(most):
-        if state is not None:
-            with_past = votes.join(state.select("field_name", "annotator", "past"), ["field_name", "annotator"])
-            items = with_past.groupBy("field_name", "item_key").agg(F.collect_list(F.struct("annotator", "label", "past")).alias("votes"))
+        known = votes.sparkSession.sparkContext.broadcast(_table(state, sent))
+        rows = items if known.value is not None else _items(votes, state)
 
-        def run(batches: Iterator[pd.DataFrame], rounds: int = rounds) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pd.DataFrame], rounds: int = rounds, known=known) -> Iterator[pd.DataFrame]:
             for b in batches:
                 if not len(b):
                     continue
                 e = _edges(b)
-                _, x = _messages(e, rounds)
-                got = np.bincount(e["vote"], e["sign"] * x, minlength=len(e["votes"]))
-                n = np.bincount(e["vote"], minlength=len(e["votes"]))
-                out = pd.DataFrame({"field_name": b["field_name"].to_numpy()[e["item"]], "annotator": [v["annotator"] for v in e["votes"]], "total": got, "n_edges": n})
+                _, x = _messages(e, _past(b, e, rounds, known.value))
+                got = np.bincount(e["vote"], e["sign"] * x, minlength=len(e["item"]))
+                n = np.bincount(e["vote"], minlength=len(e["item"]))
+                out = pd.DataFrame({"field_name": b["field_name"].to_numpy()[e["item"]], "annotator": e["annotators"], "total": got, "n_edges": n})
                 yield out.groupby(["field_name", "annotator"], as_index=False).sum()
 
-        sums = items.mapInPandas(run, "field_name string, annotator string, total double, n_edges bigint").groupBy("field_name", "annotator").agg(F.sum("total").alias("total"), F.sum("n_edges").alias("n_edges"))
+        sums = rows.mapInPandas(run, "field_name string, annotator string, total double, n_edges bigint").groupBy("field_name", "annotator").agg(F.sum("total").alias("total"), F.sum("n_edges").alias("n_edges"))
         mean = F.col("total") / F.col("n_edges")
         peak = sums.groupBy("field_name").agg(F.max(F.abs(mean)).alias("peak"))
         now = sums.join(peak, "field_name").withColumn("reliability", F.coalesce(F.try_divide(mean, F.col("peak")), F.lit(0.0)))
@@ -109,7 +140,7 @@ def reliabilities(votes: DataFrame, tolerance: float = 1e-3, most: int = 30) ->
     return state
 
 
-def consensus(votes: DataFrame) -> DataFrame:
+def consensus(votes: DataFrame, sent: int = SENT) -> DataFrame:
     """``field_name, item_key, label, n_votes, support, runner_up, agreement`` per item.
 
     The label is the class with the largest sum of messages of the annotators that chose it; ties
@@ -117,22 +148,22 @@ def consensus(votes: DataFrame) -> DataFrame:
     label, 1 for a single vote. An item's votes (one per annotator) are held together.
     """
     votes = checkpointed(votes)
-    state = reliabilities(votes)
-    settled = state.select("field_name", "annotator", "past")
-    items = votes.join(settled, ["field_name", "annotator"]).groupBy("field_name", "item_key").agg(F.collect_list(F.struct("annotator", "label", "past")).alias("votes"))
+    items = checkpointed(_items(votes))
+    state = reliabilities(votes, sent=sent, items=items)
+    known = votes.sparkSession.sparkContext.broadcast(_table(state, sent))
+    items = items if known.value is not None else _items(votes, state)
+    longest = state.agg(F.max(F.size("past"))).first()[0] or 0
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b):
                 continue
             e = _edges(b)
-            y, _ = _messages(e, len(e["votes"][0]["past"]))
+            y, _ = _messages(e, _past(b, e, longest, known.value))
             own = e["sign"] > 0
             support = np.bincount(e["asked"][own], y[own], minlength=e["n_q"])
             count = np.bincount(e["q_of_vote"], minlength=e["n_q"])
-            label = np.empty(e["n_q"], object)
-            label[e["q_of_vote"]] = [v["label"] for v in e["votes"]]
-            t = pd.DataFrame({"i": e["q_item"], "label": label, "support": support, "n": count, "pairs": count * (count - 1)}).sort_values(["i", "support", "label"], ascending=[True, False, True])
+            t = pd.DataFrame({"i": e["q_item"], "label": e["label_of_q"], "support": support, "n": count, "pairs": count * (count - 1)}).sort_values(["i", "support", "label"], ascending=[True, False, True])
             g = t.groupby("i", sort=True)
             top, n, pairs = g.first(), g["n"].sum().to_numpy(), g["pairs"].sum().to_numpy()
             second = g["support"].nth(1)

@@ -161,6 +161,8 @@ def test_consensus(spark):
     assert got["solo"]["label"] == "甲" and got["solo"]["agreement"] == 1.0 and "none" not in got and "late" not in got
     rel = {r["annotator"]: r["reliability"] for r in consensus.reliabilities(v).collect()}
     assert min(rel[m] for m in ("m0", "m1", "m2")) > max(rel[m] for m in ("m3", "m4", "m5"))
+    joined = {r["item_key"]: r["label"] for r in consensus.consensus(v, sent=0).collect()}
+    assert joined == {k: r["label"] for k, r in got.items()}
     assert consensus.consensus(v.limit(0)).count() == 0
 
 
