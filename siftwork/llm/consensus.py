@@ -6,7 +6,8 @@ annotators two messages alternate until they settle: from item to annotator the
 annotators' votes, each weighted by its message; from annotator to item the mean agreement of the
 annotator's votes with those messages on all other items. Only the sums per annotator are global;
 a round is one pass over the votes and one small aggregate, and an item's messages of all earlier
-rounds follow from those sums, so nothing is stored per edge.
+rounds follow from those sums, so nothing is stored per edge. The last rounds pass log-odds instead:
+items answer with the class they decide for, annotators with the log-odds of being right.
 """
 
 from __future__ import annotations
@@ -140,38 +141,118 @@ def reliabilities(votes: DataFrame, tolerance: float = 1e-3, most: int = 30, sen
     return state
 
 
+def _decided(e: dict, weight: np.ndarray) -> tuple[pd.DataFrame, np.ndarray]:
+    """Every question with its support, best first within an item, and the chosen question per item."""
+    support = np.bincount(e["q_of_vote"], weight, minlength=e["n_q"])
+    t = pd.DataFrame({"i": e["q_item"], "label": e["label_of_q"], "support": support, "n": np.bincount(e["q_of_vote"], minlength=e["n_q"]), "q": np.arange(e["n_q"])})
+    t = t.sort_values(["i", "support", "label"], ascending=[True, False, True])
+    return t, t.drop_duplicates("i")["q"].to_numpy()
+
+
+def _vote_weights(b: pd.DataFrame, e: dict, known: dict | None) -> np.ndarray:
+    if known is None:
+        return np.concatenate(b["weights"].to_list()).astype(float)
+    codes, uniques = pd.factorize(pd.MultiIndex.from_arrays([b["field_name"].to_numpy()[e["item"]], e["annotators"]]))
+    return np.array([known[u] for u in uniques], float)[codes]
+
+
+def _weighted_items(votes: DataFrame, weights: DataFrame) -> DataFrame:
+    v = votes.join(weights.select("field_name", "annotator", "weight"), ["field_name", "annotator"]).groupBy("field_name", "item_key").agg(F.collect_list(F.struct("annotator", "label", "weight")).alias("v"))
+    return v.select("field_name", "item_key", F.col("v.annotator").alias("annotators"), F.col("v.label").alias("labels"), F.col("v.weight").alias("weights"))
+
+
+def _weight_table(weights: DataFrame, sent: int) -> dict | None:
+    rows = weights.select("field_name", "annotator", "weight").limit(sent + 1).collect()
+    return {(r["field_name"], r["annotator"]): r["weight"] for r in rows} if len(rows) <= sent else None
+
+
+def log_odds(votes: DataFrame, items: DataFrame, state: DataFrame, sent: int, tolerance: float = 1e-3, most: int = 8, least: int = 3) -> DataFrame:
+    """``field_name, annotator, n, right, weight``: the last messages, as log-odds.
+
+    Items answer with the class that their messages decide for; an annotator's message becomes the
+    log-odds of being right on items of at least ``least`` votes, plus the log of the number of
+    ways to be wrong, which is how rarely two wrong votes on an item agree. The first decisions are
+    those of the settled sums, and the rounds end when no weight moves.
+    """
+    sc = votes.sparkSession.sparkContext
+    past = sc.broadcast(_table(state, sent))
+    longest = state.agg(F.max(F.size("past"))).first()[0] or 0
+    weights = None
+    for _ in range(most):
+        known = None if weights is None else sc.broadcast(_weight_table(weights, sent))
+        if weights is None:
+            rows = items if past.value is not None else _items(votes, state)
+        else:
+            rows = items if known.value is not None else _weighted_items(votes, weights)
+
+        def run(batches: Iterator[pd.DataFrame], known=known) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if not len(b):
+                    continue
+                e = _edges(b)
+                if known is None:
+                    y, _ = _messages(e, _past(b, e, longest, past.value))
+                    w = y[e["sign"] > 0]
+                else:
+                    w = _vote_weights(b, e, known.value)
+                _, chosen = _decided(e, w)
+                right = e["q_of_vote"] == chosen[e["item"]]
+                full = (np.bincount(e["item"]) >= least)[e["item"]]
+                field = b["field_name"].to_numpy()
+                out = pd.DataFrame({"field_name": field[e["item"]], "annotator": e["annotators"], "right": right.astype(np.int64), "n": 1})[full]
+                count = np.bincount(e["q_of_vote"][full & ~right], minlength=e["n_q"])
+                wrong = np.bincount(e["q_item"], count, minlength=len(b)).astype(np.int64)
+                agree = np.bincount(e["q_item"], count * (count - 1), minlength=len(b)).astype(np.int64)
+                pairs = pd.DataFrame({"field_name": field, "annotator": None, "right": agree, "n": wrong * (wrong - 1)})
+                yield pd.concat([out, pairs]).groupby(["field_name", "annotator"], as_index=False, dropna=False).sum()
+
+        sums = checkpointed(rows.mapInPandas(run, "field_name string, annotator string, right bigint, n bigint").groupBy("field_name", "annotator").agg(F.sum("right").alias("right"), F.sum("n").alias("n")))
+        ways = sums.filter("annotator IS NULL").select("field_name", F.greatest(F.ln((F.col("n") + 1) / (F.col("right") + 1)), F.lit(0.0)).alias("ways"))
+        p = (F.col("right") + 1) / (F.col("n") + 2)
+        every = votes.select("field_name", "annotator").distinct()
+        new = every.join(sums.filter("annotator IS NOT NULL"), ["field_name", "annotator"], "left").fillna(0, ["right", "n"]).join(ways, "field_name")
+        new = checkpointed(new.select("field_name", "annotator", "n", "right", (F.ln(p / (1 - p)) + F.col("ways")).alias("weight")))
+        moved = None
+        if weights is not None:
+            was = weights.select("field_name", "annotator", F.col("weight").alias("was"))
+            moved = new.join(was, ["field_name", "annotator"]).agg(F.max(F.abs(F.col("weight") - F.col("was")))).first()[0]
+        weights = new
+        if moved is not None and moved < tolerance:
+            break
+    return weights
+
+
 def consensus(votes: DataFrame, sent: int = SENT) -> DataFrame:
     """``field_name, item_key, label, n_votes, support, runner_up, agreement`` per item.
 
-    The label is the class with the largest sum of messages of the annotators that chose it; ties
-    go to the smaller string. ``agreement`` is the share of pairs of annotators that chose the same
-    label, 1 for a single vote. An item's votes (one per annotator) are held together.
+    The label is the class with the largest sum of the last messages (:func:`log_odds`) of the
+    annotators that chose it; ties go to the smaller string. ``agreement`` is the share of pairs of
+    annotators that chose the same label, 1 for a single vote. An item's votes (one per annotator)
+    are held together.
     """
     votes = checkpointed(votes)
     items = checkpointed(_items(votes))
     state = reliabilities(votes, sent=sent, items=items)
-    known = votes.sparkSession.sparkContext.broadcast(_table(state, sent))
-    items = items if known.value is not None else _items(votes, state)
-    longest = state.agg(F.max(F.size("past"))).first()[0] or 0
+    weights = log_odds(votes, items, state, sent)
+    known = votes.sparkSession.sparkContext.broadcast(_weight_table(weights, sent))
+    rows = items if known.value is not None else _weighted_items(votes, weights)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b):
                 continue
             e = _edges(b)
-            y, _ = _messages(e, _past(b, e, longest, known.value))
-            own = e["sign"] > 0
-            support = np.bincount(e["asked"][own], y[own], minlength=e["n_q"])
-            count = np.bincount(e["q_of_vote"], minlength=e["n_q"])
-            t = pd.DataFrame({"i": e["q_item"], "label": e["label_of_q"], "support": support, "n": count, "pairs": count * (count - 1)}).sort_values(["i", "support", "label"], ascending=[True, False, True])
-            g = t.groupby("i", sort=True)
-            top, n, pairs = g.first(), g["n"].sum().to_numpy(), g["pairs"].sum().to_numpy()
-            second = g["support"].nth(1)
-            run_up = pd.Series(np.nan, index=top.index)
-            run_up.loc[t.loc[second.index, "i"].to_numpy()] = second.to_numpy()
-            yield pd.DataFrame({"field_name": b["field_name"].to_numpy(), "item_key": b["item_key"].to_numpy(), "label": top["label"].to_numpy(), "n_votes": n.astype(np.int32), "support": top["support"].to_numpy(), "runner_up": run_up.to_numpy(), "agreement": np.where(n > 1, pairs / np.maximum(n * (n - 1), 1), 1.0)})
-
-    return items.mapInPandas(run, "field_name string, item_key string, label string, n_votes int, support double, runner_up double, agreement double")
+            t, _ = _decided(e, _vote_weights(b, e, known.value))
+            top = t.drop_duplicates("i")
+            place = t.groupby("i").cumcount()
+            run_up = np.full(len(b), np.nan)
+            second = t[place == 1]
+            run_up[second["i"].to_numpy()] = second["support"].to_numpy()
+            n = np.bincount(e["item"], minlength=len(b))
+            pairs = np.bincount(t["i"], t["n"] * (t["n"] - 1), minlength=len(b))
+            yield pd.DataFrame({"field_name": b["field_name"].to_numpy(), "item_key": b["item_key"].to_numpy(), "label": top["label"].to_numpy(), "n_votes": n.astype(np.int32), "support": top["support"].to_numpy(), "runner_up": run_up, "agreement": np.where(n > 1, pairs / np.maximum(n * (n - 1), 1), 1.0)})
+
+    return rows.mapInPandas(run, "field_name string, item_key string, label string, n_votes int, support double, runner_up double, agreement double")
 
 
 def all_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
