@@ -267,6 +267,11 @@ SQL = {
  x AS (SELECT -sum(n_a / tot * ln(n_a / tot)) AS h_a, sum(n_a * (n_a - 1) / 2.0) AS pa FROM ma, t), y AS (SELECT -sum(n_b / tot * ln(n_b / tot)) AS h_b, sum(n_b * (n_b - 1) / 2.0) AS pb FROM mb, t), z AS (SELECT sum(n / tot * ln(n * tot / (n_a * n_b::DOUBLE))) AS mi, sum(n * (n - 1) / 2.0) AS pp FROM cells, t),
  r AS (SELECT *, mi / h_a AS hom, mi / h_b AS com, pa * pb / (tot * (tot - 1) / 2) AS e FROM x, y, z, t)
  SELECT tot::BIGINT AS n_records, round(h_a, 6) AS h_a, round(h_b, 6) AS h_b, round(mi, 6) AS mi, round(hom, 6) AS homogeneity, round(com, 6) AS completeness, round(2 * hom * com / (hom + com), 6) AS v_measure, round(mi / ((h_a + h_b) / 2), 6) AS nmi, round((pp - e) / ((pa + pb) / 2 - e), 6) AS ari FROM r""",
+    "adjusted_mutual_information": f"""WITH {VEC}, {CELLS}, t AS (SELECT sum(n)::DOUBLE AS tot FROM cells), ma AS (SELECT DISTINCT a, n_a FROM cells), mb AS (SELECT DISTINCT b, n_b FROM cells),
+ h AS (SELECT (SELECT -sum(n_a / tot * ln(n_a / tot)) FROM ma, t) AS h_a, (SELECT -sum(n_b / tot * ln(n_b / tot)) FROM mb, t) AS h_b, (SELECT sum(n / tot * ln(n * tot / (n_a * n_b::DOUBLE))) FROM cells, t) AS mi),
+ g AS (SELECT n_a::DOUBLE AS x, n_b::DOUBLE AS y, tot, unnest(range(greatest(1, n_a + n_b - tot)::BIGINT, least(n_a, n_b)::BIGINT + 1))::DOUBLE AS k FROM ma, mb, t),
+ e AS (SELECT sum(k / tot * ln(tot * k / (x * y)) * exp(lgamma(x + 1) + lgamma(y + 1) + lgamma(tot - x + 1) + lgamma(tot - y + 1) - lgamma(tot + 1) - lgamma(k + 1) - lgamma(x - k + 1) - lgamma(y - k + 1) - lgamma(tot - x - y + k + 1))) AS emi FROM g)
+ SELECT tot::BIGINT AS n_records, round((mi - emi) / ((h_a + h_b) / 2 - emi), 6) AS ami FROM h, e, t""",
     "parent_inherited_join": f"WITH {LAB} SELECT parent AS a, cluster_id AS b, count(*) AS n FROM s GROUP BY 1, 2",
     "assignment_review": f"WITH {LAB} SELECT record_id, cluster_id, count(*) OVER (PARTITION BY cluster_id) AS cluster_size, scene, CASE WHEN cluster_id >= 0 THEN 0 ELSE 3 END AS sort_group FROM s",
     "cluster_top5": f"WITH {LAB}, r AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY record_id) <= 5) SELECT cluster_id, string_agg(record_id, ',' ORDER BY record_id) AS samples FROM r GROUP BY 1",

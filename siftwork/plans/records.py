@@ -279,6 +279,7 @@ SQL = {
     "provider_channels": f"WITH {CANDS} SELECT 'A1-F-' || source_model AS experiment_id, candidate_id AS record_id, CASE WHEN trim(finding) <> '' THEN 'finding: ' || finding ELSE '' END AS input_text FROM c UNION ALL SELECT 'A1-R-' || source_model, candidate_id, concat_ws(' | ', CASE WHEN scene <> '' THEN 'scene: ' || scene END, CASE WHEN finding <> '' THEN 'finding: ' || finding END) FROM c",
     "selected_experiments": f"WITH {INPUTS} SELECT experiment_id, CASE experiment_id WHEN 'T8' THEN 1 ELSE 2 END::BIGINT AS place, count(*) AS n, count(*) FILTER ({s_('input_text')} = '') AS n_blank FROM ch WHERE experiment_id IN ('T8', 'B1') GROUP BY 1, 2",
     "field_composition": f"WITH {UNITS}, p AS (SELECT concat_ws('+', CASE WHEN trim(risk_scene) <> '' THEN 'risk_scene' END, CASE WHEN len(object) > 0 THEN 'object' END, CASE WHEN trim(coalesce(finding, '')) <> '' THEN 'finding' END) AS pattern FROM u) SELECT pattern, count(*) AS n, pattern = 'risk_scene+object+finding' AS is_complete FROM p WHERE pattern <> '' GROUP BY 1",
+    "clause_findings": f"WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array({n_('text')}, '[，,；;。]'), lambda x: trim(x, ' ') <> '') AS p FROM documents), m AS (SELECT *, list_position(list_transform(p, lambda x: regexp_matches(x, '缺失|裸露|断裂')), true) AS i FROM t) SELECT doc_id, md5(CASE WHEN len(p) = 0 THEN '' ELSE array_to_string(CASE WHEN coalesce(i, 0) > 0 THEN p[i:] ELSE p[len(p):] END, '，') END) AS clause_md5 FROM m",
     "merged_versions": "WITH x AS (SELECT DISTINCT record_id, raw_text FROM raw_records), v AS (SELECT record_id, count(*) AS n_versions FROM x GROUP BY 1) SELECT n_versions, sum(n_versions)::BIGINT AS n FROM v GROUP BY 1",
     "consolidate_units": f"""WITH {AUDIT}, ku AS (SELECT u.* FROM u JOIN audit USING (record_id) WHERE is_kept_unit),
  vals AS (SELECT raw_record_id, 'finding' AS f, {n_('finding')} AS v, record_id AS o, 0 AS p FROM ku UNION ALL SELECT raw_record_id, 'scene', {n_('scene')}, record_id, 0 FROM ku UNION ALL SELECT raw_record_id, 'loc_detail', {n_('loc_detail')}, record_id, 0 FROM ku
