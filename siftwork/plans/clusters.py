@@ -10,6 +10,9 @@ from siftwork.operators import channels as C
 from siftwork.operators import correspondence as R
 from siftwork.operators import topics as K
 from siftwork.operators import vectors as X
+from siftwork.operators.checks import key_problems as key_problems_of
+from siftwork.operators.checks import orphans
+from siftwork.operators.checks import path_frame as make_path
 from siftwork.operators.ordinal import batches
 from siftwork.plans.records import UNITS, channel_inputs_union, n_, s_, units
 from siftwork.session import checkpointed, table
@@ -137,6 +140,28 @@ def _path(spark, d):
     return c.select("candidate_id", site.alias("parent"), T.is_present("scene").alias("valid"), T.normalize_text("scene").alias("scene"), "confidence")
 
 
+def key_problems(spark, d):
+    """Repeated and blank keys of three tables, counted."""
+    out = None
+    for name, key in (("raw_records", "record_id"), ("structured_records", "record_id"), ("embedding_cache", "cache_key")):
+        p = key_problems_of(table(spark, d, name), key).groupBy("reason").agg(F.count(F.lit(1)).alias("n_keys"), F.sum("n").alias("n_rows")).withColumn("table_name", F.lit(name))
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+def orphan_candidates(spark, d):
+    """Candidates without a canonical record that stands for their record itself."""
+    c = table(spark, d, "extraction_candidates").select("raw_record_id", "candidate_id").distinct()
+    return orphans(c, "raw_record_id", table(spark, d, "canonical_raw_records"), "canonical_raw_record_id")
+
+
+def path_frame(spark, d):
+    u = units(spark, d).select("record_id", "raw_record_id", "object")
+    parents = _labelled(spark, d).select("record_id", "parent")
+    targets = u.select("record_id", T.channel_text({"object": "object"}).alias("input_text"))
+    return make_path(u.select("record_id", "raw_record_id"), parents, targets, "record_id", "parent", "input_text")
+
+
 def parent_profiles(spark, d):
     return round_all(R.parent_profiles(_path(spark, d), "parent", "valid"))
 
@@ -215,7 +240,7 @@ def answer_partition(spark, d):
     return K.partition_errors(asked, c.filter(F.col("source_model").isin("lm-aster", "lm-gorse")), "source_model", "raw_record_id").groupBy("source_model", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (embedding_lookup, fallback_cluster, hash_embedding, centroid_rank, centroid_distance, cluster_structure, silhouette_cosine, topic_similarity, noise_recluster, missing_channel_labels, contingency, tie_aware_summary, cluster_profiles, clustering_agreement, adjusted_mutual_information, parent_inherited_join, assignment_review, cluster_top5, parent_profiles, threshold_grid, local_summary, representative_parent, candidate_pairs, rule_comparison, provisional_groups, relation_flatten, relation_requests, controls_from_synthesis, answer_partition, diverse_sample, knowledge_cards)}
+QUERIES = {f.__name__: f for f in (embedding_lookup, fallback_cluster, hash_embedding, centroid_rank, centroid_distance, cluster_structure, silhouette_cosine, topic_similarity, noise_recluster, missing_channel_labels, contingency, tie_aware_summary, cluster_profiles, clustering_agreement, adjusted_mutual_information, parent_inherited_join, assignment_review, cluster_top5, key_problems, orphan_candidates, path_frame, parent_profiles, threshold_grid, local_summary, representative_parent, candidate_pairs, rule_comparison, provisional_groups, relation_flatten, relation_requests, controls_from_synthesis, answer_partition, diverse_sample, knowledge_cards)}
 
 # DuckDB
 
@@ -275,6 +300,9 @@ SQL = {
     "parent_inherited_join": f"WITH {LAB} SELECT parent AS a, cluster_id AS b, count(*) AS n FROM s GROUP BY 1, 2",
     "assignment_review": f"WITH {LAB} SELECT record_id, cluster_id, count(*) OVER (PARTITION BY cluster_id) AS cluster_size, scene, CASE WHEN cluster_id >= 0 THEN 0 ELSE 3 END AS sort_group FROM s",
     "cluster_top5": f"WITH {LAB}, r AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY record_id) <= 5) SELECT cluster_id, string_agg(record_id, ',' ORDER BY record_id) AS samples FROM r GROUP BY 1",
+    "key_problems": " UNION ALL ".join(f"SELECT reason, count(*) AS n_keys, sum(n)::BIGINT AS n_rows, '{t}' AS table_name FROM (SELECT count(*) AS n, CASE WHEN {n_(k)} = '' THEN 'blank' WHEN count(*) > 1 THEN 'repeated' END AS reason FROM {t} GROUP BY {k}) WHERE reason IS NOT NULL GROUP BY 1" for t, k in (("raw_records", "record_id"), ("structured_records", "record_id"), ("embedding_cache", "cache_key"))),
+    "orphan_candidates": "SELECT DISTINCT raw_record_id, candidate_id FROM extraction_candidates c WHERE NOT EXISTS (SELECT 1 FROM canonical_raw_records r WHERE r.canonical_raw_record_id = c.raw_record_id)",
+    "path_frame": f"WITH {UNITS}, {LAB} SELECT u.record_id, u.raw_record_id, s.parent, CASE WHEN len(u.object) > 0 THEN 'object: ' || array_to_string(u.object, '; ') ELSE '' END AS target_text, len(u.object) > 0 AS target_valid FROM u JOIN s USING (record_id)",
     "parent_profiles": f"WITH {PATH} SELECT parent, count(*) AS n_units, count(*) FILTER (valid) AS n_targets, round(count(*) FILTER (valid) / count(*), 6) AS coverage FROM p WHERE parent >= 0 GROUP BY 1",
     "threshold_grid": f"WITH {PATH}, q AS (SELECT parent, count(*) AS u, count(*) FILTER (valid) AS t FROM p WHERE parent >= 0 GROUP BY 1) SELECT a::INT AS parent_min, b::INT AS target_min, count(*) FILTER (u >= a AND t >= b) AS n_eligible, coalesce(sum(u) FILTER (u >= a AND t >= b), 0)::BIGINT AS eligible_units, coalesce(sum(t) FILTER (u >= a AND t >= b), 0)::BIGINT AS eligible_targets, sum(u)::BIGINT AS all_units, round(coalesce(sum(u) FILTER (u >= a AND t >= b), 0) / sum(u), 6) AS unit_share FROM q, (VALUES (5), (10), (30)) x(a), (VALUES (5), (20)) y(b) GROUP BY 1, 2",
     "local_summary": f"WITH {LOCAL} SELECT count(*) AS n_parents, sum(n_children)::BIGINT AS n_children, round(count(*) FILTER (n_children >= 2) / count(*), 6) AS multi_child_share, quantile_cont(n_children, 0.25) AS q1, quantile_cont(n_children, 0.5) AS median, quantile_cont(n_children, 0.75) AS q3, round(sum(n_units * quality) / sum(n_units) FILTER (quality IS NOT NULL), 6) AS weighted_value FROM l",
