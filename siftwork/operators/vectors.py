@@ -7,6 +7,10 @@ the shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +19,10 @@ from siftwork.operators.channels import MISSING, NOISE
 from siftwork.operators.groups import pairs_within
 
 
+#: Topics whose mean vectors may be sent to the workers.
+TOPICS = 1 << 16
+
+
 def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -23,7 +31,7 @@ def unit(v: Column | str) -> Column:
     """Scaled to length one; a zero vector stays zero."""
     v = F.col(v) if isinstance(v, str) else v
     norm = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: x.cast("double") / F.when(norm > 0, norm).otherwise(1.0))
+    return F.zip_with(v, F.array_repeat(F.when(norm > 0, norm).otherwise(1.0), F.size(v)), lambda x, n: x.cast("double") / n)
 
 
 def distance(a: Column | str, b: Column | str) -> Column:
@@ -64,19 +72,36 @@ def silhouette(rows: DataFrame, key: str, label: str, vector: str, dim: int) ->
     """``key, label, silhouette`` by cosine distance, for rows of a topic.
 
     The mean cosine distance to a cluster is one less the product with the mean of its unit vectors,
-    so a row is compared with the means alone, which travel as one row: topics times ``dim``
-    numbers. Rows of a topic of one row have 0; with a single topic there is no row.
+    so a row is compared with the means alone: at most ``TOPICS`` times ``dim`` numbers, sent once. Rows of a topic of one row have 0; with a single topic there is no row.
     """
     u = rows.filter(F.col(label) >= 0).select(key, label, unit(vector).alias("u"))
-    means = centroids(u, [label], "u", dim).agg(F.collect_list(F.struct(F.col(label).alias("l"), F.col("centroid").alias("m"), F.col("n").alias("n"))).alias("means"))
-    d = F.transform("means", lambda c: F.struct(c["l"].alias("l"), c["n"].alias("n"), (1 - dot(F.col("u"), c["m"])).alias("d")))
-    r = u.join(F.broadcast(means)).filter(F.size("means") > 1).select(key, label, d.alias("d"))
-    own = F.element_at(F.filter("d", lambda c: c["l"] == F.col(label)), 1)
-    r = r.select(key, label, own.alias("own"), F.array_min(F.transform(F.filter("d", lambda c: c["l"] != F.col(label)), lambda c: c["d"])).alias("b"))
-    n = F.col("own.n")
-    a = F.col("own.d") * n / F.when(n > 1, n - 1)
-    s = (F.col("b") - a) / F.greatest(a, F.col("b"))
-    return r.select(key, label, F.when(n == 1, 0.0).otherwise(F.coalesce(s, F.lit(0.0))).alias("silhouette"))
+    rows = centroids(u, [label], "u", dim).orderBy(label).limit(TOPICS + 1).collect()
+    if len(rows) > TOPICS:
+        raise ValueError(f"more than {TOPICS} topics")
+    kinds = dict(rows_types(u, key, label))
+    m = np.array([r["centroid"] for r in rows]).reshape(-1, dim)
+    means = u.sparkSession.sparkContext.broadcast((np.array([r[label] for r in rows]), m, np.array([r["n"] for r in rows])))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        labels, m, n = means.value
+        for b in batches:
+            if not len(b) or len(labels) < 2:
+                continue
+            d = 1 - np.stack(b["u"].to_numpy()) @ m.T
+            at = np.searchsorted(labels, b[label].to_numpy())
+            row = np.arange(len(b))
+            size = n[at]
+            a = d[row, at] * size / np.maximum(size - 1, 1)
+            d[row, at] = np.inf
+            other = d.min(1)
+            top = np.maximum(a, other)
+            yield pd.DataFrame({key: b[key], label: b[label], "silhouette": np.where((size == 1) | (top == 0), 0.0, (other - a) / np.where(top == 0, 1, top))})
+
+    return u.mapInPandas(score, f"{key} {kinds[key]}, {label} {kinds[label]}, silhouette double")
+
+
+def rows_types(df: DataFrame, *columns: str) -> list[tuple[str, str]]:
+    return [(c, t) for c, t in df.dtypes if c in columns]
 
 
 def topic_similarity(rows: DataFrame, label: str, vector: str, dim: int) -> DataFrame:
