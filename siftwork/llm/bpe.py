@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.session import table
+from siftwork.session import spread, table
 
 #: The pattern of the rank files, a fixed value of these vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -124,7 +124,7 @@ def encode_texts(df: DataFrame, key: str, text: str, vocabulary: str | None = No
                 part = b.iloc[s : s + 1000]
                 yield pd.DataFrame({key: part[key], "ids": [np.frombuffer(x, np.int32) if len(x := encode(t)) else np.empty(0, np.int32) for t in part[text]]})
 
-    return df.select(key, text).filter(F.col(key).isNotNull()).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, ids array<int>")
+    return spread(df.select(key, text).filter(F.col(key).isNotNull())).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, ids array<int>")
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

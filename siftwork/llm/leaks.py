@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.llm.form import letters_and_digits, reduced_column
-from siftwork.session import table
+from siftwork.session import spread, table
 
 RUN, SHARD, SAMPLE = 40, 400_000, 16
 #: Characters of reduced items that are sent to the workers at once; more items go in several passes.
@@ -216,7 +216,7 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str,
             if held:
                 yield search(held)
 
-        found = docs.select(key, text).filter(F.col(text).isNotNull() & F.col(key).isNotNull()).mapInPandas(scan, schema)
+        found = spread(docs.select(key, text).filter(F.col(text).isNotNull() & F.col(key).isNotNull())).mapInPandas(scan, schema)
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.session import checkpointed, table
+from siftwork.session import checkpointed, spread, table
 
 # Marks that end a sentence without doubt, dots that may, quotes and brackets in pairs.
 STRONG = "!?。！？｡؟۔।॥։።፧‼⁇⁈⁉⸮។᠃"
@@ -252,7 +252,7 @@ def split_documents(docs: DataFrame, key: str, text: str, sent: int = SENT) -> D
     ``sent`` of them; beyond that each document is joined with the corpus words it holds.
     """
     kind = dict(docs.dtypes)[key]
-    d = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).filter(F.col("text").isNotNull() & F.col(key).isNotNull())
+    d = spread(docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).filter("text IS NOT NULL AND _key IS NOT NULL"))
     both = checkpointed(corpus_words(d))
     schema = f"_key {kind}, start_at int, stop_at int"
     sets = ("never", "may", "opens")
