@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,8 +12,8 @@ from pyspark.sql import functions as F
 from siftwork.functions import text as T
 from siftwork.operators.ordinal import rank_in_group
 
-#: Units of one record on either side up to which the rest is matched optimally in one group.
-GROUP = 2000
+#: Pairs of equal units that come out of one row of the matching of kinds.
+STRETCH = 10_000
 
 
 def unit_key(finding: str = "finding", objects: str = "objects", scene: str = "scene") -> Column:
@@ -40,83 +42,133 @@ def prf(tp: Column, n_pred: Column, n_gold: Column) -> dict[str, Column]:
     return {"precision": p, "recall": r, "f1": F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))}
 
 
+def ranked_units(df: DataFrame, record: str, unit: str) -> DataFrame:
+    """``record, unit, _k, _r``: the kind of every unit (equal units of a record) and its place in it."""
+    keyed = df.select(record, unit, F.sha1(F.concat_ws("\u001d", record, unit_key())).alias("_k"))
+    return rank_in_group(keyed, "_k", [unit], "_r")
+
+
+def _exact(p: DataFrame, g: DataFrame, record: str, unit: str) -> DataFrame:
+    left = p.select("_k", "_r", record, F.col(unit).alias("unit_p"))
+    return left.join(g.select("_k", "_r", F.col(unit).alias("unit_g")), ["_k", "_r"])
+
+
 def exact_matches(pred: DataFrame, gold: DataFrame, record: str, unit: str) -> DataFrame:
     """``record, unit_p, unit_g`` of units with equal keys, each used once, the first with the first."""
-    sides = []
-    for df, s in ((pred, "p"), (gold, "g")):
-        keyed = df.select(record, unit, F.sha1(F.concat_ws("\u001d", record, unit_key())).alias("_k"))
-        sides.append(rank_in_group(keyed, "_k", [unit], "_r").select("_k", "_r", *([record] if s == "p" else []), F.col(unit).alias(f"unit_{s}")))
-    return sides[0].join(sides[1], ["_k", "_r"]).select(record, "unit_p", "unit_g")
+    return _exact(ranked_units(pred, record, unit), ranked_units(gold, record, unit), record, unit).select(record, "unit_p", "unit_g")
 
 
-def assignment(sim: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of rows and columns with the largest sum of similarities, by shortest augmenting paths."""
-    turned = sim.shape[0] > sim.shape[1]
+def transport(sim: np.ndarray, supply: np.ndarray, demand: np.ndarray) -> list[tuple[int, int, int]]:
+    """Row, column and amount with the largest sum of similarities, by shortest augmenting paths.
+
+    The side with less in all is used up. Each path carries as much as its narrowest step holds.
+    """
+    turned = sum(supply) > sum(demand)
     cost = -(sim.T if turned else sim)
+    a, b = (list(map(int, x)) for x in ((demand, supply) if turned else (supply, demand)))
     n, m = cost.shape
-    u, v, match = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
-    for i in range(1, n + 1):
-        match[0], j = i, 0
-        least, way, used = np.full(m + 1, np.inf), np.zeros(m + 1, int), np.zeros(m + 1, bool)
-        while True:
-            used[j] = True
-            row = match[j]
-            free = ~used[1:]
-            reduced = cost[row - 1] - u[row] - v[1:]
-            better = free & (reduced < least[1:])
-            least[1:][better], way[1:][better] = reduced[better], j
-            nxt = int(np.argmin(np.where(free, least[1:], np.inf))) + 1
-            delta = least[nxt]
-            u[match[used]] += delta
-            v[used] -= delta
-            least[1:][free] -= delta
-            j = nxt
-            if match[j] == 0:
-                break
-        while j:
-            match[j], j = match[way[j]], way[j]
-    pairs = [(int(match[j]) - 1, j - 1) for j in range(1, m + 1) if match[j]]
-    return [(b, a) for a, b in pairs] if turned else pairs
-
-
-def similarity(p: dict, g: dict) -> float:
+    u, v, flow = cost.min(axis=1), np.zeros(m), [{} for _ in range(m)]
+    for i in range(n):
+        while a[i]:
+            dist, way, done = np.full(m, np.inf), np.zeros(m, int), np.zeros(m, bool)
+            at, came, fresh, low = {i: 0.0}, {}, [i], 0.0
+            while True:
+                for row in fresh:
+                    reached = low + cost[row] - u[row] - v
+                    better = ~done & (reached < dist)
+                    dist[better], way[better] = reached[better], row
+                j = int(np.argmin(np.where(done, np.inf, dist)))
+                low = dist[j]
+                done[j] = True
+                if b[j]:
+                    break
+                fresh = [row for row in flow[j] if row not in at]
+                at.update(dict.fromkeys(fresh, low))
+                came.update(dict.fromkeys(fresh, j))
+            for row, d in at.items():
+                u[row] += low - d
+            v[done] -= low - dist[done]
+            steps = [(int(way[j]), j)]
+            while steps[-1][0] != i:
+                back = came[steps[-1][0]]
+                steps.append((int(way[back]), back))
+            much = min(a[i], b[j], *[flow[came[row]][row] for row, _ in steps[:-1]])
+            for row, col in steps:
+                flow[col][row] = flow[col].get(row, 0) + much
+                if row != i:
+                    flow[came[row]][row] -= much
+                    if not flow[came[row]][row]:
+                        del flow[came[row]][row]
+            a[i], b[j] = a[i] - much, b[j] - much
+    moved = [(row, col, much) for col in range(m) for row, much in flow[col].items()]
+    return [(y, x, much) for x, y, much in moved] if turned else moved
+
+
+def assignment(sim: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of rows and columns with the largest sum of similarities."""
+    return [(i, j) for i, j, _ in transport(sim, np.ones(sim.shape[0]), np.ones(sim.shape[1]))]
+
+
+def _f1s(a: list[Counter], b: list[Counter]) -> tuple[np.ndarray, np.ndarray]:
+    """F1 of all pairs of bags, 0 where it is not defined, and where it is: not both empty."""
+    shared, where = np.zeros((len(a), len(b)), int), {}
+    for side, bags in enumerate((a, b)):
+        for i, bag in enumerate(bags):
+            for x, n in bag.items():
+                where.setdefault(x, ([], []))[side].append((i, n))
+    for left, right in where.values():
+        if left and right:
+            (i, x), (j, y) = np.array(left).T, np.array(right).T
+            shared[np.ix_(i, j)] += np.minimum.outer(x, y)
+    sizes = np.add.outer([x.total() for x in a], [x.total() for x in b])
+    return 2 * shared / np.maximum(sizes, 1), sizes > 0
+
+
+def similarities(p: pd.DataFrame, g: pd.DataFrame) -> np.ndarray:
     """The mean of the field scores that are defined: characters of finding and scene, set of objects."""
-    scores = []
-    for f in ("finding", "scene"):
-        a, b = p[f], g[f]
-        if a or b:
-            ca, cb = pd.Series(list(a)).value_counts(), pd.Series(list(b)).value_counts()
-            scores.append(2 * float(np.minimum(*ca.align(cb, join="inner")).sum()) / (len(a) + len(b)) if a and b else 0.0)
-    a, b = set(p["objects"]), set(g["objects"])
-    if a or b:
-        scores.append(2 * len(a & b) / (len(a) + len(b)))
-    return float(np.mean(scores)) if scores else 0.0
+    total = defined = 0
+    for f, bag in (("finding", Counter), ("scene", Counter), ("objects", lambda x: Counter(set(x)))):
+        score, there = _f1s([bag(x) for x in p[f]], [bag(x) for x in g[f]])
+        total, defined = total + score, defined + there
+    return total / np.maximum(defined, 1)
 
 
 def match_units(pred: DataFrame, gold: DataFrame, record: str, unit: str) -> DataFrame:
     """``record, unit_p, unit_g, exact``: exact pairs first, then the best assignment of the rest.
 
-    The rest is matched within a record, whose units are few; a record with more than ``GROUP``
-    units on a side keeps its exact pairs only.
+    The rest is matched within a record, whatever its size, as counted kinds of equal units: a
+    task holds the similarities of a record's kinds, not of its units. Units take their places
+    within the amount that passes from kind to kind.
     """
-    exact = exact_matches(pred, gold, record, unit).withColumn("exact", F.lit(True))
-    cols = [F.col(record), F.col(unit), T.compact_text("finding").alias("finding"), T.compact_text("scene").alias("scene"), F.col("objects")]
-    rest = []
-    for df, s in ((pred, "p"), (gold, "g")):
-        left = df.join(exact.select(record, F.col(f"unit_{s}").alias(unit)), [record, unit], "left_anti").select(*cols)
-        size = left.groupBy(record).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") <= GROUP).select(record)
-        rest.append(left.join(size, record, "left_semi"))
-    kinds = dict(pred.dtypes)
+    p, g = ranked_units(pred, record, unit), ranked_units(gold, record, unit)
+    exact = _exact(p, g, record, unit)
+    used = exact.groupBy("_k").agg(F.max("_r").alias("_x"))
+    rest, kinds = {}, {}
+    for ranked, df, s in ((p, pred, "p"), (g, gold, "g")):
+        left = ranked.join(used, "_k", "left").withColumn("_r", F.col("_r") - F.coalesce("_x", F.lit(0))).filter("_r > 0")
+        rest[s] = left.select(F.col("_k").alias(f"_k{s}"), F.col("_r").alias(f"_r{s}"), F.col(unit).alias(f"unit_{s}"), *([record] if s == "p" else []))
+        size = left.groupBy(record, "_k").agg(F.max("_r").alias("_n"), F.min_by(unit, "_r").alias(unit))
+        text = df.select(record, unit, T.compact_text("finding").alias("finding"), T.compact_text("scene").alias("scene"), "objects")
+        kinds[s] = text.join(size, [record, unit])
+    columns = ["_kp", "_kg", "_p", "_g", "_n"]
 
     def solve(p: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
         if not len(p) or not len(g):
-            return pd.DataFrame(columns=[record, "unit_p", "unit_g", "exact"])
-        p, g = p.sort_values(unit).to_dict("records"), g.sort_values(unit).to_dict("records")
-        pairs = assignment(np.array([[similarity(a, b) for b in g] for a in p]))
-        return pd.DataFrame([(p[i][record], p[i][unit], g[j][unit], False) for i, j in pairs], columns=[record, "unit_p", "unit_g", "exact"])
-
-    best = rest[0].groupBy(record).cogroup(rest[1].groupBy(record)).applyInPandas(solve, f"{record} {kinds[record]}, unit_p {kinds[unit]}, unit_g {kinds[unit]}, exact boolean")
-    return exact.unionByName(best)
+            return pd.DataFrame(columns=columns)
+        p, g = (x.sort_values(unit).reset_index(drop=True) for x in (p, g))
+        out, at_p, at_g = [], [0] * len(p), [0] * len(g)
+        for i, j, much in sorted(transport(similarities(p, g), p["_n"], g["_n"])):
+            for k in range(0, much, STRETCH):
+                out.append((p["_k"][i], g["_k"][j], at_p[i] + k, at_g[j] + k, min(STRETCH, much - k)))
+            at_p[i], at_g[j] = at_p[i] + much, at_g[j] + much
+        return pd.DataFrame(out, columns=columns)
+
+    moved = kinds["p"].groupBy(record).cogroup(kinds["g"].groupBy(record)).applyInPandas(solve, "_kp string, _kg string, _p bigint, _g bigint, _n bigint")
+    each = moved.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+    each = each.select("_kp", "_kg", (F.col("_p") + F.col("_i")).cast("int").alias("_rp"), (F.col("_g") + F.col("_i")).cast("int").alias("_rg"))
+    best = each.join(rest["p"], ["_kp", "_rp"]).join(rest["g"], ["_kg", "_rg"])
+    pair = [record, "unit_p", "unit_g"]
+    return exact.select(*pair, F.lit(True).alias("exact")).unionByName(best.select(*pair, F.lit(False).alias("exact")))
 
 
 def scored_pairs(matches: DataFrame, pred: DataFrame, gold: DataFrame, record: str, unit: str) -> DataFrame:

@@ -122,3 +122,29 @@ def test_sources(spark, tmp_path):
     need = spark.createDataFrame([("k",), ("m",)], "key string")
     assert [r["key"] for r in S.missing_keys(need, got, "key").collect()] == ["m"]
     assert "| a\\|b |" in S.markdown(spark.createDataFrame([("a|b",)], "c string"))
+
+
+def test_transport_is_the_assignment_of_copies():
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        n, m = rng.integers(1, 6, 2)
+        s, a, b = rng.random((n, m)).round(2), rng.integers(1, 5, n), rng.integers(1, 5, m)
+        moved = E.transport(s, a, b)
+        copies = np.repeat(np.repeat(s, a, axis=0), b, axis=1)
+        assert sum(q for _, _, q in moved) == min(a.sum(), b.sum())
+        assert all(sum(q for i, _, q in moved if i == k) <= a[k] for k in range(n)) and all(sum(q for _, j, q in moved if j == k) <= b[k] for k in range(m))
+        assert abs(sum(s[i, j] * q for i, j, q in moved) - sum(copies[i, j] for i, j in E.assignment(copies))) < 1e-9
+
+
+def test_large_record_is_matched_whole(spark):
+    """2,100 units on one side of a record: its other pairs are not left out, and are the best ones."""
+    unit = "raw_record_id string, unit string, finding string, objects array<string>, scene string"
+    side = lambda s, n, tail: [("r", f"{s}{i:05d}", f"裂缝{'甲乙丙'[i % 3]}{i % 40}{tail}", ["泵"], "") for i in range(n)] + [("q", f"{s}x", f"锈{tail}", ["阀"], "")]
+    p, g = (spark.createDataFrame(rows, unit) for rows in (side("p", 2100, "深") + [("r", "pz", "同", [], "")], side("g", 2400, "") + [("r", "gz", "同", [], "")]))
+    got = E.match_units(p, g, "raw_record_id", "unit").collect()
+    assert len(got) == 2102 and len({r["unit_p"] for r in got}) == len({r["unit_g"] for r in got}) == 2102
+    assert [(r["unit_p"], r["unit_g"]) for r in got if r["exact"]] == [("pz", "gz")]
+    scored = E.scored_pairs(E.match_units(p, g, "raw_record_id", "unit"), p, g, "raw_record_id", "unit").filter("not exact")
+    kind = lambda i: f"裂缝{'甲乙丙'[i % 3]}{i % 40}"
+    f1 = sum(2 * len(kind(i)) / (2 * len(kind(i)) + 1) for i in range(2100)) + 2 / 3
+    assert abs(scored.agg(F.sum("finding_f1")).first()[0] - f1) < 1e-6
