@@ -11,9 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Candidates for a delimiter, and the score below which one is refused.
+#: Candidates for a delimiter.
 DELIMITERS = ";；,，、|/"
-LEAST_SCORE = 0.1
 QUOTES = {'"': '"', "'": "'", "“": "”"}
 BRACKETS = {"(": ")", "[": "]", "{": "}", "（": "）", "【": "】", "《": "》", "〔": "〕", "「": "」"}
 
@@ -98,32 +97,36 @@ def values_of(cell: str, delimiters: str) -> list[str]:
 def delimiter_scores(df: DataFrame, source: str, cell: str) -> DataFrame:
     """``source, delimiter, n_cells, score, accepted`` for every delimiter that cuts a cell of the source.
 
-    The score is the product of two figures over the cells that the delimiter cuts: how
-    consistent their piece counts are (1 / (1 + variance / mean)), and how regular the pieces are
-    (the share that has a letter, at most 60 characters and no open quote). Only sums per source
-    and delimiter leave a task. Cells that are lists say nothing about delimiters.
+    A delimiter is accepted if a cell that it cuts holds a value: the given cells have their values
+    between any of the delimiters, so neither odd cells nor odd pieces refuse one. The score only
+    tells how alike the cells are: the share of cells whose piece count is within twice and half
+    the median, times the mean over the cells of the share of their pieces that are regular (a
+    letter, at most 60 characters, no open quote). Only counts per source, delimiter and piece
+    count leave a task. Cells that are lists say nothing about delimiters.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sums: dict[tuple[str, str], np.ndarray] = {}
+            sums: dict[tuple[str, str, int], np.ndarray] = {}
             for s, c in zip(b["source"], b["cell"], strict=True):
                 c = c.strip()
                 if listed(c) is not None:
                     continue
                 for d in DELIMITERS:
                     if d in c and len(got := pieces(c, d)) > 1:
-                        fine = sum(any(ch.isalpha() for ch in p) and len(p) <= 60 and p.count('"') % 2 == 0 for p in got if p.strip())
-                        sums[s, d] = sums.get((s, d), 0) + np.array([1, len(got), len(got) ** 2, sum(bool(p.strip()) for p in got), fine])
-            yield pd.DataFrame([(s, d, *map(int, x)) for (s, d), x in sums.items()], columns=["source", "delimiter", "n", "c", "c2", "p", "r"])
+                        filled = [p for p in got if p.strip()]
+                        fine = sum(any(ch.isalpha() for ch in p) and len(p) <= 60 and p.count('"') % 2 == 0 for p in filled)
+                        key = s, d, len(got)
+                        sums[key] = sums.get(key, 0) + np.array([1, bool(filled), fine / max(len(filled), 1)])
+            yield pd.DataFrame([(*key, int(x[0]), int(x[1]), x[2]) for key, x in sums.items()], columns=["source", "delimiter", "c", "n", "p", "r"])
 
     cells = df.select(F.col(source).alias("source"), F.col(cell).alias("cell")).dropna()
-    parts = cells.mapInPandas(run, "source string, delimiter string, n bigint, c bigint, c2 bigint, p bigint, r bigint")
-    s = parts.groupBy("source", "delimiter").agg(*[F.sum(x).alias(x) for x in ("n", "c", "c2", "p", "r")])
-    mean = F.col("c") / F.col("n")
-    spread = F.greatest(F.col("c2") / F.col("n") - mean * mean, F.lit(0.0))
-    score = F.coalesce(F.col("r") / F.nullif("p", F.lit(0)), F.lit(0.0)) / (1 + spread / mean)
-    return s.select("source", "delimiter", F.col("n").alias("n_cells"), score.alias("score")).withColumn("accepted", F.col("score") >= LEAST_SCORE)
+    parts = cells.mapInPandas(run, "source string, delimiter string, c bigint, n bigint, p bigint, r double")
+    counts = parts.groupBy("source", "delimiter", "c").agg(*[F.sum(x).alias(x) for x in ("n", "p", "r")])
+    s = counts.groupBy("source", "delimiter").agg(*[F.sum(x).alias(x) for x in ("n", "p", "r")], F.percentile("c", F.lit(0.5), F.col("n")).alias("mid"), F.collect_list(F.struct("c", "n")).alias("each"))
+    near = F.aggregate("each", F.lit(0).cast("bigint"), lambda t, x: t + F.when((x["c"] <= 2 * F.col("mid")) & (2 * x["c"] >= F.col("mid")), x["n"]).otherwise(0))
+    score = F.coalesce(F.col("r") / F.nullif("p", F.lit(0)), F.lit(0.0)) * near / F.col("n")
+    return s.select("source", "delimiter", F.col("n").alias("n_cells"), score.alias("score"), (F.col("p") > 0).alias("accepted"))
 
 
 def values_column(cell: Column | str, delimiters: Column | str) -> Column:

@@ -2,6 +2,7 @@ import json
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from siftwork.operators import packed as P
 
@@ -55,3 +56,14 @@ def test_inference_refuses_irregular_delimiter(spark):
     rows = [("s", c) for _, c in rows] + [("t", "||||||||||")]
     got = {(r["source"], r["delimiter"]): r["accepted"] for r in P.delimiter_scores(spark.createDataFrame(rows, "src string, cell string"), "src", "cell").collect()}
     assert got["s", "；"] and got.get(("t", "|")) is False
+
+
+def test_odd_cells_refuse_no_delimiter(spark):
+    """One cell of 5,000 pieces among 200 short ones, numbers only, and long pieces: every value comes out."""
+    rows = [(f"a{i}", "s", f"阀{i}；门；泵") for i in range(200)] + [("big", "s", "；".join(f"件{i}" for i in range(5000)))]
+    rows += [("n", "t", "12； 15； 7"), ("l", "u", "；".join(["长" * 90, "短" * 70]))]
+    df = spark.createDataFrame(rows, "id string, src string, cell string")
+    got = {r["row_key"]: r["n"] for r in P.split_packed(df, "id", "src", "cell").groupBy("row_key").agg(F.count("*").alias("n")).collect()}
+    assert got == {f"a{i}": 3 for i in range(200)} | {"big": 5000, "n": 3, "l": 2}
+    score = {r["source"]: r["score"] for r in P.delimiter_scores(df, "src", "cell").collect()}
+    assert abs(score["s"] - 200 / 201) < 1e-9 and score["t"] == 0
