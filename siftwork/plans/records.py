@@ -10,6 +10,7 @@ from siftwork.operators import channels as C
 from siftwork.operators import dedup as D
 from siftwork.operators import voting as V
 from siftwork.operators.ordinal import batches
+from siftwork.operators.packed import DELIMITERS, values_column
 from siftwork.session import checkpointed, table
 
 MODELS = ["lm-aster", "lm-birch", "lm-cedar", "lm-dahlia", "lm-elm", "lm-fern", "lm-gorse"]
@@ -180,6 +181,22 @@ def validation_summary(spark, d):
     return V.provenance_summary(_issues(spark, d), ["stage", "field"]).withColumn("invalid_ratio", F.round("invalid_ratio", 6))
 
 
+def _all_issues(spark, d):
+    """The issues above, one for every object against its finding, and those of loc_detail."""
+    o = table(spark, d, "structured_records").withColumn("value", F.explode(values_column("object", F.lit(DELIMITERS))))
+    loc = units(spark, d).filter("loc_detail <> ''")
+    objects = V.provenance(o, "structured", "object", F.col("value"), F.col("finding"), "finding", F.col("raw_text"))
+    return _issues(spark, d).unionByName(objects).unionByName(V.provenance(loc, "scene_split", "loc_detail", F.col("loc_detail"), F.col("scene"), "scene", F.col("raw_text")))
+
+
+def provenance_all_fields(spark, d):
+    return _all_issues(spark, d).select("stage", "record_id", "field", "value", "is_valid", "reason")
+
+
+def validation_all_fields(spark, d):
+    return V.provenance_summary(_all_issues(spark, d), ["stage", "field"]).withColumn("invalid_ratio", F.round("invalid_ratio", 6))
+
+
 def channel_inputs_union(spark, d):
     return C.channel_inputs(units(spark, d)).unionByName(C.baseline_inputs(raw(spark, d).select("record_id", "raw_text").distinct(), "record_id", "raw_text"))
 
@@ -207,7 +224,7 @@ def clause_findings(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(T.clause_with("text", ["缺失", "裸露", "断裂"])).alias("clause_md5"))
 
 
-QUERIES = {f.__name__: f for f in (raw_dedup_groups, raw_dedup_audit, source_preprocessing_summary, normalize_text_scalar, cache_keys, parse_objects, json_cells, metadata_flags, text_helpers, unit_dedupe_audit, unit_dedupe, consolidate_units, gold_remap, common_universe, universe_audit, complete_field_subset, batch_assignment, candidate_groups, vote_extraction, vote_scene_split, provenance_validation, validation_summary, channel_inputs_union, provider_channels, selected_experiments, field_composition, merged_versions, clause_findings)}
+QUERIES = {f.__name__: f for f in (raw_dedup_groups, raw_dedup_audit, source_preprocessing_summary, normalize_text_scalar, cache_keys, parse_objects, json_cells, metadata_flags, text_helpers, unit_dedupe_audit, unit_dedupe, consolidate_units, gold_remap, common_universe, universe_audit, complete_field_subset, batch_assignment, candidate_groups, vote_extraction, vote_scene_split, provenance_validation, validation_summary, provenance_all_fields, validation_all_fields, channel_inputs_union, provider_channels, selected_experiments, field_composition, merged_versions, clause_findings)}
 
 # DuckDB
 
