@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,11 +125,11 @@ def _f1s(a: list[Counter], b: list[Counter]) -> tuple[np.ndarray, np.ndarray]:
     return 2 * shared / np.maximum(sizes, 1), sizes > 0
 
 
-def similarities(p: pd.DataFrame, g: pd.DataFrame) -> np.ndarray:
+def similarities(p: list[dict], g: list[dict]) -> np.ndarray:
     """The mean of the field scores that are defined: characters of finding and scene, set of objects."""
     total = defined = 0
     for f, bag in (("finding", Counter), ("scene", Counter), ("objects", lambda x: Counter(set(x)))):
-        score, there = _f1s([bag(x) for x in p[f]], [bag(x) for x in g[f]])
+        score, there = _f1s([bag(x[f]) for x in p], [bag(x[f]) for x in g])
         total, defined = total + score, defined + there
     return total / np.maximum(defined, 1)
 
@@ -149,21 +150,25 @@ def match_units(pred: DataFrame, gold: DataFrame, record: str, unit: str) -> Dat
         rest[s] = left.select(F.col("_k").alias(f"_k{s}"), F.col("_r").alias(f"_r{s}"), F.col(unit).alias(f"unit_{s}"), *([record] if s == "p" else []))
         size = left.groupBy(record, "_k").agg(F.max("_r").alias("_n"), F.min_by(unit, "_r").alias(unit))
         text = df.select(record, unit, T.compact_text("finding").alias("finding"), T.compact_text("scene").alias("scene"), "objects")
-        kinds[s] = text.join(size, [record, unit])
-    columns = ["_kp", "_kg", "_p", "_g", "_n"]
-
-    def solve(p: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        if not len(p) or not len(g):
-            return pd.DataFrame(columns=columns)
-        p, g = (x.sort_values(unit).reset_index(drop=True) for x in (p, g))
-        out, at_p, at_g = [], [0] * len(p), [0] * len(g)
-        for i, j, much in sorted(transport(similarities(p, g), p["_n"], g["_n"])):
-            for k in range(0, much, STRETCH):
-                out.append((p["_k"][i], g["_k"][j], at_p[i] + k, at_g[j] + k, min(STRETCH, much - k)))
-            at_p[i], at_g[j] = at_p[i] + much, at_g[j] + much
-        return pd.DataFrame(out, columns=columns)
-
-    moved = kinds["p"].groupBy(record).cogroup(kinds["g"].groupBy(record)).applyInPandas(solve, "_kp string, _kg string, _p bigint, _g bigint, _n bigint")
+        kind = F.struct(unit, "_k", "_n", "finding", "scene", "objects")
+        kinds[s] = text.join(size, [record, unit]).groupBy(record).agg(F.array_sort(F.collect_list(kind)).alias(s))
+    moves = pa.schema([("_kp", pa.string()), ("_kg", pa.string()), ("_p", pa.int64()), ("_g", pa.int64()), ("_n", pa.int64())])
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                p, g = r["p"], r["g"]
+                n_p, n_g = ([x["_n"] for x in side] for side in (p, g))
+                at_p, at_g = [0] * len(p), [0] * len(g)
+                best = [(0, 0, min(n_p[0], n_g[0]))] if len(p) == len(g) == 1 else sorted(transport(similarities(p, g), n_p, n_g))
+                for i, j, much in best:
+                    for k in range(0, much, STRETCH):
+                        out.append((p[i]["_k"], g[j]["_k"], at_p[i] + k, at_g[j] + k, min(STRETCH, much - k)))
+                    at_p[i], at_g[j] = at_p[i] + much, at_g[j] + much
+            yield pa.RecordBatch.from_pylist([dict(zip(moves.names, x, strict=True)) for x in out], schema=moves)
+
+    moved = kinds["p"].join(kinds["g"], record).select("p", "g").mapInArrow(solve, "_kp string, _kg string, _p bigint, _g bigint, _n bigint")
     each = moved.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
     each = each.select("_kp", "_kg", (F.col("_p") + F.col("_i")).cast("int").alias("_rp"), (F.col("_g") + F.col("_i")).cast("int").alias("_rg"))
     best = each.join(rest["p"], ["_kp", "_rp"]).join(rest["g"], ["_kg", "_rg"])
@@ -181,9 +186,21 @@ def scored_pairs(matches: DataFrame, pred: DataFrame, gold: DataFrame, record: s
     return m.select(record, "unit_p", "unit_g", "exact", text("fp", "fg").alias("finding_f1"), text("sp", "sg").alias("scene_f1"), obj.alias("object_f1"), (F.col("fp") == F.col("fg")).alias("finding_exact"), (F.col("sp") == F.col("sg")).alias("scene_exact"), kind("fp", "fg").alias("finding_case"), kind("sp", "sg").alias("scene_case"))
 
 
-def summary(pred: DataFrame, gold: DataFrame, scored: DataFrame) -> DataFrame:
-    """One row: complete hits with precision, recall and F1, and mean field scores over the pairs."""
-    n = pred.agg(F.count(F.lit(1)).alias("n_pred")).join(gold.agg(F.count(F.lit(1)).alias("n_gold")))
-    hit = scored.agg(F.count_if("exact").alias("n_hits"), F.count(F.lit(1)).alias("n_pairs"), *[F.avg(f"{f}_f1").alias(f"mean_{f}_f1") for f in ("finding", "scene", "object")], F.count_if(F.col("scene_case") == "omission").alias("scene_omissions"), F.count_if(F.col("scene_case") == "overextraction").alias("scene_overextractions"))
-    r = n.join(hit)
+def field_means() -> list[Column]:
+    return [F.avg(f"{f}_f1").alias(f"mean_{f}_f1") for f in ("finding", "scene", "object")]
+
+
+def summary(pred: DataFrame, gold: DataFrame, scored: DataFrame, system: str) -> DataFrame:
+    """One row per system: complete hits with precision, recall and F1, and mean field scores over the pairs."""
+    n = pred.groupBy(system).agg(F.count(F.lit(1)).alias("n_pred")).join(gold.agg(F.count(F.lit(1)).alias("n_gold")))
+    cases = [F.count_if(F.col("scene_case") == c).alias(f"scene_{c}s") for c in ("omission", "overextraction")]
+    hit = scored.groupBy(system).agg(F.count_if("exact").alias("n_hits"), F.count(F.lit(1)).alias("n_pairs"), *field_means(), *cases)
+    r = n.join(hit, system, "left").fillna(0, ["n_hits", "n_pairs", "scene_omissions", "scene_overextractions"])
     return r.select("*", *[c.alias(k) for k, c in prf(F.col("n_hits"), F.col("n_pred"), F.col("n_gold")).items()])
+
+
+def common_summary(scored: DataFrame, systems: DataFrame, system: str, unit: str) -> DataFrame:
+    """Mean field scores per system over the reference units that every system matched."""
+    every = scored.groupBy(unit).agg(F.countDistinct(system).alias("_s")).join(systems.agg(F.count(F.lit(1)).alias("_n"))).filter("_s = _n")
+    means = scored.join(every.select(unit), unit, "left_semi").groupBy(system).agg(F.count(F.lit(1)).alias("n_common"), *field_means())
+    return systems.join(means, system, "left").fillna(0, ["n_common"])

@@ -14,7 +14,7 @@ from siftwork.operators.checks import key_problems as key_problems_of
 from siftwork.operators.checks import orphans
 from siftwork.operators.checks import path_frame as make_path
 from siftwork.operators.ordinal import batches
-from siftwork.plans.records import UNITS, channel_inputs_union, n_, s_, units
+from siftwork.plans.records import MODELS, UNITS, channel_inputs_union, n_, s_, units
 from siftwork.session import checkpointed, table
 from siftwork.sources.tables import cached_vectors
 
@@ -233,14 +233,23 @@ def controls_from_synthesis(spark, d):
     return control.join(member.groupBy("control_id").agg(F.min("member").alias("first_member")), "control_id")
 
 
+def _answer_errors(spark, d, models):
+    c = table(spark, d, "extraction_candidates").distinct()
+    asked = c.select("raw_record_id").distinct().withColumn("source_model", F.explode(F.array(*map(F.lit, models))))
+    return K.partition_errors(asked, c.filter(F.col("source_model").isin(*models)), "source_model", "raw_record_id").groupBy("source_model", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 def answer_partition(spark, d):
+    """Records asked of two models against the records they answered once."""
+    return _answer_errors(spark, d, ["lm-aster", "lm-gorse"])
+
+
+def answer_partition_all(spark, d):
     """Records asked of each model against the records it answered once."""
-    c = table(spark, d, "extraction_candidates").distinct()
-    asked = c.select("raw_record_id").distinct().withColumn("source_model", F.explode(F.array(F.lit("lm-aster"), F.lit("lm-gorse"))))
-    return K.partition_errors(asked, c.filter(F.col("source_model").isin("lm-aster", "lm-gorse")), "source_model", "raw_record_id").groupBy("source_model", "reason").agg(F.count(F.lit(1)).alias("n"))
+    return _answer_errors(spark, d, MODELS)
 
 
-QUERIES = {f.__name__: f for f in (embedding_lookup, fallback_cluster, hash_embedding, centroid_rank, centroid_distance, cluster_structure, silhouette_cosine, topic_similarity, noise_recluster, missing_channel_labels, contingency, tie_aware_summary, cluster_profiles, clustering_agreement, adjusted_mutual_information, parent_inherited_join, assignment_review, cluster_top5, key_problems, orphan_candidates, path_frame, parent_profiles, threshold_grid, local_summary, representative_parent, candidate_pairs, rule_comparison, provisional_groups, relation_flatten, relation_requests, controls_from_synthesis, answer_partition, diverse_sample, knowledge_cards)}
+QUERIES = {f.__name__: f for f in (embedding_lookup, fallback_cluster, hash_embedding, centroid_rank, centroid_distance, cluster_structure, silhouette_cosine, topic_similarity, noise_recluster, missing_channel_labels, contingency, tie_aware_summary, cluster_profiles, clustering_agreement, adjusted_mutual_information, parent_inherited_join, assignment_review, cluster_top5, key_problems, orphan_candidates, path_frame, parent_profiles, threshold_grid, local_summary, representative_parent, candidate_pairs, rule_comparison, provisional_groups, relation_flatten, relation_requests, controls_from_synthesis, answer_partition, answer_partition_all, diverse_sample, knowledge_cards)}
 
 # DuckDB
 
@@ -313,6 +322,7 @@ SQL = {
     "relation_requests": "WITH b AS (SELECT *, (row_number() OVER (ORDER BY record_id) - 1) // 6 AS batch FROM structured_records) SELECT batch::INT AS batch, count(*)::INT AS n_items, sha256('[' || string_agg(json_object('record_id', record_id, 'raw_record_id', raw_record_id, 'finding', finding)::VARCHAR, ',' ORDER BY record_id) || ']') AS payload_sha256 FROM b GROUP BY 1",
     "controls_from_synthesis": f"WITH c AS (SELECT DISTINCT raw_record_id, {n_('scene')} AS name, source_model FROM extraction_candidates WHERE {n_('scene')} <> ''), g AS (SELECT raw_record_id, name, list_sort(list(source_model)) AS m FROM c GROUP BY 1, 2), p AS (SELECT *, row_number() OVER (PARTITION BY raw_record_id ORDER BY name) AS place FROM g), n AS (SELECT *, row_number() OVER (ORDER BY raw_record_id, array_to_string(m, chr(31)), place) AS n FROM p WHERE len(m) >= 2) SELECT 'CTRL-' || lpad(n::VARCHAR, greatest(3, len(n::VARCHAR))::INT, '0') AS control_id, raw_record_id, name, len(m)::INT AS n_members, m[1] AS first_member FROM n",
     "answer_partition": "WITH c AS (SELECT DISTINCT * FROM extraction_candidates), a AS (SELECT DISTINCT raw_record_id, m AS source_model FROM c, (VALUES ('lm-aster'), ('lm-gorse')) t(m)), b AS (SELECT source_model, raw_record_id, count(*) AS n FROM c WHERE source_model IN ('lm-aster', 'lm-gorse') GROUP BY 1, 2), e AS (SELECT source_model, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'repeated' END AS reason FROM a LEFT JOIN b USING (source_model, raw_record_id)) SELECT source_model, reason, count(*) AS n FROM e WHERE reason IS NOT NULL GROUP BY 1, 2",
+    "answer_partition_all": f"WITH c AS (SELECT DISTINCT * FROM extraction_candidates), a AS (SELECT DISTINCT raw_record_id, m AS source_model FROM c, (VALUES {', '.join(f"('{m}')" for m in MODELS)}) t(m)), b AS (SELECT source_model, raw_record_id, count(*) AS n FROM c GROUP BY 1, 2), e AS (SELECT source_model, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'repeated' END AS reason FROM a LEFT JOIN b USING (source_model, raw_record_id)) SELECT source_model, reason, count(*) AS n FROM e WHERE reason IS NOT NULL GROUP BY 1, 2",
     "diverse_sample": f"WITH c AS (SELECT candidate_id, source_model, {n_('scene')} AS scene FROM (SELECT DISTINCT * FROM extraction_candidates)), t AS (SELECT *, row_number() OVER (PARTITION BY source_model, scene ORDER BY candidate_id) AS t FROM c) SELECT candidate_id, source_model, scene, row_number() OVER (PARTITION BY source_model ORDER BY t, scene, candidate_id)::INT AS place FROM t QUALIFY place <= 12",
     "knowledge_cards": f"WITH c AS (SELECT *, coalesce(confidence >= 0.85, false) AS sup, {n_('scene')} AS sc FROM (SELECT DISTINCT * FROM extraction_candidates)), m AS (SELECT source_model, sc, count(*) AS m FROM c WHERE sup GROUP BY 1, 2), l AS (SELECT source_model, string_agg(sc || ':' || m, ';' ORDER BY m DESC, sc) AS modes FROM m GROUP BY 1) SELECT c.source_model, count(*) AS n_units, count(*) FILTER (sup) AS n_support, count(DISTINCT raw_record_id) FILTER (sup) AS n_topics, any_value(modes) AS modes, round(count(*) FILTER (sup) / count(*), 6) AS support_ratio FROM c LEFT JOIN l USING (source_model) GROUP BY 1",
 }

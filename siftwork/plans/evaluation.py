@@ -10,7 +10,7 @@ from siftwork.functions import text as T
 from siftwork.operators import evaluation as E
 from siftwork.plans.clusters import round_all
 from siftwork.plans.records import MODELS, c_, objects_
-from siftwork.session import table
+from siftwork.session import checkpointed, table
 
 
 def gold(spark, d) -> DataFrame:
@@ -37,10 +37,33 @@ def field_scores(spark, d):
     return round_all(p.select("unit", E.char_f1(T.compact_text("finding"), T.compact_text("g.finding")).alias("char_f1"), E.set_f1("objects", "g.objects").alias("set_f1")).distinct())
 
 
+def _by_system(spark, d):
+    """Predictions, references of the records that a model answered, and their pairs, a record for each model."""
+    key = F.concat_ws("|", "source_model", "raw_record_id").alias("key")
+    p, g = predictions(spark, d), gold(spark, d)
+    asked = p.select("source_model", "raw_record_id").distinct()
+    p, g = p.select("*", key), g.join(asked, "raw_record_id").select("*", key)
+    scored = E.scored_pairs(E.match_units(p, g, "key", "unit"), p, g, "key", "unit")
+    return p, scored.withColumn("source_model", F.substring_index("key", "|", 1))
+
+
 def extraction_eval(spark, d):
-    p, g = predictions(spark, d).filter(F.col("source_model") == "lm-aster"), gold(spark, d)
-    m = E.match_units(p, g, "raw_record_id", "unit")
-    return round_all(E.summary(p, g, E.scored_pairs(m, p, g, "raw_record_id", "unit")))
+    p, scored = _by_system(spark, d)
+    return round_all(E.summary(p, gold(spark, d), scored, "source_model"))
+
+
+def common_matches(spark, d):
+    """Field scores of each model over the reference units that all models matched."""
+    p, scored = _by_system(spark, d)
+    return round_all(E.common_summary(checkpointed(scored), p.select("source_model").distinct(), "source_model", "unit_g"))
+
+
+def exact_unit_match_all(spark, d):
+    p, g = predictions(spark, d), gold(spark, d)
+    key = F.concat_ws("|", "source_model", "raw_record_id").alias("key")
+    each = g.join(p.select("source_model", "raw_record_id").distinct(), "raw_record_id")
+    hits = E.exact_matches(p.select("*", key), each.select("*", key), "key", "unit")
+    return hits.select(F.substring_index("key", "|", 1).alias("source_model"), F.expr("substr(key, instr(key, '|') + 1)").alias("raw_record_id"), "unit_p", "unit_g")
 
 
 def system_comparison(spark, d):
@@ -70,7 +93,7 @@ def last_answers(spark, d):
     return c.withColumn("r", r).filter("r = 1").select("raw_record_id", "source_model", "candidate_id")
 
 
-QUERIES = {f.__name__: f for f in (exact_unit_match, field_scores, extraction_eval, system_comparison, shared_units, last_answers)}
+QUERIES = {f.__name__: f for f in (exact_unit_match, exact_unit_match_all, field_scores, extraction_eval, common_matches, system_comparison, shared_units, last_answers)}
 
 KEY = f"{c_('finding')} || chr(31) || array_to_string({objects_('object')}, chr(30)) || chr(31) || {c_('scene')}"
 BASE = f"""g AS (SELECT raw_record_id, record_id AS unit, {c_('finding')} AS f, {objects_('object')} AS o, {KEY} AS k FROM structured_records),
@@ -80,6 +103,7 @@ gr AS (SELECT *, row_number() OVER (PARTITION BY raw_record_id, k ORDER BY unit)
 hit AS (SELECT pr.source_model, pr.raw_record_id, pr.unit AS unit_p, gr.unit AS unit_g FROM pr JOIN gr USING (raw_record_id, k, r))"""
 SQL = {
     "exact_unit_match": f"WITH {BASE} SELECT raw_record_id, unit_p, unit_g FROM hit WHERE source_model = 'lm-aster'",
+    "exact_unit_match_all": f"WITH {BASE} SELECT source_model, raw_record_id, unit_p, unit_g FROM hit",
     "field_scores": f"""WITH {BASE}, g1 AS (SELECT raw_record_id, f AS gf, o AS go FROM g QUALIFY row_number() OVER (PARTITION BY raw_record_id ORDER BY unit) = 1), j AS (SELECT unit, f, gf, o, go, list_sum(list_transform(list_distinct(string_split(f, '')), lambda c: least(length(f) - length(replace(f, c, '')), length(gf) - length(replace(gf, c, ''))))) AS s FROM p JOIN g1 USING (raw_record_id))
  SELECT DISTINCT unit, round(CASE WHEN f = '' AND gf = '' THEN 1 WHEN f = '' OR gf = '' THEN 0 ELSE 2 * s / (length(f) + length(gf)) END, 6) AS char_f1, round(CASE WHEN len(o) = 0 AND len(go) = 0 THEN 1 WHEN len(o) = 0 OR len(go) = 0 THEN 0 ELSE 2 * len(list_intersect(o, go)) / (len(o) + len(go)) END, 6) AS set_f1 FROM j""",
     "system_comparison": f"WITH {BASE}, a AS (SELECT source_model, count(*) AS n_pred FROM p GROUP BY 1), h AS (SELECT source_model, count(*) AS n_hits FROM hit GROUP BY 1), z AS (SELECT count(*) AS n_gold FROM g), r AS (SELECT source_model, n_pred, coalesce(n_hits, 0) AS n_hits, n_gold FROM a LEFT JOIN h USING (source_model), z) SELECT *, round(n_hits / n_pred, 6) AS precision, round(n_hits / n_gold, 6) AS recall, round(2 * n_hits / (n_pred + n_gold), 6) AS f1 FROM r",

@@ -148,3 +148,22 @@ def test_large_record_is_matched_whole(spark):
     kind = lambda i: f"裂缝{'甲乙丙'[i % 3]}{i % 40}"
     f1 = sum(2 * len(kind(i)) / (2 * len(kind(i)) + 1) for i in range(2100)) + 2 / 3
     assert abs(scored.agg(F.sum("finding_f1")).first()[0] - f1) < 1e-6
+
+
+def test_every_model_is_evaluated(spark, tmp_path):
+    """Each model has its row, and the common scores take the units that all models matched."""
+    from siftwork.plans import clusters, evaluation
+    from siftwork.plans.records import MODELS
+
+    s = spark.createDataFrame([("u1", "r1", "漏油", "泵", "仓库"), ("u2", "r2", "锈蚀", "阀", "车间")], "record_id string, raw_record_id string, finding string, object string, scene string")
+    rows = [(f"{m}1", m, "r1", 0, "漏油" if k else "漏", "泵", "仓库") for k, m in enumerate(MODELS)] + [("x2", MODELS[1], "r2", 0, "锈蚀", "阀", "车间")]
+    c = spark.createDataFrame(rows, "candidate_id string, source_model string, raw_record_id string, cand_pos int, finding string, object string, scene string")
+    s.write.parquet(f"{tmp_path}/structured_records.parquet")
+    c.write.parquet(f"{tmp_path}/extraction_candidates.parquet")
+    got = {r["source_model"]: (r["n_pred"], r["n_gold"], r["n_hits"], r["n_pairs"]) for r in evaluation.extraction_eval(spark, str(tmp_path)).collect()}
+    assert got == {m: (1, 2, 1, 1) for m in MODELS} | {MODELS[0]: (1, 2, 0, 1), MODELS[1]: (2, 2, 2, 2)}
+    common = {r["source_model"]: (r["n_common"], round(r["mean_finding_f1"], 3)) for r in evaluation.common_matches(spark, str(tmp_path)).collect()}
+    assert common == {m: (1, 1.0) for m in MODELS} | {MODELS[0]: (1, 0.667)}
+    assert evaluation.exact_unit_match_all(spark, str(tmp_path)).count() == 7
+    missing = {r["source_model"]: r["n"] for r in clusters.answer_partition_all(spark, str(tmp_path)).collect()}
+    assert missing == {m: 1 for m in MODELS if m != MODELS[1]}
