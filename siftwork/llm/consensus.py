@@ -1,13 +1,17 @@
 """Problem 5: consensus of several annotators' labels by message passing.
 
-Every item and class of it is a question of one class against the rest: an annotator's vote on it
-is +1 for the class and -1 for any other. On the edges of the bipartite graph of items and
-annotators two messages alternate until they settle: from item to annotator the sum of the other
-annotators' votes, each weighted by its message; from annotator to item the mean agreement of the
-annotator's votes with those messages on all other items. Only the sums per annotator are global;
-a round is one pass over the votes and one small aggregate, and an item's messages of all earlier
-rounds follow from those sums, so nothing is stored per edge. The last rounds pass log-odds instead:
-items answer with the class they decide for, annotators with the log-odds of being right.
+Every class that an item received is a question of one class against the rest. On the edges of the
+bipartite graph of items and annotators two messages alternate until they settle:
+
+* item to annotator: the log-odds that the annotator's class is right against the rest, as the
+  messages of the item's other annotators have it;
+* annotator to item: the log-odds of the annotator being right on its other items, plus the log of
+  the number of ways to be wrong, which is how rarely two wrong votes on an item agree.
+
+An annotator's message to an item differs from its message to the others only by that item's own
+part, so two sums per annotator (how often it is right, and on how many items) and two per field
+are the whole state of a round; no edge is stored. A round is one pass over the packed votes and
+one small aggregate. The consensus is the class with the largest sum of the settled messages.
 """
 
 from __future__ import annotations
@@ -23,6 +27,13 @@ from siftwork.session import checkpointed, table
 
 BLANKS = r"[\s\x{1C}-\x{1F}\x{85}\p{Z}]+"
 
+#: Annotators up to which their sums are sent to the workers; beyond it they are joined to the votes.
+SENT = 100_000
+#: Votes an item needs for it to tell something about its annotators' reliability.
+LEAST = 3
+#: Share of right votes that every annotator starts with.
+START = 0.7
+
 
 def label_column(col: Column | str) -> Column:
     """A label without the blanks around it; blank gives null."""
@@ -30,227 +41,209 @@ def label_column(col: Column | str) -> Column:
     return F.when(c != "", c)
 
 
-#: Annotators up to which their sums are sent to the workers; beyond it they are joined to the votes.
-SENT = 100_000
-
-
-def _edges(b: pd.DataFrame) -> dict[str, np.ndarray]:
-    """The batch's votes and edges as flat arrays."""
-    n = b["annotators"].map(len).to_numpy()
-    item = np.repeat(np.arange(len(b)), n)
-    annotators = np.concatenate(b["annotators"].to_list())
-    labels = np.concatenate(b["labels"].to_list())
-    code, names = pd.factorize(labels)
-    question, q_of_vote = np.unique(item * len(names) + code, return_inverse=True)
-    q_item = question // len(names)
-    q_first = np.searchsorted(q_item, np.arange(len(b)))
-    q_count = np.bincount(q_item, minlength=len(b))
-    vote = np.repeat(np.arange(len(item)), q_count[item])
-    base = np.cumsum(q_count[item]) - q_count[item]
-    asked = q_first[item][vote] + np.arange(len(vote)) - base[vote]
-    sign = np.where(q_of_vote[vote] == asked, 1.0, -1.0)
-    return {"item": item, "annotators": annotators, "label_of_q": names[question % len(names)], "q_of_vote": q_of_vote, "n_q": len(question), "vote": vote, "asked": asked, "sign": sign, "q_item": q_item}
-
-
-def _past(b: pd.DataFrame, e: dict, rounds: int, known: dict | None) -> np.ndarray:
-    """Sum and scale per vote and round, from the table that was sent or from the rows themselves."""
-    if not rounds:
-        return np.empty((len(e["item"]), 0, 2))
-    if known is None:
-        flat = lambda c: np.concatenate([np.stack(x) for x in b[c]])
-        return np.stack([flat("totals"), flat("scales")], axis=2)
-    codes, uniques = pd.factorize(pd.MultiIndex.from_arrays([b["field_name"].to_numpy()[e["item"]], e["annotators"]]))
-    return np.array([known[u] for u in uniques], float)[codes]
-
-
-def _messages(e: dict, past: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The edge messages after the rounds of ``past``: annotator to item, item to annotator."""
-    y = np.ones(len(e["vote"]))
-    for s in range(past.shape[1] + 1):
-        x = np.bincount(e["asked"], e["sign"] * y, minlength=e["n_q"])[e["asked"]] - e["sign"] * y
-        if s < past.shape[1]:
-            y = (past[e["vote"], s, 0] - e["sign"] * x) * past[e["vote"], s, 1]
-    return y, x
-
-
-def _items(votes: DataFrame, state: DataFrame | None = None) -> DataFrame:
-    """One row per item with its annotators and labels, and with their sums if ``state`` is given."""
-    if state is None:
-        v = votes.groupBy("field_name", "item_key").agg(F.collect_list(F.struct("annotator", "label")).alias("v"))
-        return v.select("field_name", "item_key", F.col("v.annotator").alias("annotators"), F.col("v.label").alias("labels"))
-    joined = votes.join(state.select("field_name", "annotator", F.col("past.total").alias("total"), F.col("past.scale").alias("scale")), ["field_name", "annotator"])
-    v = joined.groupBy("field_name", "item_key").agg(F.collect_list(F.struct("annotator", "label", "total", "scale")).alias("v"))
-    return v.select("field_name", "item_key", F.col("v.annotator").alias("annotators"), F.col("v.label").alias("labels"), F.col("v.total").alias("totals"), F.col("v.scale").alias("scales"))
-
-
-def _table(state: DataFrame | None, sent: int) -> dict | None:
-    """The sums of all annotators if there are at most ``sent`` of them."""
-    if state is None:
-        return {}
-    rows = state.select("field_name", "annotator", "past").limit(sent + 1).collect()
-    return {(r["field_name"], r["annotator"]): [(p["total"], p["scale"]) for p in r["past"]] for r in rows} if len(rows) <= sent else None
-
-
-def latest_votes(df: DataFrame, field: str, item: str, annotator: str, label: str, order: list[str]) -> DataFrame:
-    """``field_name, item_key, annotator, label``: each annotator's last answer per item, if it has a label.
+def latest_votes(df: DataFrame, fields: list[str], item: str, annotator: str, order: list[str]) -> DataFrame:
+    """``field_name, item_key, annotator, label``: each annotator's last answer per item and field, if it has a label.
 
     The last by ``order`` counts even if its label is null or blank. Rows without item or annotator
-    are no votes.
+    are no votes; a tie in ``order`` goes to the larger label.
     """
     rows = df.filter(F.col(item).isNotNull() & F.col(annotator).isNotNull())
-    last = rows.groupBy(F.col(item).alias("item_key"), F.col(annotator).alias("annotator")).agg(F.max_by(F.struct(F.col(label).alias("l")), F.struct(*order)).alias("s"))
-    return last.select(F.lit(field).alias("field_name"), "item_key", "annotator", label_column("s.l").alias("label")).filter("label IS NOT NULL")
+    last = rows.groupBy(F.col(item).alias("item_key"), F.col(annotator).alias("annotator")).agg(*[F.max_by(F.struct(F.col(f).alias("l")), F.struct(*order, f)).alias(f"s_{f}") for f in fields])
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), label_column(f"s_{f}.l").alias("label")) for f in fields])).alias("x")
+    return last.select("item_key", "annotator", each).select("x.field_name", "item_key", "annotator", "x.label").filter("label IS NOT NULL")
+
+
+def items_of(votes: DataFrame) -> DataFrame:
+    """One row per item with its annotators and labels, in the same order."""
+    v = votes.groupBy("field_name", "item_key").agg(F.collect_list(F.struct("annotator", "label")).alias("v"))
+    return v.select("field_name", "item_key", F.col("v.annotator").alias("annotators"), F.col("v.label").alias("labels"))
 
 
-def reliabilities(votes: DataFrame, tolerance: float = 1e-3, most: int = 30, sent: int = SENT, items: DataFrame | None = None) -> DataFrame:
-    """``field_name, annotator, n_edges, reliability, past`` after the messages have settled.
+def _flat(b: pd.DataFrame) -> tuple[dict[str, np.ndarray], pd.DataFrame, np.ndarray]:
+    """The batch's votes as flat arrays, the annotators they name, and the label of each question.
 
-    ``past`` holds the annotator's sum and scale of every round. Reliability is the mean agreement
-    with the other annotators' messages, scaled so that the most reliable of a field has 1.
+    ``item``, ``question`` and ``who`` are numbered from 0 within the batch; questions of an item
+    are neighbours.
     """
-    state = None
-    items = items if items is not None else checkpointed(_items(votes))
-    for rounds in range(most):
-        known = votes.sparkSession.sparkContext.broadcast(_table(state, sent))
-        rows = items if known.value is not None else _items(votes, state)
-
-        def run(batches: Iterator[pd.DataFrame], rounds: int = rounds, known=known) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                if not len(b):
-                    continue
-                e = _edges(b)
-                _, x = _messages(e, _past(b, e, rounds, known.value))
-                got = np.bincount(e["vote"], e["sign"] * x, minlength=len(e["item"]))
-                n = np.bincount(e["vote"], minlength=len(e["item"]))
-                out = pd.DataFrame({"field_name": b["field_name"].to_numpy()[e["item"]], "annotator": e["annotators"], "total": got, "n_edges": n})
-                yield out.groupby(["field_name", "annotator"], as_index=False).sum()
-
-        sums = rows.mapInPandas(run, "field_name string, annotator string, total double, n_edges bigint").groupBy("field_name", "annotator").agg(F.sum("total").alias("total"), F.sum("n_edges").alias("n_edges"))
-        mean = F.col("total") / F.col("n_edges")
-        peak = sums.groupBy("field_name").agg(F.max(F.abs(mean)).alias("peak"))
-        now = sums.join(peak, "field_name").withColumn("reliability", F.coalesce(F.try_divide(mean, F.col("peak")), F.lit(0.0)))
-        step = F.struct("total", (1 / F.greatest(F.col("n_edges") - 1, F.lit(1)) / F.when(F.col("peak") > 0, F.col("peak")).otherwise(1.0)).alias("scale"))
-        if state is None:
-            new = now.withColumn("past", F.array(step)).withColumn("moved", F.lit(1.0))
-        else:
-            before = state.select("field_name", "annotator", F.col("past").alias("_past"), F.col("reliability").alias("_was"))
-            new = now.join(before, ["field_name", "annotator"]).withColumn("past", F.concat("_past", F.array(step))).withColumn("moved", F.abs(F.col("reliability") - F.col("_was")))
-        state = checkpointed(new.select("field_name", "annotator", "n_edges", "reliability", "past", "moved"))
-        if (state.agg(F.max("moved")).first()[0] or 0.0) < tolerance:
-            break
-    return state
+    n = b["annotators"].map(len).to_numpy()
+    item = np.repeat(np.arange(len(b)), n)
+    code, names = pd.factorize(np.concatenate(b["labels"].to_list()))
+    asked, question = np.unique(item * len(names) + code, return_inverse=True)
+    field = b["field_name"].to_numpy()[item]
+    who, people = pd.factorize(pd.MultiIndex.from_arrays([field, np.concatenate(b["annotators"].to_list())]))
+    return {"item": item, "question": question, "who": who}, pd.DataFrame(list(people), columns=["field_name", "annotator"]), names[asked % len(names)]
 
 
-def _decided(e: dict, weight: np.ndarray) -> tuple[pd.DataFrame, np.ndarray]:
-    """Every question with its support, best first within an item, and the chosen question per item."""
-    support = np.bincount(e["q_of_vote"], weight, minlength=e["n_q"])
-    t = pd.DataFrame({"i": e["q_item"], "label": e["label_of_q"], "support": support, "n": np.bincount(e["q_of_vote"], minlength=e["n_q"]), "q": np.arange(e["n_q"])})
-    t = t.sort_values(["i", "support", "label"], ascending=[True, False, True])
-    return t, t.drop_duplicates("i")["q"].to_numpy()
+BLOCK = "block bigint, field_name array<string>, annotator array<string>, item binary, question binary, who binary"
 
 
-def _vote_weights(b: pd.DataFrame, e: dict, known: dict | None) -> np.ndarray:
-    if known is None:
-        return np.concatenate(b["weights"].to_list()).astype(float)
-    codes, uniques = pd.factorize(pd.MultiIndex.from_arrays([b["field_name"].to_numpy()[e["item"]], e["annotators"]]))
-    return np.array([known[u] for u in uniques], float)[codes]
+def packed_votes(items: DataFrame) -> DataFrame:
+    """The votes of each batch of items as one row of flat arrays, so that a round reads no strings."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        first = TaskContext.get().partitionId() << 32
+        for k, b in enumerate(batches):
+            if len(b):
+                flat, people, _ = _flat(b)
+                yield pd.DataFrame([{"block": first + k, "field_name": people["field_name"].to_list(), "annotator": people["annotator"].to_list(), **{c: x.astype(np.int32).tobytes() for c, x in flat.items()}}])
+
+    return items.drop("item_key").mapInPandas(run, BLOCK)
+
+
+class Block:
+    """Votes of a batch, and the messages on their edges."""
+
+    def __init__(self, item: np.ndarray, question: np.ndarray, who: np.ndarray):
+        self.item, self.question, self.who = item, question, who
+        self.owner = np.zeros(question.max(initial=-1) + 1, np.int64)
+        self.owner[question] = item
+        self.items = int(item.max(initial=-1)) + 1
+        self.classes = np.bincount(self.owner, minlength=self.items)
+        self.counts = (np.bincount(item, minlength=self.items) >= LEAST)[item].astype(float)
+
+    def from_items(self, y: np.ndarray, ways: np.ndarray) -> np.ndarray:
+        """Log-odds of each vote's class against the rest, as the item's other votes have it.
+
+        Classes that nobody named stand for what is left of the ways to be wrong.
+        """
+        support = np.bincount(self.question, y, minlength=len(self.owner))
+        top = np.zeros(self.items)
+        np.maximum.at(top, self.owner, support)
+        weight = np.exp(support - top[self.owner])
+        named = np.bincount(self.owner, weight, minlength=self.items)
+        unnamed = np.maximum(np.exp(ways) + 1 - self.classes[self.item], 1) * np.exp(-top[self.item])
+        rest = np.maximum(named[self.item] - weight[self.question], 0) + unnamed
+        return support[self.question] - y - top[self.item] - np.log(rest)
+
+    def messages(self, right: np.ndarray, n: np.ndarray, ways: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Annotator to item, and the chance of each vote being right, from the sums of its annotator.
+
+        The item's own part of the sums is found by passing the messages once with it in.
+        """
+        r, n, w = right[self.who], n[self.who], ways[self.who]
+        sure = np.zeros(len(r))
+        for turn in range(3):
+            own = self.counts if turn else np.zeros(len(r))
+            a = np.maximum(r - own * sure, 0)
+            y = np.log((a + 1) / (np.maximum(n - own - a, 0) + 1)) + w
+            sure = 1 / (1 + np.exp(-np.clip(self.from_items(y, w) + y, -500, 500)))
+        return y, sure
+
+    def sums(self, sure: np.ndarray, people: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Per annotator how often right and of how many; per item the pairs of wrong votes that agree, and all."""
+        right = np.bincount(self.who, self.counts * sure, minlength=people)
+        n = np.bincount(self.who, self.counts, minlength=people)
+        wrong = self.counts * (1 - sure)
+        pairs = lambda at, k: np.bincount(at, wrong, minlength=k) ** 2 - np.bincount(at, wrong**2, minlength=k)
+        agree = np.bincount(self.owner, pairs(self.question, len(self.owner)), minlength=self.items)
+        return right, n, agree, pairs(self.item, self.items)
+
+
+def _sent(state: DataFrame, sent: int) -> dict | None:
+    """The sums of all annotators if there are at most ``sent`` of them."""
+    rows = state.limit(sent + 1).collect()
+    return {(r["field_name"], r["annotator"]): (r["total"], r["n"], r["ways"]) for r in rows} if len(rows) <= sent else None
 
-def _weighted_items(votes: DataFrame, weights: DataFrame) -> DataFrame:
-    v = votes.join(weights.select("field_name", "annotator", "weight"), ["field_name", "annotator"]).groupBy("field_name", "item_key").agg(F.collect_list(F.struct("annotator", "label", "weight")).alias("v"))
-    return v.select("field_name", "item_key", F.col("v.annotator").alias("annotators"), F.col("v.label").alias("labels"), F.col("v.weight").alias("weights"))
 
+def _joined(rows: DataFrame, id_: str, people: list, state: DataFrame) -> DataFrame:
+    """``rows`` with the sums of the annotators that each names, in the same order."""
+    named = rows.select(id_, F.posexplode(F.arrays_zip(*people)).alias("k", "p")).select(id_, "k", "p.*")
+    known = named.join(state, ["field_name", "annotator"], "left").groupBy(id_).agg(F.array_sort(F.collect_list(F.struct("k", "total", "n", "ways"))).alias("s"))
+    return rows.join(known, id_)
 
-def _weight_table(weights: DataFrame, sent: int) -> dict | None:
-    rows = weights.select("field_name", "annotator", "weight").limit(sent + 1).collect()
-    return {(r["field_name"], r["annotator"]): r["weight"] for r in rows} if len(rows) <= sent else None
 
+def _params(known: dict | None, b, people: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if known is not None:
+        got = np.array([known[p] for p in zip(people["field_name"], people["annotator"], strict=True)], float).reshape(-1, 3)
+    else:
+        got = np.array([[s["total"], s["n"], s["ways"]] for s in b], float).reshape(-1, 3)
+    return got[:, 0], got[:, 1], got[:, 2]
 
-def log_odds(votes: DataFrame, items: DataFrame, state: DataFrame, sent: int, tolerance: float = 1e-3, most: int = 8, least: int = 3) -> DataFrame:
-    """``field_name, annotator, n, right, weight``: the last messages, as log-odds.
 
-    Items answer with the class that their messages decide for; an annotator's message becomes the
-    log-odds of being right on items of at least ``least`` votes, plus the log of the number of
-    ways to be wrong, which is how rarely two wrong votes on an item agree. The first decisions are
-    those of the settled sums, and the rounds end when no weight moves.
+def reliabilities(votes: DataFrame, tolerance: float = 1e-4, most: int = 200, sent: int = SENT, items: DataFrame | None = None) -> DataFrame:
+    """``field_name, annotator, total, n, ways, reliability``: the sums after the messages have settled.
+
+    ``total`` of ``n`` votes on items of at least ``LEAST`` votes are right, and reliability is
+    their share (the share all start with where ``n`` is 0). Rounds go on until no reliability moves by ``tolerance``;
+    after ``most`` rounds without that an error is raised, so no unsettled label comes out.
     """
     sc = votes.sparkSession.sparkContext
-    past = sc.broadcast(_table(state, sent))
-    longest = state.agg(F.max(F.size("past"))).first()[0] or 0
-    weights = None
+    blocks = checkpointed(packed_votes(items if items is not None else items_of(votes)))
+    start = votes.select("field_name", "annotator").distinct().select("*", F.lit(1000 * START).alias("total"), F.lit(1000.0).alias("n"), F.lit(0.0).alias("ways"))
+    state = checkpointed(start.withColumn("reliability", F.lit(START)))
     for _ in range(most):
-        known = None if weights is None else sc.broadcast(_weight_table(weights, sent))
-        if weights is None:
-            rows = items if past.value is not None else _items(votes, state)
-        else:
-            rows = items if known.value is not None else _weighted_items(votes, weights)
+        known = sc.broadcast(_sent(state, sent))
+        rows = blocks if known.value is not None else _joined(blocks, "block", ["field_name", "annotator"], state.drop("reliability"))
 
         def run(batches: Iterator[pd.DataFrame], known=known) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                if not len(b):
-                    continue
-                e = _edges(b)
-                if known is None:
-                    y, _ = _messages(e, _past(b, e, longest, past.value))
-                    w = y[e["sign"] > 0]
-                else:
-                    w = _vote_weights(b, e, known.value)
-                _, chosen = _decided(e, w)
-                right = e["q_of_vote"] == chosen[e["item"]]
-                full = (np.bincount(e["item"]) >= least)[e["item"]]
-                field = b["field_name"].to_numpy()
-                out = pd.DataFrame({"field_name": field[e["item"]], "annotator": e["annotators"], "right": right.astype(np.int64), "n": 1})[full]
-                count = np.bincount(e["q_of_vote"][full & ~right], minlength=e["n_q"])
-                wrong = np.bincount(e["q_item"], count, minlength=len(b)).astype(np.int64)
-                agree = np.bincount(e["q_item"], count * (count - 1), minlength=len(b)).astype(np.int64)
-                pairs = pd.DataFrame({"field_name": field, "annotator": None, "right": agree, "n": wrong * (wrong - 1)})
-                yield pd.concat([out, pairs]).groupby(["field_name", "annotator"], as_index=False, dropna=False).sum()
-
-        sums = checkpointed(rows.mapInPandas(run, "field_name string, annotator string, right bigint, n bigint").groupBy("field_name", "annotator").agg(F.sum("right").alias("right"), F.sum("n").alias("n")))
-        ways = sums.filter("annotator IS NULL").select("field_name", F.greatest(F.ln((F.col("n") + 1) / (F.col("right") + 1)), F.lit(0.0)).alias("ways"))
-        p = (F.col("right") + 1) / (F.col("n") + 2)
-        every = votes.select("field_name", "annotator").distinct()
-        new = every.join(sums.filter("annotator IS NOT NULL"), ["field_name", "annotator"], "left").fillna(0, ["right", "n"]).join(ways, "field_name")
-        new = checkpointed(new.select("field_name", "annotator", "n", "right", (F.ln(p / (1 - p)) + F.col("ways")).alias("weight")))
-        moved = None
-        if weights is not None:
-            was = weights.select("field_name", "annotator", F.col("weight").alias("was"))
-            moved = new.join(was, ["field_name", "annotator"]).agg(F.max(F.abs(F.col("weight") - F.col("was")))).first()[0]
-        weights = new
-        if moved is not None and moved < tolerance:
-            break
-    return weights
+            for batch in batches:
+                for _, b in batch.iterrows():
+                    people = pd.DataFrame({"field_name": b["field_name"], "annotator": b["annotator"]})
+                    block = Block(*(np.frombuffer(b[c], np.int32).astype(np.int64) for c in ("item", "question", "who")))
+                    total, n, ways = _params(known.value, b.get("s"), people)
+                    _, sure = block.messages(total, n, ways)
+                    total, n, agree, every = block.sums(sure, len(people))
+                    field = np.empty(block.items, object)
+                    field[block.item] = people["field_name"].to_numpy()[block.who]
+                    pairs = pd.DataFrame({"field_name": field, "annotator": None, "total": agree, "n": every})
+                    yield pd.concat([people.assign(total=total, n=n), pairs]).groupby(["field_name", "annotator"], as_index=False, dropna=False).sum()
+
+        sums = checkpointed(rows.mapInPandas(run, "field_name string, annotator string, total double, n double").groupBy("field_name", "annotator").agg(F.sum("total").alias("total"), F.sum("n").alias("n")))
+        ways = sums.filter("annotator IS NULL").select("field_name", F.greatest(F.ln((F.col("n") + 1) / (F.col("total") + 1)), F.lit(0.0)).alias("ways"))
+        share = F.coalesce(F.try_divide("total", "n"), F.lit(START))
+        was = state.select("field_name", "annotator", F.col("reliability").alias("_was"), F.col("ways").alias("_ways"))
+        new = sums.filter("annotator IS NOT NULL").join(ways, "field_name").join(was, ["field_name", "annotator"]).withColumn("reliability", share)
+        moved = F.greatest(F.abs(F.col("reliability") - F.col("_was")), F.abs(F.col("ways") - F.col("_ways")))
+        state = checkpointed(new.select("field_name", "annotator", "total", "n", "ways", "reliability", moved.alias("moved")))
+        if (state.agg(F.max("moved")).first()[0] or 0.0) < tolerance:
+            return state.drop("moved")
+        state = state.drop("moved")
+    raise RuntimeError(f"messages did not settle in {most} rounds")
 
 
 def consensus(votes: DataFrame, sent: int = SENT) -> DataFrame:
     """``field_name, item_key, label, n_votes, support, runner_up, agreement`` per item.
 
-    The label is the class with the largest sum of the last messages (:func:`log_odds`) of the
-    annotators that chose it; ties go to the smaller string. ``agreement`` is the share of pairs of
-    annotators that chose the same label, 1 for a single vote. An item's votes (one per annotator)
-    are held together.
+    The label is the class with the largest sum of the settled messages of the annotators that
+    chose it; ties go to the smaller string. ``agreement`` is the share of pairs of annotators that
+    chose the same label, 1 for a single vote. An item's votes (one per annotator) are held
+    together. A table without votes gives an empty result.
     """
-    votes = checkpointed(votes)
-    items = checkpointed(_items(votes))
+    items = checkpointed(items_of(votes))
+    votes = items.select("field_name", F.explode("annotators").alias("annotator"))
     state = reliabilities(votes, sent=sent, items=items)
-    weights = log_odds(votes, items, state, sent)
-    known = votes.sparkSession.sparkContext.broadcast(_weight_table(weights, sent))
-    rows = items if known.value is not None else _weighted_items(votes, weights)
+    known = votes.sparkSession.sparkContext.broadcast(_sent(state, sent))
+    rows = items
+    if known.value is None:
+        id_ = F.struct("field_name", "item_key").alias("id")
+        named = items.select(id_, F.transform("annotators", lambda a: F.col("field_name")).alias("field_name"), F.col("annotators").alias("annotator"))
+        rows = items.select("*", id_).join(_joined(named, "id", ["field_name", "annotator"], state.drop("reliability")).select("id", "s"), "id").drop("id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b):
                 continue
-            e = _edges(b)
-            t, _ = _decided(e, _vote_weights(b, e, known.value))
-            top = t.drop_duplicates("i")
-            place = t.groupby("i").cumcount()
+            flat, people, label = _flat(b)
+            block = Block(**flat)
+            if known.value is None:
+                each = np.array([[x["total"], x["n"], x["ways"]] for s in b["s"] for x in s], float)
+                params = np.zeros((len(people), 3))
+                params[flat["who"]] = each
+                total, n, ways = params.T
+            else:
+                total, n, ways = _params(known.value, None, people)
+            y, _ = block.messages(total, n, ways)
+            size = np.bincount(flat["question"])
+            t = pd.DataFrame({"i": block.owner, "label": label, "support": np.bincount(flat["question"], y), "n": size})
+            t = t.sort_values(["i", "support", "label"], ascending=[True, False, True])
+            top, second = t.drop_duplicates("i"), t[t.groupby("i").cumcount() == 1]
             run_up = np.full(len(b), np.nan)
-            second = t[place == 1]
             run_up[second["i"].to_numpy()] = second["support"].to_numpy()
-            n = np.bincount(e["item"], minlength=len(b))
+            count = np.bincount(flat["item"], minlength=len(b))
             pairs = np.bincount(t["i"], t["n"] * (t["n"] - 1), minlength=len(b))
-            yield pd.DataFrame({"field_name": b["field_name"].to_numpy(), "item_key": b["item_key"].to_numpy(), "label": top["label"].to_numpy(), "n_votes": n.astype(np.int32), "support": top["support"].to_numpy(), "runner_up": run_up, "agreement": np.where(n > 1, pairs / np.maximum(n * (n - 1), 1), 1.0)})
+            yield pd.DataFrame({"field_name": b["field_name"].to_numpy(), "item_key": b["item_key"].to_numpy(), "label": top["label"].to_numpy(), "n_votes": count.astype(np.int32), "support": top["support"].to_numpy(), "runner_up": run_up, "agreement": np.where(count > 1, pairs / np.maximum(count * (count - 1), 1), 1.0)})
 
     return rows.mapInPandas(run, "field_name string, item_key string, label string, n_votes int, support double, runner_up double, agreement double")
 
@@ -258,10 +251,8 @@ def consensus(votes: DataFrame, sent: int = SENT) -> DataFrame:
 def all_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The models' votes on the three labelled fields."""
     c, s = table(spark, sf_dir, "extraction_candidates"), table(spark, sf_dir, "scene_split_candidates")
-    out = latest_votes(s, "risk_scene", "structured_record_id", "source_model", "risk_scene", ["confidence", "risk_scene"])
-    for f in ("finding", "scene"):
-        out = out.unionByName(latest_votes(c, f, "raw_record_id", "source_model", f, ["cand_pos", "candidate_id", f]))
-    return out
+    scenes = latest_votes(s, ["risk_scene"], "structured_record_id", "source_model", ["confidence"])
+    return scenes.unionByName(latest_votes(c, ["finding", "scene"], "raw_record_id", "source_model", ["cand_pos", "candidate_id"]))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,7 +264,8 @@ def p5_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reliabilities(checkpointed(all_votes(spark, sf_dir))).select("field_name", F.col("annotator").alias("source_model"), "n_edges", F.round("reliability", 4).alias("reliability"))
+    votes = checkpointed(all_votes(spark, sf_dir))
+    return reliabilities(votes).select("field_name", F.col("annotator").alias("source_model"), F.col("n").cast("bigint").alias("n_votes"), F.round("reliability", 4).alias("reliability"))
 
 
 QUERIES = {"p5_found": p5_found, "p5_items": p5_items, "p5_models": p5_models}

@@ -155,7 +155,7 @@ def test_consensus(spark):
     rows += [("i0", "m0", "", 0, "x"), ("solo", "m0", "甲", 1, "x"), ("none", "m1", None, 1, "x"), (None, "m1", "甲", 1, "x"), ("i1", None, "甲", 1, "x"), rows[3]]
     rows += [("late", "m0", "甲", 1, "x"), ("late", "m0", " ", 2, "x")]
     df = spark.createDataFrame(rows, "item string, model string, label string, pos int, votes string")
-    v = consensus.latest_votes(df, "f", "item", "model", "label", ["pos"])
+    v = consensus.latest_votes(df, ["label"], "item", "model", ["pos"])
     got = {r["item_key"]: r for r in consensus.consensus(v).collect()}
     assert sum(got[k]["label"] == t for k, t in truth.items()) >= 370
     assert got["solo"]["label"] == "甲" and got["solo"]["agreement"] == 1.0 and "none" not in got and "late" not in got
@@ -164,6 +164,21 @@ def test_consensus(spark):
     joined = {r["item_key"]: r["label"] for r in consensus.consensus(v, sent=0).collect()}
     assert joined == {k: r["label"] for k, r in got.items()}
     assert consensus.consensus(v.limit(0)).count() == 0
+    with pytest.raises(RuntimeError):
+        consensus.reliabilities(v, most=1)
+
+
+def test_messages_leave_out_their_receiver():
+    """The messages of a small graph, written out edge by edge."""
+    item, question, who = np.array([0, 0, 0, 1, 1, 1]), np.array([0, 0, 1, 2, 2, 3]), np.array([0, 1, 2, 0, 2, 1])
+    block = consensus.Block(item, question, who)
+    y = np.log([3.0, 2.0, 5.0, 3.0, 5.0, 2.0])
+    got = block.from_items(y, np.full(6, np.log(4.0)))
+    # Vote 0: its class has the other vote's 2; against it the other class (5) and the 3 that nobody named.
+    want = [2 / (5 + 3), 3 / (5 + 3), 1 / (6 + 3), 5 / (2 + 3), 3 / (2 + 3), 1 / (15 + 3)]
+    assert np.allclose(np.exp(got), want)
+    right, n, agree, every = block.sums(np.array([1, 1, 0, 0.5, 0.5, 1]), 3)
+    assert np.allclose(right, [1.5, 2, 0.5]) and np.allclose(n, 2) and np.allclose(agree, [0, 0.5]) and np.allclose(every, [0, 0.5])
 
 
 # 7
