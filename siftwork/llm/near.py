@@ -1,19 +1,25 @@
 """Problem 4: records that share most of their content, by Hamming BK-trees over shards.
 
 A text becomes the set of its character trigrams, each an exact 63-bit number. Two sets with a
-Jaccard similarity of at least t share a token among their rarest ones (prefix filter), so the
-tokens of these prefixes are the shards, and no link is lost. Within a shard, sets are 256-bit
-maps of hashed trigrams; the Hamming distance of two maps is at most the size of the symmetric
-difference of the sets, which the similarity bounds, so a BK-tree searched within that radius
-loses nothing either. What it returns is checked on the sets themselves.
-
-Shards are moved by shuffle rather than broadcast, as they grow with the data. A shard larger than
-``BLOCK`` is cut into blocks, each of which has a tree of its own that all blocks of queries visit.
+Jaccard similarity of at least t share a token among their rarest ones, so a shard is a class of
+tokens, every set belongs to the shards of its rarest tokens, and no link is lost. The number of
+shards follows the data, so that a shard holds about ``SHARD`` sets.
+
+Every shard has a BK-tree. Its root is the empty set, and the children of a node are keyed by
+their integer Hamming distance to it: below the root that of the whole sets, which is their size,
+further down that of 256-bit maps of hashed trigrams. The distance of two maps is at most the size
+of the symmetric difference of the sets, which the similarity bounds, so a query that follows only
+the edges within that radius loses nothing. What it returns is checked on the sets themselves.
+
+Shard trees are broadcast while they have at most ``SENT`` entries in all, and the sets stream past
+them where they lie. Beyond that size trees and queries meet by a shuffle on the shard; a shard
+larger than ``BLOCK`` is then cut into blocks, each with a tree of its own.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +34,10 @@ from siftwork.session import checkpointed
 
 WORDS = 4
 BUCKETS = 1 << 17
-BLOCK = 4096
+#: Sets a shard should hold, sets at most in one tree, entries of shard trees up to which they are broadcast.
+SHARD, BLOCK, SENT = 64, 4096, 2_000_000
+#: Rows of the search that are followed at once.
+AT_ONCE = 4000
 FIELDS = {"raw_text": ("raw_records", "record_id"), "finding": ("structured_records", "record_id")}
 
 
@@ -58,11 +67,6 @@ def bitmap(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(out, bitorder="little").view(np.uint64)
 
 
-def least_overlap(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
-    """Shared tokens that two sets of these sizes need for a similarity of ``t``."""
-    return np.ceil(t / (1 + t) * (a + b) - 1e-9).astype(np.int64)
-
-
 def token_sets(texts: DataFrame) -> DataFrame:
     """``field_name, key, digest, tokens`` of each text with at least one trigram."""
 
@@ -77,180 +81,256 @@ def token_sets(texts: DataFrame) -> DataFrame:
     return texts.filter("text IS NOT NULL AND key IS NOT NULL").mapInPandas(run, "field_name string, key string, digest binary, tokens array<bigint>")
 
 
-def _summed(df: DataFrame, run) -> np.ndarray:
-    """Counts of a fixed number of buckets: summed in Spark, at most BUCKETS rows to the driver."""
-    out = np.zeros(BUCKETS, np.int64)
-    rows = df.mapInPandas(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
+def token_counts(sets: DataFrame, t: float) -> tuple[np.ndarray, int]:
+    """How many sets hold a token of each bucket, and how many tree entries all sets have.
+
+    Counts are of a fixed number of buckets, summed in Spark; any such order of tokens keeps the
+    search exact.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, entries = np.zeros(BUCKETS, np.int64), 0
+        for b in batches:
+            if len(b):
+                total += np.bincount(bucket_of(np.concatenate(b["tokens"].to_list())), minlength=BUCKETS)
+                entries += sum(_lengths(len(x), t)[1] for x in b["tokens"])
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"bucket": np.r_[-1, at], "n": np.r_[entries, total[at]]})
+
+    counts = np.zeros(BUCKETS + 1, np.int64)
+    rows = sets.select("tokens").mapInPandas(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
+    return counts[:-1], int(counts[-1])
+
+
+def _lengths(n: int, t: float) -> tuple[int, int]:
+    """How many of a set's rarest tokens it asks with, and how many it is found by."""
+    return n - math.ceil(t * n - 1e-9) + 1, n - math.ceil(2 * t / (1 + t) * n - 1e-9) + 1
+
+
+def shards_of(tokens: np.ndarray, counts: np.ndarray, shards: int, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shards that a set asks, and those whose trees hold it."""
+    ask, hold = _lengths(len(tokens), t)
+    rare = tokens[np.lexsort((tokens, counts[bucket_of(tokens)]))][:ask]
+    shard = ((_mixed(rare ^ 0x3333) >> np.uint64(1)) % np.uint64(shards)).astype(np.int64)
+    return np.unique(shard), np.unique(shard[:hold])
+
+
+def far(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Hamming distances of the maps ``i`` of ``a`` to the maps ``j`` of ``b``; a row of each is a word of all maps."""
+    out = np.zeros(len(i), np.int64)
+    for x, y in zip(a, b, strict=True):
+        out += np.bitwise_count(x[i] ^ y[j])
     return out
 
 
-def _sparse(total: np.ndarray) -> pd.DataFrame:
-    at = np.flatnonzero(total)
-    return pd.DataFrame({"bucket": at.astype(np.int32), "n": total[at]})
+class Forest:
+    """BK-trees of several shards, level by level: ``codes`` are the sorted edges, ``nodes`` what they lead to and ``inner`` which of those have children.
 
+    An edge of level k is (number of the parent in level k - 1) times the largest distance plus the
+    distance to it; on the first level the parent is the tree and the distance the size of the set.
+    """
 
-def token_counts(sets: DataFrame) -> np.ndarray:
-    """How many sets hold a token of each bucket. Any such order of tokens keeps the join exact."""
+    def __init__(self, tree: np.ndarray, size: np.ndarray, maps: np.ndarray, digest: np.ndarray):
+        self.trees, at = np.unique(tree, return_inverse=True)
+        self.size, self.maps, self.digest = size.astype(np.int32), maps, digest
+        self.span = int(size.max(initial=0)) + 1
+        self.codes, self.nodes, self.inner, self.distances = [], [], [], 0
+        left, code = np.arange(len(tree)), at * self.span + size
+        while len(left):
+            edges, group = np.unique(code, return_inverse=True)
+            order = np.argsort(group, kind="stable")
+            left, group = left[order], group[order]
+            first = np.r_[True, group[1:] != group[:-1]]
+            node = left[first]
+            self.codes.append(edges)
+            self.nodes.append(node.astype(np.int32))
+            left, parent = left[~first], group[~first]
+            inner = np.zeros(len(node), bool)
+            inner[parent] = True
+            self.inner.append(inner)
+            code = parent * (64 * WORDS + 1) + far(maps, maps, left, node[parent])
+
+    def search(self, tree: np.ndarray, asker: np.ndarray, size: np.ndarray, maps: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+        """(asker, member) within reach, members no larger than the asker; ``size`` and ``maps`` are by asker.
+
+        An asker of size s reaches a member of size m at a distance of at most s + m less twice the
+        overlap they need; with the distance d to a node it follows the edges from d less that to d
+        more than that.
+        """
+        none = np.empty(0, np.int64)
+        found_q, found_m = [none], [none]
+        at = np.minimum(np.searchsorted(self.trees, tree), len(self.trees) - 1)
+        here = self.trees[at] == tree
+        asker, at = asker[here], at[here]
+        for s in range(0, len(asker), AT_ONCE):
+            q, base = asker[s : s + AT_ONCE], at[s : s + AT_ONCE] * self.span
+            lo, hi = base + np.ceil(t * size[q] - 1e-9).astype(np.int64), base + np.minimum(size[q], self.span - 1)
+            for codes, nodes, inner in zip(self.codes, self.nodes, self.inner, strict=True):
+                a, z = np.searchsorted(codes, lo), np.searchsorted(codes, hi, side="right")
+                k = np.maximum(z - a, 0)
+                q = np.repeat(q, k)
+                if not len(q):
+                    break
+                place = np.repeat(a - (np.cumsum(k) - k), k) + np.arange(len(q))
+                node = nodes[place]
+                self.distances += len(q)
+                d = far(maps, self.maps, q, node)
+                both = size[q] + self.size[node]
+                reach = both - 2 * _need(t, int(both.max()))[both]
+                near = d <= reach
+                found_q.append(q[near])
+                found_m.append(node[near])
+                on = inner[place]
+                q, d, reach, base = q[on], d[on], reach[on], place[on] * (64 * WORDS + 1)
+                lo, hi = base + np.maximum(d - reach, 0), base + np.minimum(d + reach, 64 * WORDS)
+        return np.concatenate(found_q), np.concatenate(found_m)
+
+
+def _need(t: float, most: int) -> np.ndarray:
+    """Shared tokens needed for a similarity of ``t``, by the sum of the two sizes."""
+    return np.ceil(t / (1 + t) * np.arange(most + 1) - 1e-9).astype(np.int64)
+
+
+def _pairs(digest: np.ndarray, size: np.ndarray, maps: np.ndarray, tree: np.ndarray, asker: np.ndarray, forests: list[Forest], t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs: askers by number, and digests of members. Of two equal sizes the larger digest asks."""
+    rows, digests = [np.empty(0, np.int64)], [np.empty((0, 2), np.uint64)]
+    for f in forests:
+        q, m = f.search(tree, asker, size, maps, t)
+        a, b = digest[q], f.digest[m]
+        keep = (f.size[m] < size[q]) | (b[:, 0] < a[:, 0]) | ((b[:, 0] == a[:, 0]) & (b[:, 1] < a[:, 1]))
+        rows.append(q[keep])
+        digests.append(b[keep])
+    t_ = pd.DataFrame({"row": np.concatenate(rows), "x": np.concatenate(digests)[:, 0], "y": np.concatenate(digests)[:, 1]}).drop_duplicates()
+    return t_["row"].to_numpy(), t_[["x", "y"]].to_numpy()
+
+
+def _numbers(digest: pd.Series) -> np.ndarray:
+    """Digests of 16 bytes as two numbers each, in the order of the bytes."""
+    return np.frombuffer(b"".join(digest), ">u8").reshape(-1, 2).astype(np.uint64)
+
+
+def _bytes(numbers: np.ndarray) -> list[bytes]:
+    raw = numbers.astype(">u8").tobytes()
+    return [raw[k : k + 16] for k in range(0, len(raw), 16)]
+
+
+def _batch(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and maps of the batch's sets."""
+    maps = np.stack([bitmap(x) for x in b["tokens"]]).T
+    return np.array([len(x) for x in b["tokens"]], np.int64), np.ascontiguousarray(maps)
+
+
+MAP = [f"m{k}" for k in range(WORDS)]
+
+
+def entries(sets: DataFrame, counts, shards: int, t: float, hold: bool) -> DataFrame:
+    """``field_name, shard, n, digest`` and the map: a row per set and shard that holds it, or else that it asks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(BUCKETS, np.int64)
         for b in batches:
-            if len(b):
-                total += np.bincount(bucket_of(np.concatenate(b["tokens"].to_list())), minlength=BUCKETS)
-        yield _sparse(total)
+            if not len(b):
+                continue
+            size, maps = _batch(b)
+            shard = [shards_of(x, counts.value, shards, t)[hold] for x in b["tokens"]]
+            row = np.repeat(np.arange(len(b)), [len(x) for x in shard])
+            yield pd.DataFrame({"field_name": b["field_name"].to_numpy()[row], "shard": np.concatenate(shard), "n": size[row].astype(np.int32), "digest": b["digest"].to_numpy()[row], **{c: m.view(np.int64)[row] for c, m in zip(MAP, maps, strict=True)}})
 
-    return _summed(sets.select("tokens"), run)
+    return sets.mapInPandas(run, "field_name string, shard bigint, n int, digest binary, " + ", ".join(f"{c} bigint" for c in MAP))
 
 
-def _prefixes(tokens: np.ndarray, counts: np.ndarray, t: float) -> tuple[np.ndarray, int]:
-    """The probing prefix in the order of rarity, and how much of it is the indexing prefix."""
-    n = len(tokens)
-    probe, index = n - math.ceil(t * n - 1e-9) + 1, n - math.ceil(2 * t / (1 + t) * n - 1e-9) + 1
-    return tokens[np.lexsort((tokens, counts[bucket_of(tokens)]))][:probe], index
+def _tree_ids(field: np.ndarray, *place: np.ndarray) -> np.ndarray:
+    """A number per field, shard and block, the same in every task; trees that share one are searched together."""
+    codes, names = pd.factorize(field)
+    out = pd.util.hash_array(np.asarray(names, object))[codes]
+    for x in place:
+        out = _mixed(out ^ x.astype(np.uint64))
+    return out
 
 
-def shard_rows(sets: DataFrame, counts: np.ndarray, t: float) -> DataFrame:
-    """One row per set and shard it belongs to; shards larger than BLOCK come out as pairs of blocks."""
-    sc = sets.sparkSession.sparkContext
-    shared = sc.broadcast(counts.astype(np.int32))
+def _forest(b: pd.DataFrame) -> Forest:
+    place = [b[c].to_numpy() for c in ("shard", "block") if c in b]
+    return Forest(_tree_ids(b["field_name"].to_numpy(), *place), b["n"].to_numpy().astype(np.int64), b[MAP].to_numpy().T.copy().view(np.uint64), _numbers(b["digest"]))
 
-    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(BUCKETS, np.int64)
-        for b in batches:
-            if len(b):
-                total += np.bincount(bucket_of(np.concatenate([_prefixes(x, shared.value, t)[0] for x in b["tokens"]])), minlength=BUCKETS)
-        yield _sparse(total)
 
-    load_of = sc.broadcast(_summed(sets.select("tokens"), load).astype(np.int32))
+def search_sent(sets: DataFrame, counts, shards: int, t: float) -> DataFrame:
+    """``field_name, a, ta, b`` by shard trees that tasks build and every task gets."""
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [b for b in batches if len(b)]
+        if parts:
+            yield pd.DataFrame({"forest": [pickle.dumps(_forest(pd.concat(parts, ignore_index=True)))]})
+
+    built = entries(sets, counts, shards, t, True).repartition("field_name", "shard").mapInPandas(build, "forest binary")
+    trees = sets.sparkSession.sparkContext.broadcast([bytes(r["forest"]) for r in built.collect()])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forests = [pickle.loads(x) for x in trees.value]
         for b in batches:
             if not len(b):
                 continue
-            prefix, index, maps, sizes = [], [], [], []
-            for x in b["tokens"]:
-                p, i = _prefixes(x, shared.value, t)
-                prefix.append(p)
-                index.append(i)
-                maps.append(bitmap(x))
-                sizes.append(len(x))
-            lens = np.array([len(p) for p in prefix])
-            row = np.repeat(np.arange(len(b)), lens)
-            pos = np.arange(len(row)) - np.repeat(np.cumsum(lens) - lens, lens)
-            token = np.concatenate(prefix)
-            blocks = -(-load_of.value[bucket_of(token)] // BLOCK)
-            own = np.array([int.from_bytes(d[:4], "little") for d in b["digest"]])[row] % np.maximum(blocks, 1)
-            m = np.stack(maps)[row].view(np.int64)
-            whole = pd.DataFrame({"field_name": b["field_name"].to_numpy()[row], "token": token, "pos": pos.astype(np.int32), "n": np.array(sizes, np.int32)[row], "digest": b["digest"].to_numpy()[row], **{f"m{k}": m[:, k] for k in range(WORDS)}})
-            tree = pos < np.array(index)[row]
-            one = blocks <= 1
-            whole["tree_block"], whole["query_block"] = own.astype(np.int32), own.astype(np.int32)
-            whole["in_tree"], whole["asks"] = tree, True
-            yield whole[one]
-            for k in np.flatnonzero(~one):
-                line = whole.iloc[[k] * int(blocks[k])].copy()
-                every = np.arange(blocks[k], dtype=np.int32)
-                if tree[k]:
-                    yield line.assign(query_block=every, in_tree=True, asks=every == own[k])
-                    every = every[every != own[k]]
-                    line = line.iloc[: len(every)]
-                yield line.assign(tree_block=every, in_tree=False, asks=True)
-
-    return sets.mapInPandas(run, "field_name string, token bigint, pos int, n int, digest binary, " + ", ".join(f"m{k} bigint" for k in range(WORDS)) + ", tree_block int, query_block int, in_tree boolean, asks boolean")
-
-
-def forest_search(group: np.ndarray, maps: np.ndarray, size: np.ndarray, in_tree: np.ndarray, asks: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """Build one BK-tree per group and search it with the group's queries; all trees level by level.
-
-    A node's children are keyed by their integer Hamming distance to it; a query at distance d
-    follows only the edges from d - r to d + r, r being the largest symmetric difference that a
-    partner of at most its own size can have. Returns (query, member) index pairs within reach.
-    """
-    members = np.flatnonzero(in_tree)
-    queries = np.flatnonzero(asks)
-    trees, tree_of = np.unique(group[members], return_inverse=True)
-    at = np.searchsorted(trees, group[queries])
-    ok = (at < len(trees)) & (trees[np.minimum(at, max(len(trees) - 1, 0))] == group[queries]) if len(trees) else np.zeros(len(queries), bool)
-    queries, at = queries[ok], at[ok]
-    found_q, found_m = [], []
-    reach = np.floor(2 * (1 - t) / (1 + t) * size + 1e-9).astype(np.int64)
-    while len(members) and len(queries):
-        order = np.argsort(tree_of, kind="stable")
-        members, tree_of = members[order], tree_of[order]
-        first = np.flatnonzero(np.r_[True, tree_of[1:] != tree_of[:-1]])
-        root = np.full(tree_of[-1] + 1, -1)
-        root[tree_of[first]] = members[first]
-        r = root[at]
-        d = np.bitwise_count(maps[queries] ^ maps[r]).sum(1, dtype=np.int64)
-        need = least_overlap(size[queries], size[r], t)
-        hit = (queries != r) & (d <= size[queries] + size[r] - 2 * need) & (size[r] <= size[queries]) & (size[r] >= t * size[queries] - 1e-9)
-        found_q.append(queries[hit])
-        found_m.append(r[hit])
-        rest = np.ones(len(members), bool)
-        rest[first] = False
-        members, parent = members[rest], tree_of[rest]
-        if not len(members):
-            break
-        code = parent * (64 * WORDS + 1) + np.bitwise_count(maps[members] ^ maps[root[parent]]).sum(1, dtype=np.int64)
-        edges, tree_of = np.unique(code, return_inverse=True)
-        base = at * (64 * WORDS + 1)
-        lo = np.searchsorted(edges, base + np.maximum(d - reach[queries], 0))
-        hi = np.searchsorted(edges, base + np.minimum(d + reach[queries], 64 * WORDS), side="right")
-        k = hi - lo
-        queries = np.repeat(queries, k)
-        at = np.repeat(lo - (np.cumsum(k) - k), k) + np.arange(len(queries))
-    none = np.empty(0, np.int64)
-    return (np.concatenate(found_q) if found_q else none, np.concatenate(found_m) if found_m else none)
-
-
-SHARD = ["field_name", "token", "tree_block", "query_block"]
-
-
-def candidates(rows: DataFrame, t: float) -> DataFrame:
-    """Distinct pairs of digests that some shard's tree returns."""
+            size, maps = _batch(b)
+            shard = [shards_of(x, counts.value, shards, t)[0] for x in b["tokens"]]
+            asker = np.repeat(np.arange(len(b)), [len(x) for x in shard])
+            field = b["field_name"].to_numpy()
+            row, found = _pairs(_numbers(b["digest"]), size, maps, _tree_ids(field[asker], np.concatenate(shard)), asker, forests, t)
+            yield pd.DataFrame({"field_name": field[row], "a": b["digest"].to_numpy()[row], "ta": b["tokens"].to_numpy()[row], "b": _bytes(found)})
+
+    return sets.mapInPandas(run, "field_name string, a binary, ta array<bigint>, b binary")
+
+
+PLACE = ["field_name", "shard", "block"]
+
+
+def search_shuffled(sets: DataFrame, counts, shards: int, t: float) -> DataFrame:
+    """``field_name, a, ta, b`` by trees and askers that meet in a task per shard and block."""
+    held, asks = (entries(sets, counts, shards, t, h) for h in (True, False))
+    held = checkpointed(held)
+    load = held.groupBy("field_name", "shard").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > BLOCK).select("field_name", "shard", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    cut = lambda df: df.join(load, ["field_name", "shard"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = cut(held).withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")).withColumn("held", F.lit(True))
+    every = cut(asks).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("held", F.lit(False))
 
     def solve(df: pd.DataFrame) -> pd.DataFrame:
-        group = df.groupby(SHARD, sort=False).ngroup().to_numpy()
-        maps = df[[f"m{k}" for k in range(WORDS)]].to_numpy().view(np.uint64)
-        size, pos = df["n"].to_numpy().astype(np.int64), df["pos"].to_numpy()
-        q, m = forest_search(group, maps, size, df["in_tree"].to_numpy(), df["asks"].to_numpy(), t)
-        keep = np.minimum(size[q] - pos[q], size[m] - pos[m]) >= least_overlap(size[q], size[m], t)
-        a, b = df["digest"].to_numpy()[q[keep]], df["digest"].to_numpy()[m[keep]]
-        flip = a > b
-        out = pd.DataFrame({"field_name": df["field_name"].to_numpy()[q[keep]], "a": np.where(flip, b, a), "b": np.where(flip, a, b)})
-        return out[out["a"] != out["b"]].drop_duplicates()
+        members, askers = df[df["held"]], df[~df["held"]]
+        if not len(members) or not len(askers):
+            return pd.DataFrame(columns=["field_name", "a", "b"])
+        tree = _tree_ids(askers["field_name"].to_numpy(), askers["shard"].to_numpy(), askers["block"].to_numpy())
+        maps = askers[MAP].to_numpy().T.copy().view(np.uint64)
+        row, found = _pairs(_numbers(askers["digest"]), askers["n"].to_numpy().astype(np.int64), maps, tree, np.arange(len(askers)), [_forest(members)], t)
+        return pd.DataFrame({"field_name": askers["field_name"].to_numpy()[row], "a": askers["digest"].to_numpy()[row], "b": _bytes(found)}).drop_duplicates()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        n = 0
+        waiting, n = [], 0
         for b in batches:
             if not len(b):
                 continue
-            held.append(b)
+            waiting.append(b)
             n += len(b)
             if n < 200_000:
                 continue
-            whole = pd.concat(held, ignore_index=True)
-            last = (whole[SHARD] == whole[SHARD].iloc[-1]).all(axis=1).to_numpy()
-            if last.all():
-                continue
-            cut = int(np.argmax(last))
-            yield solve(whole.iloc[:cut].reset_index(drop=True))
-            held, n = [whole.iloc[cut:]], len(whole) - cut
-        if held:
-            yield solve(pd.concat(held, ignore_index=True))
+            whole = pd.concat(waiting, ignore_index=True)
+            first = int(np.argmax((whole[PLACE] == whole[PLACE].iloc[-1]).all(axis=1).to_numpy()))
+            yield solve(whole.iloc[: first or len(whole)])
+            # A block's members come first; of a block that fills the batch they are kept for the askers still to come.
+            rest = whole.iloc[first:] if first else whole[whole["held"]]
+            waiting, n = [rest], len(rest)
+        if waiting:
+            yield solve(pd.concat(waiting, ignore_index=True))
 
-    spread = rows.repartition(*SHARD).sortWithinPartitions(*SHARD)
-    return spread.mapInPandas(run, "field_name string, a binary, b binary").distinct()
+    columns = [*PLACE, "held", "n", "digest", *MAP]
+    met = own.select(columns).unionByName(every.select(columns)).repartition(*PLACE).sortWithinPartitions(*PLACE, F.desc("held"))
+    found = met.mapInPandas(run, "field_name string, a binary, b binary").distinct()
+    return found.join(sets.select("field_name", F.col("digest").alias("a"), F.col("tokens").alias("ta")), ["field_name", "a"])
 
 
 def similar_sets(sets: DataFrame, t: float) -> DataFrame:
     """``field_name, a, b, similarity`` of all pairs of distinct token sets with at least ``t``."""
-    counts = token_counts(sets)
-    found = candidates(shard_rows(sets, counts, t), t)
-    side = {s: sets.select("field_name", F.col("digest").alias(s), F.col("tokens").alias(f"t{s}")) for s in "ab"}
-    both = found.join(side["a"], ["field_name", "a"]).join(side["b"], ["field_name", "b"])
+    counts, n = token_counts(sets, t)
+    shards = max(1, n // SHARD)
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+    found = (search_sent if n <= SENT else search_shuffled)(sets, shared, shards, t)
+    both = found.join(sets.select("field_name", F.col("digest").alias("b"), F.col("tokens").alias("tb")), ["field_name", "b"])
     shared = F.size(F.array_intersect("ta", "tb"))
     sim = shared / (F.size("ta") + F.size("tb") - shared)
     return both.select("field_name", "a", "b", sim.alias("similarity")).filter(F.col("similarity") >= t)

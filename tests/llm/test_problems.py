@@ -116,9 +116,10 @@ def test_newest_vector_counts(spark):
 # 4
 
 
-@pytest.mark.parametrize("block", [3, 4096])
-def test_near_pairs_against_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "sent"), [(4096, 2_000_000), (4096, 0), (3, 0)])
+def test_near_pairs_against_brute_force(spark, monkeypatch, block, sent):
     monkeypatch.setattr(near, "BLOCK", block)
+    monkeypatch.setattr(near, "SENT", sent)
     rng = random.Random(6)
     base = ["".join(rng.choice("阀门泵压力表缺失裸露断裂abc0123") for _ in range(rng.randint(3, 60))) for _ in range(40)]
     texts = []
