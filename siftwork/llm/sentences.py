@@ -1,16 +1,23 @@
 """Problem 9: sentence boundaries across languages and scripts.
 
 Whether the dot of an abbreviation or a number ends a sentence is decided from unambiguous
-occurrences elsewhere: a word before a dot is an abbreviation if, in the same document or else in
-the corpus, the dot is followed by a small letter or a comma, or by numbers only; and a word after
-such a dot opens a sentence if it opens one where there is no doubt (at the start of a paragraph or
-after an exclamation or question mark). Marks that leave no doubt, quotations, brackets, list
-lines, blank lines and Thai blanks follow rules of the script.
+occurrences elsewhere, those of the same document first and those of the corpus in its language
+where the document is silent:
+
+* a word before a dot is an abbreviation if its dot is followed by a small letter or a comma;
+* an abbreviation that ends no paragraph, though words of the language do, ends no sentence;
+* a word after such a dot opens a sentence if it stands at the start of a paragraph or after an
+  exclamation or question mark, and is a proper name if it stands capitalised within sentences.
+
+Every text is parsed once, into pieces between all places that may end a sentence; the pieces are
+kept, and joined where the evidence says that a dot ends nothing. Marks that leave no doubt,
+quotations, brackets, list lines, blank lines and Thai blanks follow rules of the script.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -24,20 +31,24 @@ from siftwork.session import checkpointed, spread, table
 # Marks that end a sentence without doubt, dots that may, quotes and brackets in pairs.
 STRONG = "!?。！？｡؟۔।॥։።፧‼⁇⁈⁉⸮។᠃"
 DOTS = ".．"
+STRONGS, _ASKED, _CLOSED = frozenset(STRONG), frozenset("!?！？"), frozenset(STRONG + DOTS + ":：;；…")
 PAIRS = {"(": ")", "（": "）", "[": "]", "［": "］", "{": "}", "【": "】", "〔": "〕", "「": "」", "『": "』", "《": "》", "〈": "〉", "«": "»", "“": "”", "„": "“", "‹": "›", "｢": "｣"}
-#: Words looked at on either side of a dot are at most this long; longer ones decide nothing.
-WORD = 24
+#: Share of a word's dots before a small letter or comma, or before a number, from which it is an abbreviation, and
+#: share of the places without doubt at which a capitalised word opens a sentence from which it opens others.
+SHORT, COUNTED, OPENS = 0.2, 0.7, 0.5
+#: An abbreviation ends none if it stands at the end of a paragraph this much less often than words of its language do,
+#: and the likelihood ratio of that is significant at 99 %.
+RARE, SIGNIFICANT = 0.1, 6.63
 #: Up to so many corpus words are sent to the workers; beyond it each document gets its own by a join.
 SENT = 200_000
 
 BREAK = r"(?:\r\n|[\n\r\x0b\x0c\x85  ])"
 _BLANK = re.compile(rf"{BREAK}[^\S\n\r]*(?:{BREAK}\s*)+")
 _BREAK = re.compile(BREAK)
-_MARKER = re.compile(r"[^\S\n\r]*(?:(\d{1,3})\.(?!\d)|\d{1,3}[)）]|[(（]\d{1,3}[)）]|[①-⑳]|[-*](?=\s)|•)")
+_MARKER = re.compile(r"[^\S\n\r]*(?:(\d{1,3})\.(?!\d)|(\d{1,3})[)）]|[(（](\d{1,3})[)）]|[①-⑳]|[-*](?=\s)|•)")
 _MARKS = re.compile(f"[{re.escape(STRONG + DOTS)}…⋯]+")
 _OPEN = re.compile("[" + re.escape("".join({*PAIRS, *PAIRS.values(), '"'})) + "]")
 _THAI = re.compile(r"(?<=[ก-ฺเ-๎])[^\S\n\r\x0b\x0c\x85  ]+(?=[ก-ฺเ-๎])")
-_BEFORE = re.compile(r"(?<![^\W\d_])(?:[^\W\d_]\.)+[^\W\d_]$|[^\W\d_](?:[^\W_]|[̀-ͯऀ-෿])*$")
 _CJK = re.compile(r"[⺀-鿿가-힯豈-﫿ｦ-ﾟ]")
 _NEXT = re.compile(r"\s*([\"“„«‹「『(（\[]*)\s*([^\W\d_][^\W\d_̀-ͯ]*|\d+)?")
 
@@ -74,12 +85,17 @@ def covered(text: str) -> list[tuple[int, int]]:
     return out
 
 
+_CAPITALS = "".join(chr(c) for c in range(0x41, 0x530) if chr(c).isupper())
+_SMALL = "".join(chr(c) for c in range(0x61, 0x530) if chr(c).islower())
+_NAME = re.compile(f"(?<=[{_SMALL},] )[{_CAPITALS}][^\\W\\d_̀-ͯ]*+(?!\\.)")
+
+
 def blocks(text: str) -> list[tuple[int, int, int]]:
     """``start, body, stop`` of the stretches between blank lines, cut again before list lines.
 
-    ``body`` lies behind a list marker. A number with a dot is a marker only if it is 1 or follows
-    the number of the marker before, since a line may as well open with an ordinal or a number of
-    the running sentence.
+    ``body`` lies behind a list marker. A number with a dot may as well be an ordinal or a number of
+    the running sentence; it is a marker if it is 1, follows the number of the marker before, or
+    stands where the line before has ended with a mark.
     """
     out, last = [], 0
     edges = [0]
@@ -90,9 +106,12 @@ def blocks(text: str) -> list[tuple[int, int, int]]:
         start, body = a, a
         for line in [a, *(m.end() for m in _BREAK.finditer(text, a, b))]:
             m = _MARKER.match(text, line, b)
-            if not m or m[1] and int(m[1]) not in (1, last + 1):
+            if not m:
+                continue
+            number = int(m[1] or m[2] or m[3] or 0)
+            if m[1] and number not in (1, last + 1) and line > start and text[start:line].rstrip()[-1:] not in _CLOSED:
                 continue
-            last = int(m[1]) if m[1] else last
+            last = number or last
             if line > start:
                 out.append((start, body, line))
             start, body = line, m.end()
@@ -100,195 +119,262 @@ def blocks(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def dots(text: str) -> Iterator[tuple[int, int, str, str, str]]:
-    """Every single dot that may or may not end a sentence: start, end, word before, kind and word after.
+def _word_before(text: str, start: int, stop: int) -> str:
+    """The word that ends at ``stop``, in lower case: letters joined by dots (z.B), or letters and digits after a letter.
 
-    The kind after is ``stop`` at the end of a block, ``glued`` (a letter or digit follows at once),
-    ``mid`` (a small letter, or a mark that only stands within sentences), ``num`` (a number or a code
-    such as AB-12), ``cap`` (a capital)
-    or ``other`` (a letter of a script without case).
+    ``#`` stands for a number, an empty text for anything else.
     """
-    for a, body, b in blocks(text):
-        inside = covered(text[a:b])
-        starts = [a + s for s, _ in inside]
-        for m in _MARKS.finditer(text, body, b):
-            if len(m[0]) != 1 or m[0] not in DOTS:
-                continue
-            k = bisect_right(starts, m.start()) - 1
-            if k >= 0 and m.start() <= a + inside[k][1]:
-                continue
-            prev = text[m.start() - 1 : m.start()]
-            word = None if _CJK.match(prev) else _BEFORE.search(text[max(a, m.start() - WORD) : m.start()])
-            before = word[0].lower() if word else "#" if prev.isdigit() else ""
-            rest = text[m.end() : min(b, m.end() + 3 * WORD)]
-            nxt = _NEXT.match(rest)
-            after = nxt[2] or ""
-            gap = rest[:1].isspace()
-            if not rest.strip():
-                kind = "stop"
-            elif not gap and rest[:1].isalnum():
-                kind = "glued"
-            elif after:
-                code = after.isupper() and re.match(r"-?\d", rest[nxt.end() :])
-                kind = "num" if after[0].isdigit() or code else "mid" if after[0].islower() and not nxt[1] else "cap" if after[0].isupper() or after[0].islower() else "other"
-            else:
-                kind = "mid" if rest.lstrip()[:1] in ",;:)]}，；：、）»”’-–—%" else "other"
-            yield m.start(), m.end(), before, kind, after
-
-
-def evidence(text: str) -> tuple[Counter, Counter]:
-    """Counts of (word before a dot, kind) and of words that open a sentence without doubt."""
-    seen, opens = Counter(), Counter()
-    for _, _, before, kind, _ in dots(text):
-        if before and kind != "glued":
-            seen[before, kind] += 1
-    for a, body, b in blocks(text):
-        at = [body] + [m.end() for m in _MARKS.finditer(text, body, b) if any(ch in "!?！？" for ch in m[0])]
-        for i in at:
-            if (n := _NEXT.match(text[i : min(b, i + 3 * WORD)])) and n[2] and n[2][0].isupper() and len(n[2]) <= WORD:
-                opens[n[2]] += 1
-    return seen, opens
-
-
-def sentences(text: str, never: frozenset[str] | set[str] = frozenset(), may: frozenset[str] | set[str] = frozenset(), openers: frozenset[str] | set[str] = frozenset()) -> list[tuple[int, int]]:
-    """The sentences of a text as half-open spans of code points, without white space around them.
+    i = stop
+    while i > start and (text[i - 1].isalnum() or unicodedata.combining(text[i - 1]) or "ऀ" <= text[i - 1] <= "෿"):
+        i -= 1
+    word = text[i:stop]
+    while word[:1].isdigit() and not word.isdigit():
+        word = word[1:]
+    if not word or not word[0].isalpha():
+        return "#" if text[stop - 1 : stop].isdigit() else ""
+    if len(word) == 1:
+        i = stop - 1
+        while i - 2 >= start and text[i - 1] == "." and text[i - 2].isalpha() and not (i - 3 >= start and text[i - 3].isalpha()):
+            i -= 2
+    return text[i:stop].lower() if len(word) == 1 else word.lower()
 
-    ``never`` and ``may`` are the corpus's abbreviations, ``openers`` its words that open sentences.
-    """
-    seen, opens = evidence(text)
-    by_word: dict[str, Counter] = {}
-    for (w, kind), n in seen.items():
-        by_word.setdefault(w, Counter())[kind] += n
-    # Own evidence counts where it is unambiguous; else the corpus decides.
-    abbreviation = {w for w, n in by_word.items() if n["mid"] or w in may}
-    verdict = {}
-    for start, _, before, kind, after in dots(text):
-        opener = after in opens or after in openers
-        if kind in ("stop",):
-            verdict[start] = True
-        elif kind == "glued":
-            nxt = text[start + 1]
-            prev = text[start - 1 : start]
-            caseless = lambda ch: ch.isalpha() and not ch.isascii() and ch.lower() == ch.upper()
-            word_cap = nxt.isupper() and text[start + 2 : start + 3].islower() and prev.islower() and "." not in before and len(before) > 1
-            verdict[start] = caseless(prev) or (caseless(nxt) and not prev.isspace()) or word_cap
-        elif _CJK.match(text[start - 1 : start]):
-            verdict[start] = True
-        elif kind == "mid" or before in never:
-            verdict[start] = False
-        elif before == "#":
-            verdict[start] = kind == "other" or (kind == "cap" and opener)
-        elif before in abbreviation:
-            verdict[start] = kind == "cap" and opener
-        elif len(before) == 1 and kind == "cap" and len(after) == 1 and text[start + 1 :].lstrip()[1:2] == ".":
-            verdict[start] = False
-        else:
-            verdict[start] = True
-    out: list[tuple[int, int]] = []
-    for a, body, b in blocks(text):
-        inside = covered(text[a:b])
-        starts = [a + s for s, _ in inside]
 
-        def hidden(i: int, starts: list[int] = starts, inside: list = inside, a: int = a) -> bool:
-            k = bisect_right(starts, i) - 1
-            return k >= 0 and i <= a + inside[k][1]
+def _caseless(ch: str) -> bool:
+    return ch.isalpha() and not ch.isascii() and ch.lower() == ch.upper()
 
-        cuts = []
-        for m in _MARKS.finditer(text, body, b):
-            if hidden(m.start()):
-                continue
-            if any(ch in STRONG for ch in m[0]):
-                left, right = text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]
-                if not (m[0].isascii() and left.isascii() and left.isalnum() and right.isascii() and (right.islower() or right.isdigit())):
-                    cuts.append(m.end())
-            elif len(m[0]) == 1 and verdict.get(m.start()):
-                cuts.append(m.end())
-        for m in _THAI.finditer(text, a, b):
-            if not hidden(m.start()):
-                cuts.append(m.end())
-        start = a
-        for c in [*sorted(set(cuts)), b]:
+
+CERTAIN, NEVER, OPEN = 1, 0, -1
+
+
+class Parsed:
+    """A text cut at all places that may end a sentence.
+
+    ``pieces`` are ``start, stop, dot``: spans without white space around them, and what ends them:
+    -1 an end without doubt, else the number of the dot in ``dots``, which holds the word before,
+    the kind of what follows and the word after. ``seen`` counts words before dots by kind, ``opens``
+    and ``names`` are the words that open a sentence or stand within one without doubt.
+    """
+
+    def __init__(self, text: str):
+        self.pieces: list[tuple[int, int, int]] = []
+        self.dots: list[tuple[str, str, str]] = []
+        self.seen: Counter = Counter()
+        self.opens: set[str] = set()
+        self.names = set(_NAME.findall(text))
+        for a, body, b in blocks(text):
+            inside = covered(text[a:b])
+            starts = [s for s, _ in inside]
+            cuts: list[tuple[int, int]] = []
+            self._open(text, body, b)
+            for m in _MARKS.finditer(text, body, b):
+                at = m.start()
+                if starts and (k := bisect_right(starts, at - a) - 1) >= 0 and at - a <= inside[k][1]:
+                    if not _ASKED.isdisjoint(m[0]):
+                        self._open(text, m.end(), b)
+                    continue
+                if not STRONGS.isdisjoint(m[0]):
+                    left, right = text[at - 1 : at], text[m.end() : m.end() + 1]
+                    if not (m[0].isascii() and left.isascii() and left.isalnum() and right.isascii() and (right.islower() or right.isdigit())):
+                        cuts.append((m.end(), -1))
+                    if not _ASKED.isdisjoint(m[0]):
+                        self._open(text, m.end(), b)
+                elif len(m[0]) == 1 and m[0] in DOTS:
+                    verdict = self._dot(text, a, at, b)
+                    if verdict != NEVER:
+                        cuts.append((m.end(), -1 if verdict == CERTAIN else len(self.dots) - 1))
+            for m in _THAI.finditer(text, a, b):
+                if not (starts and (k := bisect_right(starts, m.start() - a) - 1) >= 0 and m.start() - a <= inside[k][1]):
+                    cuts.append((m.end(), -1))
+            self._cut(text, a, b, sorted(set(cuts)))
+
+    def _open(self, text: str, at: int, stop: int) -> None:
+        if (m := _NEXT.match(text, at, stop)) and m[2] and m[2][0].isupper():
+            self.opens.add(m[2])
+
+    def _dot(self, text: str, a: int, at: int, b: int) -> int:
+        """Takes a single dot down and says whether it ends a sentence as far as that needs no evidence."""
+        prev, nxt = text[at - 1 : at] if at > a else "", text[at + 1] if at + 1 < b else ""
+        if nxt.isalnum():
+            capital = nxt.isupper() and text[at + 2 : at + 3].islower() and prev.islower() and at - 2 >= a and text[at - 2].isalpha()
+            return CERTAIN if _caseless(prev) or (_caseless(nxt) and not prev.isspace()) or capital else NEVER
+        m = _NEXT.match(text, at + 1, b)
+        after, quote, end = m[2] or "", m[1], m.end()
+        if after:
+            code = after.isupper() and re.match(r"-?\d", text[end : end + 2])
+            kind = "num" if after[0].isdigit() or code else "mid" if after[0].islower() and not quote else "cap" if after[0].isupper() or after[0].islower() else "other"
+        elif not quote and end == b:
+            kind = "stop"
+        else:
+            mark = quote[:1] or text[end]
+            kind = "mid" if mark in ",;:)]}，；：、）»”’-–—%" else "other"
+        before = "" if _CJK.match(prev) else _word_before(text, a, at)
+        if before and before != "#":
+            self.seen[before, kind] += 1
+        if kind == "stop" or (prev and _CJK.match(prev)):
+            return CERTAIN
+        if kind == "mid" or (len(before) == 1 and kind == "cap" and len(after) == 1 and text[end : end + 1] == "."):
+            return NEVER
+        if not before or (before == "#" and kind == "other"):
+            return CERTAIN
+        if before == "#" and kind == "num":
+            return NEVER
+        self.dots.append((before, kind, after))
+        return OPEN
+
+    def _cut(self, text: str, a: int, b: int, cuts: list[tuple[int, int]]) -> None:
+        first, start = len(self.pieces), a
+        for c, dot in [*cuts, (b, -1)]:
             piece = text[start:c]
-            lead = len(piece) - len(piece.lstrip())
-            if piece.strip():
-                out.append((start + lead, start + len(piece.rstrip())))
+            if piece and not piece.isspace():
+                lead = len(piece) - len(piece.lstrip())
+                self.pieces.append((start + lead, start + len(piece.rstrip()), dot))
+            elif dot < 0 and len(self.pieces) > first:
+                self.pieces[-1] = (*self.pieces[-1][:2], -1)
             start = c
+
+
+def ended(dots: list[tuple[str, str, str]], own: dict[str, set[str]], opens: set[str], names: set[str], never=frozenset(), may=frozenset(), openers=frozenset()) -> list[bool]:
+    """Which of a document's open dots end a sentence.
+
+    ``own`` has the words that the document shows to be abbreviations (``mid``) and to end
+    paragraphs (``stop``), ``opens`` and ``names`` its words that open sentences or stand within
+    them. Where it shows nothing, or both, the corpus words ``never``, ``may`` and ``openers`` decide.
+    """
+    out = []
+    for before, kind, after in dots:
+        shown = (after in opens) - (after in names)
+        opener = kind == "cap" and (shown > 0 or (not shown and after in openers))
+        if before == "#":
+            out.append(opener)
+        elif before in never and before not in own["stop"]:
+            out.append(False)
+        elif before in own["mid"] or before in may or before in never:
+            out.append(opener)
+        else:
+            out.append(True)
     return out
 
 
-KINDS = ("mid", "num", "stop", "cap", "other")
+def joined(pieces, ends: list[bool]) -> list[tuple[int, int]]:
+    """The sentences: pieces joined where the dot between them ends nothing."""
+    out, start = [], None
+    for a, z, dot in pieces:
+        start = a if start is None else start
+        if dot < 0 or ends[dot]:
+            out.append((start, z))
+            start = None
+    return out
 
 
-def corpus_words(docs: DataFrame) -> DataFrame:
-    """``word, k`` of the whole corpus: abbreviations (k is ``never`` or ``may``) and openers (``opens``).
+def sentences(text: str, never=frozenset(), may=frozenset(), openers=frozenset()) -> list[tuple[int, int]]:
+    """The sentences of a text as half-open spans of code points, without white space around them.
 
-    A word that ends sentences stands at the end of a block now and then; one that never does,
-    though its dot is common, is taken for an abbreviation that ends none. Counts are summed per
-    batch before they are shuffled. ``docs`` has the column ``text``.
+    ``never`` and ``may`` are the corpus's abbreviations, ``openers`` its words that open sentences.
     """
+    p = Parsed(text)
+    own = {k: {w for w, kind in p.seen if kind == k} for k in ("mid", "stop")}
+    return joined(p.pieces, ended(p.dots, own, p.opens, p.names, never, may, openers))
+
+
+KINDS = ("mid", "num", "stop", "cap", "other")
+PARSED = "lang string, starts array<int>, stops array<int>, closed array<int>, before array<string>, kind array<string>, after array<string>, words array<string>, kinds array<string>, times array<int>, opens array<string>, names array<string>"
+#: Stands for all languages together, which documents without a language go by.
+ALL = "*"
+
+
+def parsed_documents(docs: DataFrame, kind: str) -> DataFrame:
+    """Every document of ``_key, text, lang`` parsed once, as flat arrays."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            total: Counter = Counter()
-            for t in b["text"]:
-                seen, opens = evidence(t)
-                total.update(seen)
-                total.update({(w, "opens"): n for w, n in opens.items()})
-            yield pd.DataFrame([(w, k, n) for (w, k), n in total.items()], columns=["word", "kind", "n"])
-
-    counts = docs.select("text").mapInPandas(run, "word string, kind string, n bigint").groupBy("word").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(k) for k in (*KINDS, "opens")])
-    total = sum((F.col(k) for k in KINDS[1:]), F.col(KINDS[0]))
-    short = (F.col("mid") >= 0.2 * total) | ((F.col("num") >= 0.7 * total) & (F.col("stop") <= 0.05 * total))
-    no_end = (total >= 20) & (F.col("stop") <= 0.005 * total) & (short | (F.length("word") <= 4))
-    kind = F.when(F.col("word") == "#", None).when(no_end, "never").when((total > 0) & short, "may")
-    both = F.array_compact(F.array(kind, F.when(F.col("opens") >= 2, "opens")))
-    return counts.select("word", F.explode(both).alias("k"))
-
-
-def split_documents(docs: DataFrame, key: str, text: str, sent: int = SENT) -> DataFrame:
+            for s in range(0, len(b), 500):
+                part, rows = b.iloc[s : s + 500], []
+                for key, text, lang in zip(part["_key"], part["text"], part["lang"], strict=True):
+                    p = Parsed(text)
+                    pieces, dots, seen = (list(map(list, zip(*x, strict=True))) or [[], [], []] for x in (p.pieces, p.dots, [(w, k, n) for (w, k), n in p.seen.items()]))
+                    rows.append((key, lang, *pieces, *dots, *seen, sorted(p.opens), sorted(p.names)))
+                yield pd.DataFrame(rows, columns=["_key", *(c.split()[0] for c in PARSED.split(", "))])
+
+    return docs.mapInPandas(run, f"_key {kind}, {PARSED}")
+
+
+def corpus_words(parsed: DataFrame) -> DataFrame:
+    """``lang, word, k`` of the whole corpus: abbreviations (k is ``never`` or ``may``) and openers (``opens``).
+
+    All are shares of the word's own occurrences in its language, so they mean the same at every
+    size. A word that may end sentences ends paragraphs now and then; one that does so hardly ever,
+    compared with all words of the language, is an abbreviation that ends none.
+    """
+    lang = F.coalesce("lang", F.lit(ALL))
+    dots = parsed.select(lang.alias("lang"), F.explode(F.arrays_zip("words", "kinds", "times")).alias("x")).select("lang", F.col("x.words").alias("word"), F.col("x.kinds").alias("kind"), F.col("x.times").cast("bigint").alias("n"))
+    at = lambda c: parsed.select(lang.alias("lang"), F.explode(c).alias("word"), F.lit(c).alias("kind"), F.lit(1).cast("bigint").alias("n"))
+    every = (*KINDS, "opens", "names")
+    sums = lambda df: df.groupBy("lang", "word").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(k) for k in every])
+    counts = checkpointed(sums(dots.unionByName(at("opens")).unionByName(at("names"))))
+    whole = counts.filter(F.col("lang") != ALL).unionByName(counts.groupBy("word").agg(*[F.sum(k).alias(k) for k in every]).withColumn("lang", F.lit(ALL)))
+    n = sum((F.col(k) for k in KINDS[1:]), F.col(KINDS[0]))
+    base = whole.groupBy("lang").agg(F.try_divide(F.sum("stop"), F.sum(n)).alias("p"))
+    s, p = F.col("stop"), F.col("p")
+    part = lambda x, expected: F.when(x > 0, x * F.ln(x / expected)).otherwise(0.0)
+    ratio = 2 * (part(s, n * p) + part(n - s, n * (1 - p)))
+    no_end = (p > 0) & (p < 1) & (s <= RARE * p * n) & (ratio >= SIGNIFICANT)
+    short = (F.col("mid") >= SHORT * n) | ((F.col("num") >= COUNTED * n) & (s <= RARE * p * n))
+    kind = F.when(n > 0, F.when(no_end, "never").when(short, "may"))
+    opens = F.when((F.col("opens") > 0) & (F.col("opens") >= OPENS * (F.col("opens") + F.col("names"))), "opens")
+    return whole.join(F.broadcast(base), "lang").select("lang", "word", F.explode(F.array_compact(F.array(kind, opens))).alias("k"))
+
+
+def split_documents(docs: DataFrame, key: str, text: str, lang: str | None = None, sent: int = SENT) -> DataFrame:
     """``key, start_at, stop_at`` of every sentence of every document.
 
-    Null, empty and blank texts have none, nor have rows without a key. Corpus words are broadcast while there are at most
-    ``sent`` of them; beyond that each document is joined with the corpus words it holds.
+    Null, empty and blank texts have none, nor have rows without a key; rows that stand twice give
+    their sentences twice. Without a language a document goes by the words of all. Corpus words are
+    broadcast while there are at most ``sent`` of them; beyond that each document is joined with
+    the corpus words it holds, the words salted since some stand in most documents.
     """
-    kind = dict(docs.dtypes)[key]
-    d = spread(docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).filter("text IS NOT NULL AND _key IS NOT NULL"))
-    both = checkpointed(corpus_words(d))
-    schema = f"_key {kind}, start_at int, stop_at int"
+    type_ = dict(docs.dtypes)[key]
+    d = docs.select(F.col(key).alias("_key"), F.col(text).alias("text"), (F.col(lang) if lang else F.lit(None)).cast("string").alias("lang"))
+    parsed = checkpointed(parsed_documents(spread(d.filter("text IS NOT NULL AND _key IS NOT NULL")), type_))
+    both = checkpointed(corpus_words(parsed))
     sets = ("never", "may", "opens")
 
     def rows(b: pd.DataFrame, words) -> pd.DataFrame:
-        out = [(k, s, e) for k, t, w in zip(b["_key"], b["text"], words, strict=True) for s, e in sentences(t, *w)]
+        out = []
+        for key_, starts, stops, closed, before, kind, after, seen, kinds, opens, names, w in zip(*(b[c] for c in ("_key", "starts", "stops", "closed", "before", "kind", "after", "words", "kinds", "opens", "names")), words, strict=True):
+            ends = []
+            if len(before):
+                own = {k: {x for x, y in zip(seen, kinds, strict=True) if y == k} for k in ("mid", "stop")}
+                ends = ended(list(zip(before, kind, after, strict=True)), own, set(opens), set(names), *w)
+            out += [(key_, a, z) for a, z in joined(zip(starts, stops, closed, strict=True), ends)]
         return pd.DataFrame(out, columns=["_key", "start_at", "stop_at"])
 
+    schema = f"_key {type_}, start_at int, stop_at int"
     few = both.limit(sent + 1).toPandas()
     if len(few) <= sent:
-        shared = docs.sparkSession.sparkContext.broadcast(tuple(frozenset(few["word"][few["k"] == k]) for k in sets))
+        known = {x: tuple(frozenset(g["word"][g["k"] == k]) for k in sets) for x, g in few.groupby("lang")}
+        shared = docs.sparkSession.sparkContext.broadcast(known)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            none = (frozenset(),) * 3
             for b in batches:
-                for s in range(0, len(b), 500):
-                    part = b.iloc[s : s + 500]
-                    yield rows(part, [shared.value] * len(part))
+                yield rows(b, [shared.value.get(x or ALL, none) for x in b["lang"]])
 
-        return d.mapInPandas(run, schema).withColumnRenamed("_key", key)
-
-    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = [(k, w) for k, t in zip(b["_key"], b["text"], strict=True) for w in {x for _, _, p, _, n in dots(t) for x in (p, n) if x}]
-            yield pd.DataFrame(out, columns=["_key", "word"])
+        return parsed.mapInPandas(run, schema).withColumnRenamed("_key", key)
 
-    held = d.mapInPandas(words, f"_key {kind}, word string").join(both, "word").groupBy("_key").agg(*[F.collect_set(F.when(F.col("k") == k, F.col("word"))).alias(k) for k in sets])
+    salt = 16
+    held = parsed.select("_key", F.coalesce("lang", F.lit(ALL)).alias("lang"), F.explode(F.array_distinct(F.concat("before", "after"))).alias("word")).withColumn("salt", F.pmod(F.xxhash64("_key"), F.lit(salt)).cast("int"))
+    spread_words = both.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    found = held.join(spread_words, ["lang", "word", "salt"]).groupBy("_key").agg(*[F.collect_set(F.when(F.col("k") == k, F.col("word"))).alias(f"_{k}") for k in sets])
 
     def run_joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield rows(b, [tuple(frozenset(x if x is not None else ()) for x in p) for p in zip(*(b[k] for k in sets), strict=True)])
+            yield rows(b, [tuple(frozenset(x if x is not None else ()) for x in p) for p in zip(*(b[f"_{k}"] for k in sets), strict=True)])
 
-    return d.join(held, "_key", "left").mapInPandas(run_joined, schema).withColumnRenamed("_key", key)
+    return parsed.join(found, "_key", "left").mapInPandas(run_joined, schema).withColumnRenamed("_key", key)
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_documents(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return split_documents(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
 
 
 QUERIES = {"p9_found": p9_found}

@@ -276,6 +276,40 @@ def test_sentence_rules():
         assert cut(text, **words) == want, text
 
 
+def test_words_and_gaps_of_any_length():
+    gap, word = " " * 80, "x" * 40 + "establishmentarianismist"
+    assert cut(f"He met Dr.{gap}Smith.", never={"dr"}) == [f"He met Dr.{gap}Smith."]
+    assert cut(f"a {word}. B.", never={word[-24:]}) == [f"a {word}.", "B."]
+    assert cut(f"a {word}. B.", never={word}) == [f"a {word}. B."]
+
+
+def test_document_is_asked_before_the_corpus():
+    """The same words, whatever the corpus says of them, where the document has unambiguous occurrences."""
+    assert cut("By Fa. Mohr. At Fa. mit Mohr.") == ["By Fa. Mohr.", "At Fa. mit Mohr."]
+    text = "Done approx. Mohr left. He saw, Mohr said, approx, approx. no."
+    assert cut(text, openers={"Mohr"})[0] == "Done approx. Mohr left."
+    assert cut("Done approx. Then left.", may={"approx"}, openers={"Then"}) == ["Done approx.", "Then left."]
+    assert cut("Done approx. Then left.", may={"approx"}) == ["Done approx. Then left."]
+    assert cut("Then what? Done approx. Then left.", may={"approx"}) == ["Then what?", "Done approx.", "Then left."]
+    assert cut("Go to St. Mary.\n\nMain St.", never={"st"}, openers={"Mary"}) == ["Go to St.", "Mary.", "Main St."]
+
+
+def test_list_lines_with_any_number():
+    assert cut("Steps:\n3. Check\n4. Close") == ["Steps:", "3. Check", "4. Close"]
+    assert cut("1) Check\n2. Close") == ["1) Check", "2. Close"]
+    assert cut("Es war am\n5. Mai so.") == ["Es war am\n5. Mai so."]
+
+
+def test_corpus_words_are_shares(spark):
+    """The same corpus ten times over has the same words, and a language its own."""
+    texts = [("See Fig. 3 now.", "en"), ("Use it, etc. and go.", "en"), ("Go on. The end.\n\nThe end.", "en"), ("Ein Rohr, etc. Rohr ist da.", "de")] * 40
+    find = lambda n: {tuple(r) for r in sentences.corpus_words(sentences.parsed_documents(spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(texts * n)], "_key long, text string, lang string"), "bigint")).collect()}
+    once = find(1)
+    assert once == find(10)
+    assert ("en", "fig", "never") in once and ("en", "etc", "never") in once and ("en", "The", "opens") in once
+    assert not any(x[:2] == ("de", "fig") for x in once)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text("ab 1.。!?\"“”()（）\n-•กข…A", max_size=80))
 def test_sentences_cover_the_text(text):
