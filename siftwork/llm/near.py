@@ -129,27 +129,32 @@ class Forest:
 
     An edge of level k is (number of the parent in level k - 1) times the largest distance plus the
     distance to it; on the first level the parent is the tree and the distance the size of the set.
+    Nodes are numbers of rows of ``sets``, the sizes, maps and digests, which are not part of what is sent.
     """
 
-    def __init__(self, tree: np.ndarray, size: np.ndarray, maps: np.ndarray, digest: np.ndarray):
+    def __init__(self, tree: np.ndarray, member: np.ndarray, sets: tuple[np.ndarray, np.ndarray, np.ndarray]):
         self.trees, at = np.unique(tree, return_inverse=True)
-        self.size, self.maps, self.digest = size.astype(np.int32), maps, digest
-        self.span = int(size.max(initial=0)) + 1
+        self.sets = sets
+        size, maps, _ = sets
+        self.span = int(size[member].max(initial=0)) + 1
         self.codes, self.nodes, self.inner, self.distances = [], [], [], 0
-        left, code = np.arange(len(tree)), at * self.span + size
+        left, code = np.arange(len(tree)), at * self.span + size[member]
         while len(left):
             edges, group = np.unique(code, return_inverse=True)
             order = np.argsort(group, kind="stable")
             left, group = left[order], group[order]
             first = np.r_[True, group[1:] != group[:-1]]
-            node = left[first]
+            node = member[left[first]]
             self.codes.append(edges)
             self.nodes.append(node.astype(np.int32))
             left, parent = left[~first], group[~first]
             inner = np.zeros(len(node), bool)
             inner[parent] = True
             self.inner.append(inner)
-            code = parent * (64 * WORDS + 1) + far(maps, maps, left, node[parent])
+            code = parent * (64 * WORDS + 1) + far(maps, maps, member[left], node[parent])
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"sets": None}
 
     def search(self, tree: np.ndarray, asker: np.ndarray, size: np.ndarray, maps: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
         """(asker, member) within reach, members no larger than the asker; ``size`` and ``maps`` are by asker.
@@ -160,6 +165,7 @@ class Forest:
         """
         none = np.empty(0, np.int64)
         found_q, found_m = [none], [none]
+        own_size, own_maps, _ = self.sets
         at = np.minimum(np.searchsorted(self.trees, tree), len(self.trees) - 1)
         here = self.trees[at] == tree
         asker, at = asker[here], at[here]
@@ -175,8 +181,8 @@ class Forest:
                 place = np.repeat(a - (np.cumsum(k) - k), k) + np.arange(len(q))
                 node = nodes[place]
                 self.distances += len(q)
-                d = far(maps, self.maps, q, node)
-                both = size[q] + self.size[node]
+                d = far(maps, own_maps, q, node)
+                both = size[q] + own_size[node]
                 reach = both - 2 * _need(t, int(both.max()))[both]
                 near = d <= reach
                 found_q.append(q[near])
@@ -197,8 +203,8 @@ def _pairs(digest: np.ndarray, size: np.ndarray, maps: np.ndarray, tree: np.ndar
     rows, digests = [np.empty(0, np.int64)], [np.empty((0, 2), np.uint64)]
     for f in forests:
         q, m = f.search(tree, asker, size, maps, t)
-        a, b = digest[q], f.digest[m]
-        keep = (f.size[m] < size[q]) | (b[:, 0] < a[:, 0]) | ((b[:, 0] == a[:, 0]) & (b[:, 1] < a[:, 1]))
+        a, b = digest[q], f.sets[2][m]
+        keep = (f.sets[0][m] < size[q]) | (b[:, 0] < a[:, 0]) | ((b[:, 0] == a[:, 0]) & (b[:, 1] < a[:, 1]))
         rows.append(q[keep])
         digests.append(b[keep])
     t_ = pd.DataFrame({"row": np.concatenate(rows), "x": np.concatenate(digests)[:, 0], "y": np.concatenate(digests)[:, 1]}).drop_duplicates()
@@ -248,37 +254,76 @@ def _tree_ids(field: np.ndarray, *place: np.ndarray) -> np.ndarray:
     return out
 
 
-def _forest(b: pd.DataFrame) -> Forest:
-    place = [b[c].to_numpy() for c in ("shard", "block") if c in b]
-    return Forest(_tree_ids(b["field_name"].to_numpy(), *place), b["n"].to_numpy().astype(np.int64), b[MAP].to_numpy().T.copy().view(np.uint64), _numbers(b["digest"]))
+def set_table(sets: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes, maps and digests of a bounded number of distinct sets, in the order of the digests."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                size, maps = _batch(b)
+                yield pd.DataFrame({"n": [size.tobytes()], "maps": [maps.T.tobytes()], "digest": [b"".join(b["digest"])]})
+
+    parts = sets.mapInPandas(run, "n binary, maps binary, digest binary").collect()
+    size = np.frombuffer(b"".join(bytes(p["n"]) for p in parts), np.int64)
+    maps = np.frombuffer(b"".join(bytes(p["maps"]) for p in parts), np.uint64).reshape(-1, WORDS)
+    digest = np.frombuffer(b"".join(bytes(p["digest"]) for p in parts), ">u8").reshape(-1, 2).astype(np.uint64)
+    order = np.lexsort((digest[:, 1], digest[:, 0]))
+    return size[order], np.ascontiguousarray(maps[order].T), digest[order]
+
+
+def _places(table: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    """The rows of ``table`` (sorted) that hold the digests."""
+    at = np.searchsorted(table[:, 0], digest[:, 0])
+    while (off := (table[at] != digest).any(1)).any():
+        at[off] += 1
+    return at
 
 
 def search_sent(sets: DataFrame, counts, shards: int, t: float) -> DataFrame:
     """``field_name, a, ta, b`` by shard trees that tasks build and every task gets."""
+    sc = sets.sparkSession.sparkContext
+    known = sc.broadcast(set_table(sets))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                shard = [shards_of(x, counts.value, shards, t)[1] for x in b["tokens"]]
+                row = np.repeat(np.arange(len(b)), [len(x) for x in shard])
+                tree = _tree_ids(b["field_name"].to_numpy()[row], np.concatenate(shard))
+                yield pd.DataFrame({"tree": tree.view(np.int64), "member": _places(known.value[2], _numbers(b["digest"]))[row].astype(np.int32)})
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [b for b in batches if len(b)]
         if parts:
-            yield pd.DataFrame({"forest": [pickle.dumps(_forest(pd.concat(parts, ignore_index=True)))]})
+            b = pd.concat(parts, ignore_index=True)
+            yield pd.DataFrame({"forest": [pickle.dumps(Forest(b["tree"].to_numpy().view(np.uint64), b["member"].to_numpy().astype(np.int64), known.value))]})
 
-    built = entries(sets, counts, shards, t, True).repartition("field_name", "shard").mapInPandas(build, "forest binary")
-    trees = sets.sparkSession.sparkContext.broadcast([bytes(r["forest"]) for r in built.collect()])
+    built = sets.mapInPandas(place, "tree bigint, member int").repartition("tree").mapInPandas(build, "forest binary")
+    trees = sc.broadcast([bytes(r["forest"]) for r in built.collect()])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        size, maps, digest = known.value
         forests = [pickle.loads(x) for x in trees.value]
+        for f in forests:
+            f.sets = known.value
         for b in batches:
             if not len(b):
                 continue
-            size, maps = _batch(b)
+            own = _places(digest, _numbers(b["digest"]))
             shard = [shards_of(x, counts.value, shards, t)[0] for x in b["tokens"]]
             asker = np.repeat(np.arange(len(b)), [len(x) for x in shard])
             field = b["field_name"].to_numpy()
-            row, found = _pairs(_numbers(b["digest"]), size, maps, _tree_ids(field[asker], np.concatenate(shard)), asker, forests, t)
+            row, found = _pairs(digest[own], size[own], maps[:, own], _tree_ids(field[asker], np.concatenate(shard)), asker, forests, t)
             yield pd.DataFrame({"field_name": field[row], "a": b["digest"].to_numpy()[row], "ta": b["tokens"].to_numpy()[row], "b": _bytes(found)})
 
     return sets.mapInPandas(run, "field_name string, a binary, ta array<bigint>, b binary")
 
 
+def _forest(b: pd.DataFrame) -> Forest:
+    tree = _tree_ids(b["field_name"].to_numpy(), b["shard"].to_numpy(), b["block"].to_numpy())
+    return Forest(tree, np.arange(len(b)), (b["n"].to_numpy().astype(np.int64), b[MAP].to_numpy().T.copy().view(np.uint64), _numbers(b["digest"])))
+
+
 PLACE = ["field_name", "shard", "block"]
 
 
