@@ -81,8 +81,13 @@ def token_sets(texts: DataFrame) -> DataFrame:
     return texts.filter("text IS NOT NULL AND key IS NOT NULL").mapInPandas(run, "field_name string, key string, digest binary, tokens array<bigint>")
 
 
-def token_counts(sets: DataFrame, t: float) -> tuple[np.ndarray, int]:
-    """How many sets hold a token of each bucket, and how many tree entries all sets have.
+def _lengths(n: int, t: float) -> tuple[int, int]:
+    """How many of a set's rarest tokens it asks with, and how many it is found by."""
+    return n - math.ceil(t * n - 1e-9) + 1, n - math.ceil(2 * t / (1 + t) * n - 1e-9) + 1
+
+
+def token_counts(tokens: DataFrame, t: float) -> tuple[np.ndarray, int]:
+    """How many rows hold a token of each bucket, and how many tree entries they have at most.
 
     Counts are of a fixed number of buckets, summed in Spark; any such order of tokens keeps the
     search exact.
@@ -98,22 +103,41 @@ def token_counts(sets: DataFrame, t: float) -> tuple[np.ndarray, int]:
         yield pd.DataFrame({"bucket": np.r_[-1, at], "n": np.r_[entries, total[at]]})
 
     counts = np.zeros(BUCKETS + 1, np.int64)
-    rows = sets.select("tokens").mapInPandas(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = tokens.select("tokens").mapInPandas(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     counts[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
     return counts[:-1], int(counts[-1])
 
 
-def _lengths(n: int, t: float) -> tuple[int, int]:
-    """How many of a set's rarest tokens it asks with, and how many it is found by."""
-    return n - math.ceil(t * n - 1e-9) + 1, n - math.ceil(2 * t / (1 + t) * n - 1e-9) + 1
+def placed_sets(tokens: DataFrame, t: float) -> tuple[DataFrame, int]:
+    """The distinct sets with what the search needs of them, and how many tree entries they have at most.
 
+    Added to ``field_name, digest, tokens`` are ``id``, the size ``n``, the ``map`` and ``trees``:
+    a number per field and shard for each shard that the set asks, of which the trees of the first
+    ``hold`` hold it. Two trees with the same number are searched as one, which changes no result.
+    """
+    counts, entries = token_counts(tokens, t)
+    shared = tokens.sparkSession.sparkContext.broadcast(counts)
+    shards = np.uint64(max(1, entries // SHARD))
 
-def shards_of(tokens: np.ndarray, counts: np.ndarray, shards: int, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shards that a set asks, and those whose trees hold it."""
-    ask, hold = _lengths(len(tokens), t)
-    rare = tokens[np.lexsort((tokens, counts[bucket_of(tokens)]))][:ask]
-    shard = ((_mixed(rare ^ 0x3333) >> np.uint64(1)) % np.uint64(shards)).astype(np.int64)
-    return np.unique(shard), np.unique(shard[:hold])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if not len(b):
+                continue
+            codes, names = pd.factorize(b["field_name"])
+            salt = pd.util.hash_array(np.asarray(names, object))[codes]
+            trees, hold = [], []
+            for x, field in zip(b["tokens"], salt, strict=True):
+                asked, held = _lengths(len(x), t)
+                rare = x if len(x) == 1 else x[np.lexsort((x, shared.value[bucket_of(x)]))][:asked]
+                shard, first = np.unique((_mixed(rare ^ 0x3333) >> np.uint64(1)) % shards, return_index=True)
+                order = np.argsort(first)
+                trees.append(_mixed(shard[order] ^ field).view(np.int64))
+                hold.append(int((first < held).sum()))
+            yield b.assign(n=[len(x) for x in b["tokens"]], map=[bitmap(x).tobytes() for x in b["tokens"]], trees=trees, hold=hold)
+
+    sets = tokens.groupBy("field_name", "digest").agg(F.first("tokens").alias("tokens"))
+    placed = sets.mapInPandas(run, "field_name string, digest binary, tokens array<bigint>, n int, map binary, trees array<bigint>, hold int")
+    return checkpointed(placed).withColumn("id", F.monotonically_increasing_id()), entries
 
 
 def far(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -129,7 +153,7 @@ class Forest:
 
     An edge of level k is (number of the parent in level k - 1) times the largest distance plus the
     distance to it; on the first level the parent is the tree and the distance the size of the set.
-    Nodes are numbers of rows of ``sets``, the sizes, maps and digests, which are not part of what is sent.
+    Nodes are numbers of rows of ``sets``, the sizes, maps and ids, which are not part of what is sent.
     """
 
     def __init__(self, tree: np.ndarray, member: np.ndarray, sets: tuple[np.ndarray, np.ndarray, np.ndarray]):
@@ -198,152 +222,87 @@ def _need(t: float, most: int) -> np.ndarray:
     return np.ceil(t / (1 + t) * np.arange(most + 1) - 1e-9).astype(np.int64)
 
 
-def _pairs(digest: np.ndarray, size: np.ndarray, maps: np.ndarray, tree: np.ndarray, asker: np.ndarray, forests: list[Forest], t: float) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs: askers by number, and digests of members. Of two equal sizes the larger digest asks."""
-    rows, digests = [np.empty(0, np.int64)], [np.empty((0, 2), np.uint64)]
+def _pairs(ids: np.ndarray, size: np.ndarray, maps: np.ndarray, tree: np.ndarray, asker: np.ndarray, forests: list[Forest], t: float) -> pd.DataFrame:
+    """Distinct pairs ``a, b`` of ids; of two equal sizes the one with the larger id asks."""
+    out = []
     for f in forests:
         q, m = f.search(tree, asker, size, maps, t)
-        a, b = digest[q], f.sets[2][m]
-        keep = (f.sets[0][m] < size[q]) | (b[:, 0] < a[:, 0]) | ((b[:, 0] == a[:, 0]) & (b[:, 1] < a[:, 1]))
-        rows.append(q[keep])
-        digests.append(b[keep])
-    t_ = pd.DataFrame({"row": np.concatenate(rows), "x": np.concatenate(digests)[:, 0], "y": np.concatenate(digests)[:, 1]}).drop_duplicates()
-    return t_["row"].to_numpy(), t_[["x", "y"]].to_numpy()
-
-
-def _numbers(digest: pd.Series) -> np.ndarray:
-    """Digests of 16 bytes as two numbers each, in the order of the bytes."""
-    return np.frombuffer(b"".join(digest), ">u8").reshape(-1, 2).astype(np.uint64)
-
-
-def _bytes(numbers: np.ndarray) -> list[bytes]:
-    raw = numbers.astype(">u8").tobytes()
-    return [raw[k : k + 16] for k in range(0, len(raw), 16)]
-
-
-def _batch(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sizes and maps of the batch's sets."""
-    maps = np.stack([bitmap(x) for x in b["tokens"]]).T
-    return np.array([len(x) for x in b["tokens"]], np.int64), np.ascontiguousarray(maps)
-
-
-MAP = [f"m{k}" for k in range(WORDS)]
+        a, b = ids[q], f.sets[2][m]
+        keep = (f.sets[0][m] < size[q]) | (b < a)
+        out.append(pd.DataFrame({"a": a[keep], "b": b[keep]}))
+    return pd.concat(out, ignore_index=True).drop_duplicates() if out else pd.DataFrame(columns=["a", "b"])
 
 
-def entries(sets: DataFrame, counts, shards: int, t: float, hold: bool) -> DataFrame:
-    """``field_name, shard, n, digest`` and the map: a row per set and shard that holds it, or else that it asks."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            size, maps = _batch(b)
-            shard = [shards_of(x, counts.value, shards, t)[hold] for x in b["tokens"]]
-            row = np.repeat(np.arange(len(b)), [len(x) for x in shard])
-            yield pd.DataFrame({"field_name": b["field_name"].to_numpy()[row], "shard": np.concatenate(shard), "n": size[row].astype(np.int32), "digest": b["digest"].to_numpy()[row], **{c: m.view(np.int64)[row] for c, m in zip(MAP, maps, strict=True)}})
-
-    return sets.mapInPandas(run, "field_name string, shard bigint, n int, digest binary, " + ", ".join(f"{c} bigint" for c in MAP))
-
-
-def _tree_ids(field: np.ndarray, *place: np.ndarray) -> np.ndarray:
-    """A number per field, shard and block, the same in every task; trees that share one are searched together."""
-    codes, names = pd.factorize(field)
-    out = pd.util.hash_array(np.asarray(names, object))[codes]
-    for x in place:
-        out = _mixed(out ^ x.astype(np.uint64))
-    return out
+def _maps(packed: pd.Series) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b"".join(packed), np.uint64).reshape(-1, WORDS).T)
 
 
 def set_table(sets: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sizes, maps and digests of a bounded number of distinct sets, in the order of the digests."""
+    """Sizes, maps and ids of a bounded number of sets, in the order of the ids."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                size, maps = _batch(b)
-                yield pd.DataFrame({"n": [size.tobytes()], "maps": [maps.T.tobytes()], "digest": [b"".join(b["digest"])]})
-
-    parts = sets.mapInPandas(run, "n binary, maps binary, digest binary").collect()
-    size = np.frombuffer(b"".join(bytes(p["n"]) for p in parts), np.int64)
-    maps = np.frombuffer(b"".join(bytes(p["maps"]) for p in parts), np.uint64).reshape(-1, WORDS)
-    digest = np.frombuffer(b"".join(bytes(p["digest"]) for p in parts), ">u8").reshape(-1, 2).astype(np.uint64)
-    order = np.lexsort((digest[:, 1], digest[:, 0]))
-    return size[order], np.ascontiguousarray(maps[order].T), digest[order]
-
+                yield pd.DataFrame({"n": [b["n"].to_numpy(np.int64).tobytes()], "map": [b"".join(b["map"])], "id": [b["id"].to_numpy(np.int64).tobytes()]})
 
-def _places(table: np.ndarray, digest: np.ndarray) -> np.ndarray:
-    """The rows of ``table`` (sorted) that hold the digests."""
-    at = np.searchsorted(table[:, 0], digest[:, 0])
-    while (off := (table[at] != digest).any(1)).any():
-        at[off] += 1
-    return at
+    parts = sets.select("n", "map", "id").mapInPandas(run, "n binary, map binary, id binary").collect()
+    size, ids = (np.frombuffer(b"".join(bytes(p[c]) for p in parts), np.int64) for c in ("n", "id"))
+    maps = np.frombuffer(b"".join(bytes(p["map"]) for p in parts), np.uint64).reshape(-1, WORDS)
+    order = np.argsort(ids)
+    return size[order], np.ascontiguousarray(maps[order].T), ids[order]
 
 
-def search_sent(sets: DataFrame, counts, shards: int, t: float) -> DataFrame:
-    """``field_name, a, ta, b`` by shard trees that tasks build and every task gets."""
+def search_sent(sets: DataFrame, t: float) -> DataFrame:
+    """Candidates ``a, b`` by shard trees that tasks build and every task gets."""
     sc = sets.sparkSession.sparkContext
     known = sc.broadcast(set_table(sets))
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                shard = [shards_of(x, counts.value, shards, t)[1] for x in b["tokens"]]
-                row = np.repeat(np.arange(len(b)), [len(x) for x in shard])
-                tree = _tree_ids(b["field_name"].to_numpy()[row], np.concatenate(shard))
-                yield pd.DataFrame({"tree": tree.view(np.int64), "member": _places(known.value[2], _numbers(b["digest"]))[row].astype(np.int32)})
-
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [b for b in batches if len(b)]
         if parts:
             b = pd.concat(parts, ignore_index=True)
-            yield pd.DataFrame({"forest": [pickle.dumps(Forest(b["tree"].to_numpy().view(np.uint64), b["member"].to_numpy().astype(np.int64), known.value))]})
+            member = np.searchsorted(known.value[2], b["id"].to_numpy())
+            yield pd.DataFrame({"forest": [pickle.dumps(Forest(b["tree"].to_numpy(), member, known.value))]})
 
-    built = sets.mapInPandas(place, "tree bigint, member int").repartition("tree").mapInPandas(build, "forest binary")
+    held = sets.select(F.explode(F.slice("trees", F.lit(1), F.col("hold"))).alias("tree"), "id")
+    built = held.repartition("tree").mapInPandas(build, "forest binary")
     trees = sc.broadcast([bytes(r["forest"]) for r in built.collect()])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        size, maps, digest = known.value
+        size, maps, ids = known.value
         forests = [pickle.loads(x) for x in trees.value]
         for f in forests:
             f.sets = known.value
         for b in batches:
-            if not len(b):
-                continue
-            own = _places(digest, _numbers(b["digest"]))
-            shard = [shards_of(x, counts.value, shards, t)[0] for x in b["tokens"]]
-            asker = np.repeat(np.arange(len(b)), [len(x) for x in shard])
-            field = b["field_name"].to_numpy()
-            row, found = _pairs(digest[own], size[own], maps[:, own], _tree_ids(field[asker], np.concatenate(shard)), asker, forests, t)
-            yield pd.DataFrame({"field_name": field[row], "a": b["digest"].to_numpy()[row], "ta": b["tokens"].to_numpy()[row], "b": _bytes(found)})
-
-    return sets.mapInPandas(run, "field_name string, a binary, ta array<bigint>, b binary")
-
+            if len(b):
+                own = np.searchsorted(ids, b["id"].to_numpy())
+                asker = np.repeat(np.arange(len(b)), b["trees"].map(len))
+                yield _pairs(ids[own], size[own], maps[:, own], np.concatenate(b["trees"].to_list()), asker, forests, t)
 
-def _forest(b: pd.DataFrame) -> Forest:
-    tree = _tree_ids(b["field_name"].to_numpy(), b["shard"].to_numpy(), b["block"].to_numpy())
-    return Forest(tree, np.arange(len(b)), (b["n"].to_numpy().astype(np.int64), b[MAP].to_numpy().T.copy().view(np.uint64), _numbers(b["digest"])))
+    return sets.select("id", "trees").mapInPandas(run, "a bigint, b bigint")
 
 
-PLACE = ["field_name", "shard", "block"]
+PLACE = ["tree", "block"]
 
 
-def search_shuffled(sets: DataFrame, counts, shards: int, t: float) -> DataFrame:
-    """``field_name, a, ta, b`` by trees and askers that meet in a task per shard and block."""
-    held, asks = (entries(sets, counts, shards, t, h) for h in (True, False))
-    held = checkpointed(held)
-    load = held.groupBy("field_name", "shard").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > BLOCK).select("field_name", "shard", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    cut = lambda df: df.join(load, ["field_name", "shard"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    own = cut(held).withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")).withColumn("held", F.lit(True))
+def search_shuffled(sets: DataFrame, t: float) -> DataFrame:
+    """Candidates ``a, b`` by trees and askers that meet in a task per tree and block."""
+    held, asks = (sets.select(F.explode(trees).alias("tree"), "n", "map", "id") for trees in (F.slice("trees", F.lit(1), F.col("hold")), F.col("trees")))
+    load = checkpointed(held.groupBy("tree").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > BLOCK).select("tree", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")))
+    cut = lambda df: df.join(load, "tree", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = cut(held).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("held", F.lit(True))
     every = cut(asks).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("held", F.lit(False))
 
     def solve(df: pd.DataFrame) -> pd.DataFrame:
         members, askers = df[df["held"]], df[~df["held"]]
         if not len(members) or not len(askers):
-            return pd.DataFrame(columns=["field_name", "a", "b"])
-        tree = _tree_ids(askers["field_name"].to_numpy(), askers["shard"].to_numpy(), askers["block"].to_numpy())
-        maps = askers[MAP].to_numpy().T.copy().view(np.uint64)
-        row, found = _pairs(_numbers(askers["digest"]), askers["n"].to_numpy().astype(np.int64), maps, tree, np.arange(len(askers)), [_forest(members)], t)
-        return pd.DataFrame({"field_name": askers["field_name"].to_numpy()[row], "a": askers["digest"].to_numpy()[row], "b": _bytes(found)}).drop_duplicates()
+            return pd.DataFrame(columns=["a", "b"])
+        # Blocks of a tree are trees of their own.
+        tree, block = df["tree"].to_numpy(), df["block"].to_numpy()
+        tree = _mixed(tree ^ block).view(np.int64) if block.any() else tree
+        table = (members["n"].to_numpy(np.int64), _maps(members["map"]), members["id"].to_numpy())
+        forest = Forest(tree[df["held"].to_numpy()], np.arange(len(members)), table)
+        return _pairs(askers["id"].to_numpy(), askers["n"].to_numpy(np.int64), _maps(askers["map"]), tree[~df["held"].to_numpy()], np.arange(len(askers)), [forest], t)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting, n = [], 0
@@ -363,30 +322,34 @@ def search_shuffled(sets: DataFrame, counts, shards: int, t: float) -> DataFrame
         if waiting:
             yield solve(pd.concat(waiting, ignore_index=True))
 
-    columns = [*PLACE, "held", "n", "digest", *MAP]
+    columns = [*PLACE, "held", "n", "id", "map"]
     met = own.select(columns).unionByName(every.select(columns)).repartition(*PLACE).sortWithinPartitions(*PLACE, F.desc("held"))
-    found = met.mapInPandas(run, "field_name string, a binary, b binary").distinct()
-    return found.join(sets.select("field_name", F.col("digest").alias("a"), F.col("tokens").alias("ta")), ["field_name", "a"])
+    return met.mapInPandas(run, "a bigint, b bigint").distinct()
+
+
+#: Candidates up to which their ids are sent to the sets; beyond it the sets are shuffled to them.
+FEW = 500_000
 
 
-def similar_sets(sets: DataFrame, t: float) -> DataFrame:
-    """``field_name, a, b, similarity`` of all pairs of distinct token sets with at least ``t``."""
-    counts, n = token_counts(sets, t)
-    shards = max(1, n // SHARD)
-    shared = sets.sparkSession.sparkContext.broadcast(counts)
-    found = (search_sent if n <= SENT else search_shuffled)(sets, shared, shards, t)
-    both = found.join(sets.select("field_name", F.col("digest").alias("b"), F.col("tokens").alias("tb")), ["field_name", "b"])
+def similar_sets(tokens: DataFrame, t: float) -> DataFrame:
+    """``field_name, a, b, similarity`` of all pairs of digests of distinct token sets with at least ``t``."""
+    sets, entries = placed_sets(tokens, t)
+    found = checkpointed((search_sent if entries <= SENT else search_shuffled)(sets, t))
+    slim = sets.select("id", "field_name", "digest", "tokens")
+    if found.count() <= FEW:
+        wanted = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        slim = slim.join(F.broadcast(wanted), "id", "left_semi")
+    x, y = (slim.select(F.col("id").alias(s), F.col("field_name").alias(f"f{s}"), F.col("digest").alias(f"d{s}"), F.col("tokens").alias(f"t{s}")) for s in "ab")
     shared = F.size(F.array_intersect("ta", "tb"))
     sim = shared / (F.size("ta") + F.size("tb") - shared)
-    return both.select("field_name", "a", "b", sim.alias("similarity")).filter(F.col("similarity") >= t)
+    both = found.join(x, "a").join(y, "b").filter("fa = fb")
+    return both.select(F.col("fa").alias("field_name"), F.col("da").alias("a"), F.col("db").alias("b"), sim.alias("similarity")).filter(F.col("similarity") >= t)
 
 
 def near_parts(texts: DataFrame, t: float) -> tuple[DataFrame, DataFrame]:
     """Members ``field_name, key, digest`` and links between digests."""
     tokens = checkpointed(token_sets(texts))
-    members = tokens.select("field_name", "key", "digest").distinct()
-    sets = checkpointed(tokens.groupBy("field_name", "digest").agg(F.first("tokens").alias("tokens")))
-    return members, similar_sets(sets, t)
+    return tokens.select("field_name", "key", "digest").distinct(), similar_sets(tokens, t)
 
 
 def near_pairs(texts: DataFrame, t: float = 0.7) -> DataFrame:

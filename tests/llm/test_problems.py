@@ -67,6 +67,29 @@ def test_field_order_does_not_matter_but_repeats_do(spark):
     assert got == [("a", "b")]
 
 
+def test_labels_of_any_kind(spark):
+    """Labels of several words, with digits, and long ones; fields parted by blanks or lines."""
+    rows = [
+        ("a", "Site area: North; Hazard level: high"), ("b", "Hazard level = HIGH | Site area = north"), ("c", "Hazard level: high\nSite area: North."),
+        ("d", "Responsibledepartment: x; Place: y"), ("e", "Place: y; Responsibledepartment: x"),
+        ("f", "问题：泵，漏 地点：一号"), ("g", "地点：一号 问题：泵，漏"), ("h", "P2 zone: 12:30; K-9: a"), ("i", "K-9: a; P2 zone: 12:30"), ("j", "K-9: a; P2 zone: 1230"),
+        ("k", "【地点】一号【问题】泵"), ("l", "[问题] 泵 [地点] 一号"), ("m", "Site area: high; Hazard level: North"),
+    ]
+    got = sorted(tuple(r) for r in reports.same_reports(spark.createDataFrame(rows, "k string, t string"), "k", "t").collect())
+    assert got == [("a", "b"), ("a", "c"), ("b", "c"), ("d", "e"), ("f", "g"), ("h", "i"), ("k", "l")]
+    for bad in ("长" * 200_000, ":" * 100_000, "[" * 100_000, "a:" * 50_000, "a " * 50_000 + ":"):
+        reports.labelled_fields(bad), reports.labelled_fields(bad, True)
+
+
+def test_hash_collisions_are_told_apart(spark):
+    """Rows of one fingerprint with unlike fields, one of them in two orders."""
+    f = lambda *x: [{"name": n, "value": v} for n, v in x]
+    rows = [("a", b"1", f(("p", "1"), ("q", "2")), (1, 1, 2)), ("b", b"2", f(("q", "1"), ("p", "2")), (1, 1, 2)), ("c", b"3", f(("p", "2"), ("q", "1")), (1, 1, 2)), ("d", b"4", f(("q", "2"), ("p", "1")), (1, 1, 2))]
+    df = spark.createDataFrame(rows, "key string, plain_key binary, fields array<struct<name:string,value:string>>, field_key struct<a:long,b:long,n:int>")
+    got = {r["key"]: r["field_class"] for r in reports.verified(df).collect()}
+    assert got["a"] == got["d"] != got["b"] == got["c"]
+
+
 # 3
 
 
