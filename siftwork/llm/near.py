@@ -41,13 +41,23 @@ AT_ONCE = 4000
 FIELDS = {"raw_text": ("raw_records", "record_id"), "finding": ("structured_records", "record_id")}
 
 
-def trigrams(text: str) -> np.ndarray:
-    """The distinct runs of three characters of the reduced text, as sorted numbers."""
-    s = letters_and_digits(text)
-    if len(s) < 3:
-        return np.empty(0, np.int64)
-    cp = np.frombuffer(s.encode("utf-32-le"), np.uint32).astype(np.int64)
-    return np.unique((cp[:-2] << 42) | (cp[1:-1] << 21) | cp[2:])
+def split_at(values: np.ndarray, row: np.ndarray, rows: int) -> list[np.ndarray]:
+    """``values``, in the order of ``row``, as one array per row."""
+    return np.split(values, np.searchsorted(row, np.arange(1, rows)))
+
+
+def trigrams(texts: list[str]) -> list[np.ndarray]:
+    """Per text the distinct runs of three characters of the reduced text, as sorted numbers."""
+    reduced = [letters_and_digits(x) for x in texts]
+    row = np.repeat(np.arange(len(reduced)), [len(x) for x in reduced])
+    cp = np.frombuffer("".join(reduced).encode("utf-32-le"), np.uint32).astype(np.int64)
+    run, inside = (cp[:-2] << 42) | (cp[1:-1] << 21) | cp[2:], row[:-2] == row[2:]
+    run, row = run[inside], row[:-2][inside]
+    order = np.lexsort((run, row))
+    run, row = run[order], row[order]
+    new = np.ones(len(run), bool)
+    new[1:] = (run[1:] != run[:-1]) | (row[1:] != row[:-1])
+    return split_at(run[new], row[new], len(reduced))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -59,12 +69,15 @@ def bucket_of(tokens: np.ndarray) -> np.ndarray:
     return (_mixed(tokens) >> np.uint64(47)).astype(np.int64)
 
 
-def bitmap(tokens: np.ndarray) -> np.ndarray:
-    """Tokens hashed to 64 * WORDS bits."""
-    bit = (_mixed(tokens ^ 0x5555) >> np.uint64(56)).astype(np.int64)
-    out = np.zeros(64 * WORDS, np.uint8)
-    out[bit] = 1
-    return np.packbits(out, bitorder="little").view(np.uint64)
+def bitmaps(tokens: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """The tokens of each row hashed to 64 * WORDS bits; a row of bytes for each."""
+    out = np.zeros((rows, 64 * WORDS), np.uint8)
+    out[row, (_mixed(tokens ^ 0x5555) >> np.uint64(56)).astype(np.int64)] = 1
+    return np.packbits(out, axis=1, bitorder="little")
+
+
+#: Texts that are worked on at once in a task.
+ROWS = 1000
 
 
 def token_sets(texts: DataFrame) -> DataFrame:
@@ -73,10 +86,12 @@ def token_sets(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
 
-        for b in batches:
-            sets = [trigrams(x) for x in b["text"]]
-            out = pd.DataFrame({"field_name": b["field_name"].to_numpy(), "key": b["key"].to_numpy(), "digest": [hashlib.md5(x.tobytes()).digest() for x in sets], "tokens": sets})
-            yield out[[len(x) > 0 for x in sets]]
+        for batch in batches:
+            for k in range(0, len(batch), ROWS):
+                b = batch.iloc[k : k + ROWS]
+                sets = trigrams(b["text"].to_list())
+                out = b[["field_name", "key"]].assign(digest=[hashlib.md5(x.tobytes()).digest() for x in sets], tokens=sets)
+                yield out[[len(x) > 0 for x in sets]]
 
     return texts.filter("text IS NOT NULL AND key IS NOT NULL").mapInPandas(run, "field_name string, key string, digest binary, tokens array<bigint>")
 
@@ -120,20 +135,28 @@ def placed_sets(tokens: DataFrame, t: float) -> tuple[DataFrame, int]:
     shards = np.uint64(max(1, entries // SHARD))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            codes, names = pd.factorize(b["field_name"])
-            salt = pd.util.hash_array(np.asarray(names, object))[codes]
-            trees, hold = [], []
-            for x, field in zip(b["tokens"], salt, strict=True):
-                asked, held = _lengths(len(x), t)
-                rare = x if len(x) == 1 else x[np.lexsort((x, shared.value[bucket_of(x)]))][:asked]
-                shard, first = np.unique((_mixed(rare ^ 0x3333) >> np.uint64(1)) % shards, return_index=True)
-                order = np.argsort(first)
-                trees.append(_mixed(shard[order] ^ field).view(np.int64))
-                hold.append(int((first < held).sum()))
-            yield b.assign(n=[len(x) for x in b["tokens"]], map=[bitmap(x).tobytes() for x in b["tokens"]], trees=trees, hold=hold)
+        for batch in batches:
+            for k in range(0, len(batch), ROWS):
+                b = batch.iloc[k : k + ROWS]
+                codes, names = pd.factorize(b["field_name"])
+                salt = pd.util.hash_array(np.asarray(names, object))[codes]
+                size = b["tokens"].map(len).to_numpy()
+                asked, held = np.array([_lengths(n, t) for n in size]).T
+                row, x = np.repeat(np.arange(len(b)), size), np.concatenate(b["tokens"].to_list())
+                maps = bitmaps(x, row, len(b))
+                place = np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size)
+                rare = x[np.lexsort((x, shared.value[bucket_of(x)], row))]
+                asks = place < asked[row]
+                row, place = row[asks], place[asks]
+                tree = _mixed((_mixed(rare[asks] ^ 0x3333) >> np.uint64(1)) % shards ^ salt[row]).view(np.int64)
+                order = np.lexsort((place, tree, row))
+                row, place, tree = row[order], place[order], tree[order]
+                first = np.ones(len(row), bool)
+                first[1:] = (row[1:] != row[:-1]) | (tree[1:] != tree[:-1])
+                row, place, tree = row[first], place[first], tree[first]
+                order = np.lexsort((place, row))
+                hold = np.bincount(row[place < held[row]], minlength=len(b))
+                yield b.assign(n=size, map=[m.tobytes() for m in maps], trees=split_at(tree[order], row[order], len(b)), hold=hold)
 
     sets = tokens.groupBy("field_name", "digest").agg(F.first("tokens").alias("tokens"))
     placed = sets.mapInPandas(run, "field_name string, digest binary, tokens array<bigint>, n int, map binary, trees array<bigint>, hold int")
