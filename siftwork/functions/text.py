@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -176,3 +179,111 @@ def clause_with(c: Column | str, markers: list[str]) -> Column:
     at = F.array_position(marked, F.lit(True))
     tail = F.when(at > 0, F.slice(parts, at.cast("int"), F.size(parts))).otherwise(F.slice(parts, -1, 1))
     return F.when(F.size(parts) > 0, F.array_join(tail, "，")).otherwise(F.lit(""))
+
+
+def clean(c: Column | str) -> Column:
+    """The cell as text as it is; null and NaN give an empty text."""
+    t = col(c).cast("string")
+    return F.when(t.isNull() | (t == "NaN") | (t == "nan"), "").otherwise(t)
+
+
+def optional_int(c: Column | str) -> Column:
+    """The whole part of a number; null, NaN and what is no number give null."""
+    return optional_float(c).try_cast("bigint")
+
+
+def optional_float(c: Column | str) -> Column:
+    """A number; null, NaN and what is no number give null."""
+    d = F.trim(col(c).cast("string")).try_cast("double")
+    return F.when(~F.isnan(d), d)
+
+
+def optional_bool(c: Column | str) -> Column:
+    """Null stays null; else as :func:`true_text`."""
+    return F.when(col(c).isNotNull(), true_text(col(c).cast("string")))
+
+
+def json_dict(c: Column | str) -> Column:
+    """A JSON object as a map of texts; anything else gives an empty map."""
+    got = F.when(col(c).rlike(r"(?s)^\s*\{"), F.from_json(c, "map<string,string>"))
+    return F.coalesce(got, F.create_map().cast("map<string,string>"))
+
+
+def table_value(c: Column | str, kind: str) -> Column:
+    """A cell of a nested type as JSON text, others as they are."""
+    return F.to_json(c) if kind.startswith(("array", "map", "struct")) else col(c)
+
+
+def _fenced_kind(c: Column | str, kind: str) -> Column:
+    t = fenced_json(c)
+    return F.when(F.schema_of_variant(F.try_parse_json(t)).startswith(kind), t)
+
+
+def fenced_array(c: Column | str) -> Column:
+    """As :func:`fenced_json`, for an array only."""
+    return _fenced_kind(c, "ARRAY")
+
+
+def fenced_object(c: Column | str) -> Column:
+    """As :func:`fenced_json`, for an object only."""
+    return _fenced_kind(c, "OBJECT")
+
+
+def json_paths(c: Column | str, what: str) -> Column:
+    """All ``keys``, all ``strings`` or all ``scalars`` of a JSON text, at every depth, in order.
+
+    What is no JSON gives null. Each cell is walked with a stack, so depth has no limit but that of
+    the JSON reader, beyond which the cell counts as no JSON.
+    """
+    def walk(text: str | None) -> list[str] | None:
+        try:
+            stack = [json.loads(text)] if text is not None else None
+        except (ValueError, RecursionError):
+            stack = None
+        if stack is None:
+            return None
+        out = []
+        while stack:
+            x = stack.pop()
+            if isinstance(x, tuple):
+                if what == "keys":
+                    out.append(x[0])
+                stack.append(x[1])
+            elif isinstance(x, dict):
+                stack += [*reversed(x.items())]
+            elif isinstance(x, list):
+                stack += reversed(x)
+            elif x is not None and (what == "scalars" or (what == "strings" and isinstance(x, str))):
+                out.append(x if isinstance(x, str) else json.dumps(x))
+        return out
+
+    @F.pandas_udf("array<string>")
+    def walked(cells: pd.Series) -> pd.Series:
+        return pd.Series([walk(x) for x in cells], dtype=object)
+
+    return walked(c)
+
+
+def concise(c: Column | str, markers: list[str], most: int) -> Column:
+    """The text before the first marker; if longer than ``most``, its first sentence, cut to ``most`` characters."""
+    t = F.coalesce(strip(c), F.lit(""))
+    for m in markers:
+        t = F.when(F.instr(t, m) > 0, strip(F.substring_index(t, m, 1))).otherwise(t)
+    pieces = F.filter(F.transform(F.split(t, r"(?<=[。！？；])|[\r\n]+"), strip), lambda x: x != "")
+    return F.when(F.length(t) <= most, t).otherwise(strip(F.substring(F.coalesce(F.try_element_at(pieces, F.lit(1)), t), 1, most)))
+
+
+def range_label(value: Column | str, low: Column | str, high: Column | str) -> Column:
+    """``below``, ``within`` or ``above`` a closed range; null where a part is null."""
+    v = col(value)
+    return F.when(v < col(low), "below").when(v > col(high), "above").when(v.isNotNull() & col(low).isNotNull() & col(high).isNotNull(), "within")
+
+
+def batch_id(ids: Column | str) -> Column:
+    """The ids of a batch in their order, joined with bars."""
+    return F.array_join(ids, "|")
+
+
+def cluster_id(*columns: Column | str) -> Column:
+    """The first column that is not null, as a whole number; 0 without one."""
+    return safe_int(F.coalesce(*[col(c).cast("string") for c in columns], F.lit("0")))

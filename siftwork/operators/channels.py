@@ -49,3 +49,25 @@ def coverage(assignments: DataFrame, by: str, label: str, parent: str) -> DataFr
     n, noise, missing = F.count(F.lit(1)), F.count_if(F.col(label) == NOISE), F.count_if(F.col(label) == MISSING)
     covered = F.countDistinct(F.when(F.col(label) != MISSING, F.col(parent)))
     return assignments.groupBy(by).agg(n.alias("n_rows"), (n - missing).alias("n_clusterable"), missing.alias("n_missing"), (missing / n).alias("missing_ratio"), (noise / n).alias("noise_ratio"), F.countDistinct(F.when(F.col(label) >= 0, F.col(label))).alias("n_clusters"), F.countDistinct(parent).alias("n_parents"), covered.alias("n_covered_parents"), (covered / F.countDistinct(parent)).alias("parent_coverage"))
+
+
+def channel_metadata(assignments: DataFrame, by: str, label: str, channels: list[str]) -> DataFrame:
+    """Per channel: clustered rows, topics, noise and its share; a channel with nothing to cluster has zeros."""
+    live = assignments.filter(F.col(label) != MISSING)
+    n, noise = F.count(F.lit(1)), F.count_if(F.col(label) == NOISE)
+    have = live.groupBy(by).agg(n.alias("record_count"), F.countDistinct(F.when(F.col(label) >= 0, F.col(label))).alias("cluster_count"), noise.alias("noise_count"), (noise / n).alias("noise_ratio"))
+    every = assignments.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, channels))).alias(by))
+    return every.join(have, by, "left").fillna(0)
+
+
+def recluster_options(given: dict, override: dict | None = None) -> dict:
+    """Options of the second clustering of noise: defaults, what the configuration gives, and what a call overrides."""
+    return {"least_count": 100, "least_ratio": 0.1} | given | (override or {})
+
+
+def field_values(rows: DataFrame, by: str, fields: list[str]) -> DataFrame:
+    """``by, field, value, n``: every value that a cluster's rows hold in the fields, arrays taken apart, and how often."""
+    kinds = dict(rows.dtypes)
+    each = [F.struct(F.lit(f).alias("field"), (F.col(f) if kinds[f].startswith("array") else F.array(f)).alias("values")) for f in fields]
+    x = rows.select(by, F.explode(F.array(*each)).alias("x")).select(by, "x.field", F.explode("x.values").alias("value")).filter("value <> ''")
+    return x.groupBy(by, "field", "value").agg(F.count(F.lit(1)).alias("n"))

@@ -34,3 +34,11 @@ def path_frame(units: DataFrame, parents: DataFrame, targets: DataFrame, key: st
     """
     out = units.join(parents.select(key, parent), key).join(targets.select(key, F.col(text).alias("target_text")), key)
     return out.withColumn("target_valid", T.normalize_text("target_text") != "")
+
+
+def unit_key_problems(df: DataFrame, record: str, unit: str) -> DataFrame:
+    """``record, unit, n, reason``: unit keys with a blank part, or that stand more than once within their record."""
+    r, u = (F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in (record, unit))
+    n = df.groupBy(r, u).agg(F.count(F.lit(1)).alias("n"))
+    blank = (T.normalize_text(record) == "") | (T.normalize_text(unit) == "")
+    return n.withColumn("reason", F.when(blank, "blank").when(F.col("n") > 1, "repeated")).filter("reason IS NOT NULL")

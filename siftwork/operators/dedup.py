@@ -47,14 +47,16 @@ def unit_score() -> Column:
     return F.struct((some + has["scene"] + has["loc_detail"] + has["risk_scene"]).alias("a"), has["risk_scene"].alias("b"), has["scene"].alias("c"), some.alias("d"), has["loc_detail"].alias("e"), objects.alias("f"))
 
 
-def unit_audit(units: DataFrame, canonical_ids: DataFrame) -> DataFrame:
+def unit_audit(units: DataFrame, canonical_ids: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """One row per unit: ``record_id, raw_record_id, is_canonical_source, is_kept_unit, kept_record_id, exclusion_reason``.
 
+    Units are told apart by ``by``, such as the provider, which come out too.
+
     Of the effective units of canonical records with one normalised raw text and finding, the one
     that holds most is kept, the first by ``record_id`` on a tie.
     """
     ids = canonical_ids.select(F.col("canonical_raw_record_id").alias("raw_record_id")).distinct().withColumn("_c", F.lit(True))
-    u = units.join(ids, "raw_record_id", "left").withColumn("_e", is_effective()).withColumn("_k", F.sha1(F.concat_ws("\u001f", T.normalize_text("raw_text"), T.normalize_text("finding"))))
+    u = units.join(ids, "raw_record_id", "left").withColumn("_e", is_effective()).withColumn("_k", F.sha1(F.concat_ws("\u001f", *by, T.normalize_text("raw_text"), T.normalize_text("finding"))))
     live = u.filter("_c AND _e")
     best = live.groupBy("_k").agg(F.max(unit_score()).alias("_s"))
     kept = live.join(best, "_k").filter(unit_score() == F.col("_s")).groupBy("_k").agg(F.min("record_id").alias("_kept"))
@@ -62,10 +64,10 @@ def unit_audit(units: DataFrame, canonical_ids: DataFrame) -> DataFrame:
     dup = "duplicate_raw_text_finding_within_canonical"
     live_row = F.col("_c").isNotNull() & F.col("_e")
     reason = F.when(F.col("_c").isNull(), "duplicate_source_raw_text").when(~F.col("_e"), "empty_structured_placeholder").when(F.col("record_id") != F.col("_kept"), dup).otherwise("")
-    return out.select("record_id", "raw_record_id", F.col("_c").isNotNull().alias("is_canonical_source"), (live_row & (F.col("record_id") == F.col("_kept"))).alias("is_kept_unit"), F.when(live_row, F.col("_kept")).otherwise("").alias("kept_record_id"), reason.alias("exclusion_reason"))
+    return out.select(*by, "record_id", "raw_record_id", F.col("_c").isNotNull().alias("is_canonical_source"), (live_row & (F.col("record_id") == F.col("_kept"))).alias("is_kept_unit"), F.when(live_row, F.col("_kept")).otherwise("").alias("kept_record_id"), reason.alias("exclusion_reason"))
 
 
-def ordered_values(units: DataFrame, key: str, fields: list[str], array: str, order: str) -> DataFrame:
+def ordered_values(units: DataFrame, key: list[str], fields: list[str], array: str, order: str) -> DataFrame:
     """``key`` and per field its distinct normalised non-blank values in first-seen order, joined by ``；``.
 
     One pass: all fields' values are made distinct by one aggregate, so what is joined per key is
@@ -73,21 +75,38 @@ def ordered_values(units: DataFrame, key: str, fields: list[str], array: str, or
     """
     scalar = [F.struct(F.lit(f).alias("f"), T.normalize_text(f).alias("v"), F.lit(0).alias("p")) for f in fields]
     items = F.transform(F.coalesce(F.col(array), F.array().cast("array<string>")), lambda x, i: F.struct(F.lit(array).alias("f"), T.normalize_text(x).alias("v"), i.alias("p")))
-    rows = units.select(key, order, F.explode(F.concat(F.array(*scalar), items)).alias("x")).filter("x.v <> ''")
-    first = rows.groupBy(key, F.col("x.f").alias("f"), F.col("x.v").alias("v")).agg(F.min(F.struct(order, "x.p")).alias("o"))
+    rows = units.select(*key, order, F.explode(F.concat(F.array(*scalar), items)).alias("x")).filter("x.v <> ''")
+    first = rows.groupBy(*key, F.col("x.f").alias("f"), F.col("x.v").alias("v")).agg(F.min(F.struct(order, "x.p")).alias("o"))
     joined = lambda f: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("f") == f, F.struct("o", "v")))), lambda x: x["v"]), "；")
-    return first.groupBy(key).agg(*[joined(f).alias(f) for f in (*fields, array)])
+    return first.groupBy(*key).agg(*[joined(f).alias(f) for f in (*fields, array)])
 
 
 def consolidate(groups: DataFrame, units: DataFrame) -> DataFrame:
     """One row per canonical record with its units' values; records without units stay, with empty values."""
     fields = ["finding", "scene", "loc_detail", "risk_scene"]
-    values = ordered_values(units, "raw_record_id", fields, "object", "record_id").withColumnRenamed("object", "objects")
+    values = ordered_values(units, ["raw_record_id"], fields, "object", "record_id").withColumnRenamed("object", "objects")
     flags = units.groupBy("raw_record_id").agg(F.count(F.lit(1)).alias("n_units"), F.bool_or(F.coalesce("arbitration_required", F.lit(False))).alias("arbitration_required"))
     out = groups.select("analysis_record_id", F.col("canonical_raw_record_id").alias("raw_record_id")).join(flags, "raw_record_id", "left").join(values, "raw_record_id", "left")
     return out.select("analysis_record_id", "raw_record_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("finding", "objects", "scene", "loc_detail", "risk_scene")], F.coalesce("n_units", F.lit(0)).alias("n_units"), F.coalesce("arbitration_required", F.lit(False)).alias("arbitration_required"))
 
 
+def provider_levels(groups: DataFrame, units: DataFrame, provider: str) -> DataFrame:
+    """Per provider and canonical record the values of the provider's kept units, at the grain of records.
+
+    Units are de-duplicated within their provider; a provider has a row for every canonical record,
+    with empty values where it has no unit.
+    """
+    kept = unit_audit(units, groups, (provider,)).filter("is_kept_unit").select(provider, "record_id")
+    live = units.join(kept, [provider, "record_id"], "left_semi")
+    fields = [f for f in ("finding", "scene", "loc_detail", "risk_scene") if f in units.columns]
+    key = [provider, "raw_record_id"]
+    values = ordered_values(live, key, fields, "object", "record_id").withColumnRenamed("object", "objects")
+    sizes = live.groupBy(*key).agg(F.count(F.lit(1)).alias("n_units"))
+    every = groups.select("analysis_record_id", F.col("canonical_raw_record_id").alias("raw_record_id")).withColumn(provider, F.explode(F.array(*map(F.lit, sorted(r[0] for r in units.select(provider).distinct().collect())))))
+    out = every.join(sizes, key, "left").join(values, key, "left")
+    return out.select(provider, "analysis_record_id", "raw_record_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("objects", *fields)], F.coalesce("n_units", F.lit(0)).alias("n_units"))
+
+
 def remap_to_canonical(rows: DataFrame, id_column: str, audit: DataFrame) -> DataFrame:
     """Rows with the canonical id of their source id, keeping one source per canonical id.
 

@@ -204,3 +204,79 @@ def common_summary(scored: DataFrame, systems: DataFrame, system: str, unit: str
     every = scored.groupBy(unit).agg(F.countDistinct(system).alias("_s")).join(systems.agg(F.count(F.lit(1)).alias("_n"))).filter("_s = _n")
     means = scored.join(every.select(unit), unit, "left_semi").groupBy(system).agg(F.count(F.lit(1)).alias("n_common"), *field_means())
     return systems.join(means, system, "left").fillna(0, ["n_common"])
+
+
+TEXT_FIELDS = ("finding", "scene", "loc_detail", "risk_scene")
+
+
+def paired_fields(matches: DataFrame, pred: DataFrame, gold: DataFrame, record: str, unit: str, keep: list[str] = [], fields: tuple[str, ...] = TEXT_FIELDS) -> DataFrame:  # noqa: B006
+    """Matched pairs with their compact text fields (``finding_p``, ``finding_g`` and so on) and objects of both sides."""
+    both = matches
+    for s, df in (("p", pred), ("g", gold)):
+        own = [T.compact_text(f).alias(f"{f}_{s}") for f in fields if f in df.columns] + [F.lit("").alias(f"{f}_{s}") for f in fields if f not in df.columns]
+        extra = [k for k in keep if s == "p"]
+        both = both.join(df.select(record, F.col(unit).alias(f"unit_{s}"), F.col("objects").alias(f"objects_{s}"), *own, *extra), [record, f"unit_{s}"])
+    return both
+
+
+def match_summary(pairs: DataFrame, record: str, fields: tuple[str, ...] = TEXT_FIELDS) -> DataFrame:
+    """One row per matched pair with the scores of all fields and their mean over those that are defined."""
+    scores = {f: char_f1(f"{f}_p", f"{f}_g") for f in fields} | {"object": set_f1("objects_p", "objects_g")}
+    there = {f: (F.col(f"{f}_p") != "") | (F.col(f"{f}_g") != "") for f in ("finding", "scene")} | {"object": (F.size("objects_p") > 0) | (F.size("objects_g") > 0)}
+    total = sum((F.when(c, scores[f]).otherwise(0.0) for f, c in there.items()), F.lit(0.0))
+    mean = F.coalesce(F.try_divide(total, sum((c.cast("int") for c in there.values()), F.lit(0))), F.lit(0.0))
+    return pairs.select(record, "unit_p", "unit_g", "exact", mean.alias("pairing_score"), *[c.alias(f"{f}_f1") for f, c in scores.items()])
+
+
+def field_summary(pairs: DataFrame, system: str, fields: tuple[str, ...] = TEXT_FIELDS) -> DataFrame:
+    """Per system and field: mean F1 and share of equal values over pairs where either side has one, and the cases.
+
+    Cases are ``omission`` (only the reference has a value), ``over_extraction`` (only the
+    prediction), ``both_empty`` and ``both_present``.
+    """
+    row = lambda f, score, same, p, g: F.struct(F.lit(f).alias("field"), score.alias("score"), same.alias("same"), p.alias("p"), g.alias("g"))
+    each = [row(f, char_f1(f"{f}_p", f"{f}_g"), F.col(f"{f}_p") == F.col(f"{f}_g"), F.col(f"{f}_p") != "", F.col(f"{f}_g") != "") for f in fields]
+    sets = [F.array_sort(F.array_distinct(f"objects_{s}")) for s in "pg"]
+    each.append(row("object", set_f1("objects_p", "objects_g"), sets[0] == sets[1], F.size("objects_p") > 0, F.size("objects_g") > 0))
+    x = pairs.select(system, F.explode(F.array(*each)).alias("x")).select(system, "x.*")
+    some = F.col("p") | F.col("g")
+    cases = {"omission": ~F.col("p") & F.col("g"), "over_extraction": F.col("p") & ~F.col("g"), "both_empty": ~some, "both_present": F.col("p") & F.col("g")}
+    mean = lambda c: F.coalesce(F.avg(F.when(some, c)), F.lit(0.0))
+    return x.groupBy(system, "field").agg(mean(F.col("score")).alias("f1"), mean(F.col("same").cast("double")).alias("exact_match_rate"), F.count_if(some).alias("evaluated_count"), *[F.count_if(c).alias(k) for k, c in cases.items()])
+
+
+def tall_summary(summary: DataFrame, system: str, metrics: list[str]) -> DataFrame:
+    """``system, place, metric, value``: one row per metric in the given order."""
+    each = F.posexplode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("place", "x")
+    return summary.select(system, each).select(system, "place", "x.metric", "x.value")
+
+
+def complete_hits(pred: DataFrame, gold: DataFrame, record: str, unit: str, system: str) -> DataFrame:
+    """Per system: units, complete hits, precision, recall and F1, each against all reference units."""
+    key = F.to_json(F.struct(system, record))
+    systems = pred.select(system).distinct()
+    each = pred.select(system, record).distinct().join(gold, record)
+    hits = exact_matches(pred.withColumn("_key", key), each.withColumn("_key", key), "_key", unit)
+    n = hits.groupBy(F.get_json_object("_key", f"$.{system}").alias(system)).agg(F.count(F.lit(1)).alias("n_hits"))
+    counts = systems.join(pred.groupBy(system).agg(F.count(F.lit(1)).alias("n_pred")), system).join(n, system, "left").fillna(0, ["n_hits"])
+    r = counts.join(gold.agg(F.count(F.lit(1)).alias("n_gold")))
+    return r.select("*", *[c.alias(k) for k, c in prf(F.col("n_hits"), F.col("n_pred"), F.col("n_gold")).items()])
+
+
+# Where the fields of a record may stand in a table of another make.
+ALIASES = {
+    "record_id": ["record_id", "gold_record_id", "id"], "gold_record_id": ["gold_record_id", "record_id", "id"], "raw_record_id": ["raw_record_id", "raw_id", "source_id"], "raw_text": ["raw_text", "text"],
+    "finding": ["finding", "phenomenon_label"], "scene": ["scene", "scene_label"], "loc_detail": ["loc_detail", "location_label"], "risk_scene": ["risk_scene"],
+}
+
+
+def extraction_records(df: DataFrame, minimal: bool = False) -> DataFrame:
+    """Any table of units as records of fixed columns: the first of a field's columns that has a text, and parsed objects.
+
+    A table whose objects are an array already keeps them; ``minimal`` leaves out the raw text.
+    """
+    kinds = dict(df.dtypes)
+    texts = {f: T.first_text(*[c for c in names if c in kinds]) for f, names in ALIASES.items() if not (minimal and f == "raw_text")}
+    name = next((c for c in ("object", "object_json", "object_label") if c in kinds), None)
+    objects = F.array().cast("array<string>") if name is None else F.coalesce(name, F.array().cast("array<string>")) if kinds[name].startswith("array") else T.parse_objects(name)
+    return df.select(*[c.alias(f) for f, c in texts.items()], objects.alias("object"))

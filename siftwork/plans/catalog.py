@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("records", "clusters", "evaluation", "packed")
+MODULES: tuple[str, ...] = ("records", "clusters", "evaluation", "review", "packed")
 
 
 def _merged(name: str) -> dict:
