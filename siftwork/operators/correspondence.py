@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siftwork.session import spread
 
 def joined_labels(a: DataFrame, b: DataFrame, key: str, label_a: str, label_b: str, drop_sentinels: bool = True) -> DataFrame:
     """``a, b`` of the rows that both tables hold; noise and missing rows are dropped on request."""
@@ -37,11 +42,12 @@ def profiles(cells: DataFrame) -> DataFrame:
     return cells.groupBy("a").agg(F.sum("n").alias("n"), k.alias("n_partners"), best.alias("dominant"), F.max("share_a").alias("dominant_share"), F.when(k > 1, h / F.ln(k.cast("double"))).otherwise(0.0).alias("normalized_entropy"))
 
 
-def agreement(cells: DataFrame) -> DataFrame:
-    """One row: entropies, mutual information, V-measure, NMI (arithmetic), ARI and AMI.
+def agreement(cells: DataFrame, adjusted: bool = False) -> DataFrame:
+    """One row: entropies, mutual information, V-measure, NMI (arithmetic), ARI and, with ``adjusted``, AMI.
 
     The expected mutual information of AMI depends on the marginals only, so it is summed over
-    distinct pairs of marginal sizes, each weighted by how many pairs of clusters have them.
+    distinct pairs of marginal sizes, each weighted by how many pairs of clusters have them. There
+    are at most as many sizes as the root of twice the number of rows.
     """
     total = cells.agg(F.sum("n").alias("n_all"))
     a = cells.groupBy("a").agg(F.sum("n").alias("n"))
@@ -54,32 +60,46 @@ def agreement(cells: DataFrame) -> DataFrame:
 
     p, q = F.col("n") / F.col("n_all"), F.col("n_a").cast("double") * F.col("n_b")
     mi = cells.crossJoin(total).agg(F.sum(p * F.ln(F.col("n") * F.col("n_all") / q)).alias("mi"), pair("n").alias("pairs"), F.max("n_all").alias("n_all"))
-    sizes = lambda x, s: x.groupBy(F.col("n").alias(f"s{s}")).agg(F.count(F.lit(1)).alias(f"k{s}"))
-    grid = sizes(a, "a").join(sizes(b, "b")).crossJoin(total)
-    emi = grid.mapInPandas(_expected, "emi double").agg(F.sum("emi").alias("emi"))
-    r = mi.crossJoin(side(a, "a")).crossJoin(side(b, "b")).crossJoin(emi)
-    mean_h = (F.col("h_a") + F.col("h_b")) / 2
+    r = mi.crossJoin(side(a, "a")).crossJoin(side(b, "b"))
+    mean_h, ami = (F.col("h_a") + F.col("h_b")) / 2, []
+    if adjusted:
+        sizes = lambda x, s: x.groupBy(F.col("n").alias(f"s{s}")).agg(F.count(F.lit(1)).alias(f"k{s}"))
+        grid = spread(sizes(a, "a").join(sizes(b, "b")).crossJoin(total))
+        r = r.crossJoin(grid.mapInPandas(_expected, "emi double").agg(F.sum("emi").alias("emi")))
+        ami = [F.coalesce(F.try_divide(F.col("mi") - F.col("emi"), mean_h - F.col("emi")), F.lit(1.0)).alias("ami")]
     all_pairs = F.col("n_all") * (F.col("n_all") - 1) / 2
     expected = F.col("pairs_a") * F.col("pairs_b") / all_pairs
     hom = F.when(F.col("h_a") > 0, F.col("mi") / F.col("h_a")).otherwise(1.0)
     com = F.when(F.col("h_b") > 0, F.col("mi") / F.col("h_b")).otherwise(1.0)
-    return r.select(F.col("n_all").alias("n_records"), "h_a", "h_b", "mi", hom.alias("homogeneity"), com.alias("completeness"), F.coalesce(F.try_divide(2 * hom * com, hom + com), F.lit(0.0)).alias("v_measure"), F.coalesce(F.try_divide(F.col("mi"), mean_h), F.lit(1.0)).alias("nmi"), F.coalesce(F.try_divide(F.col("pairs") - expected, (F.col("pairs_a") + F.col("pairs_b")) / 2 - expected), F.lit(1.0)).alias("ari"), F.coalesce(F.try_divide(F.col("mi") - F.col("emi"), mean_h - F.col("emi")), F.lit(1.0)).alias("ami"))
+    return r.select(F.col("n_all").alias("n_records"), "h_a", "h_b", "mi", hom.alias("homogeneity"), com.alias("completeness"), F.coalesce(F.try_divide(2 * hom * com, hom + com), F.lit(0.0)).alias("v_measure"), F.coalesce(F.try_divide(F.col("mi"), mean_h), F.lit(1.0)).alias("nmi"), F.coalesce(F.try_divide(F.col("pairs") - expected, (F.col("pairs_a") + F.col("pairs_b")) / 2 - expected), F.lit(1.0)).alias("ari"), *ami)
 
 
-def _expected(frames):
-    """Expected mutual information of pairs of marginal sizes under random labels."""
-    from math import lgamma
+#: Terms of the expected mutual information that a task holds at once.
+TERMS = 1_000_000
+
 
-    import numpy as np
-    import pandas as pd
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Logarithm of the gamma function from 1 on, by Stirling's series seven steps further up."""
+    up = np.zeros_like(x)
+    for k in range(7):
+        up += np.log(x + k)
+    z = x + 7
+    i = 1 / (z * z)
+    series = (1 / 12 - i * (1 / 360 - i * (1 / 1260 - i * (1 / 1680 - i / 1188)))) / z
+    return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + series - up
 
+
+def _expected(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Expected mutual information of pairs of marginal sizes under random labels."""
+    g = lambda v: float(log_gamma(np.array([v], float))[0])
     for f in frames:
         out = 0.0
         for s, k, t, m, n in zip(f["sa"], f["ka"], f["sb"], f["kb"], f["n_all"], strict=True):
-            x = np.arange(max(1, s + t - n), min(s, t) + 1, dtype=float)
-            lg = np.frompyfunc(lgamma, 1, 1)
-            log_p = lgamma(s + 1) + lgamma(t + 1) + lgamma(n - s + 1) + lgamma(n - t + 1) - lgamma(n + 1) - (lg(x + 1) + lg(s - x + 1) + lg(t - x + 1) + lg(n - s - t + x + 1)).astype(float)
-            out += k * m * float((x / n * np.log(n * x / (float(s) * t)) * np.exp(log_p)).sum())
+            fixed = g(s + 1) + g(t + 1) + g(n - s + 1) + g(n - t + 1) - g(n + 1)
+            for low in range(max(1, s + t - n), min(s, t) + 1, TERMS):
+                x = np.arange(low, min(low + TERMS, min(s, t) + 1), dtype=float)
+                log_p = fixed - log_gamma(x + 1) - log_gamma(s - x + 1) - log_gamma(t - x + 1) - log_gamma(n - s - t + x + 1)
+                out += k * m * float((x / n * np.log(n * x / (float(s) * t)) * np.exp(log_p)).sum())
         yield pd.DataFrame({"emi": [out]})
 
 

@@ -11,16 +11,21 @@ from siftwork.operators.ordinal import numbered_id, rank_in_group, with_ordinal
 FIELDS = ("finding", "object", "scene", "loc_detail", "risk_scene")
 
 
+def canonical_sources(raw: DataFrame) -> DataFrame:
+    """The groups of :func:`canonical_groups` without their numbers: ``sha1, first_pos, duplicate_count`` and the first row."""
+    norm = T.normalize_text("raw_text")
+    rows = raw.select("record_id", "raw_text", "src_pos", norm.alias("norm")).filter("norm <> ''")
+    groups = rows.groupBy(F.sha1("norm").alias("sha1")).agg(F.min_by(F.struct(F.col("record_id").alias("canonical_raw_record_id"), "raw_text", "norm"), "src_pos").alias("f"), F.min("src_pos").alias("first_pos"), F.count(F.lit(1)).alias("duplicate_count"))
+    return groups.select("sha1", "first_pos", "duplicate_count", "f.*")
+
+
 def canonical_groups(raw: DataFrame) -> DataFrame:
     """One row per normalised text of ``record_id, raw_text, src_pos``, numbered in source order.
 
     The first source row gives the canonical id and text. Blank texts are left out.
     """
-    norm = T.normalize_text("raw_text")
-    rows = raw.select("record_id", "raw_text", "src_pos", norm.alias("norm")).filter("norm <> ''")
-    groups = rows.groupBy(F.sha1("norm").alias("sha1")).agg(F.min_by(F.struct("record_id", "raw_text", "norm"), "src_pos").alias("f"), F.min("src_pos").alias("first_pos"), F.count(F.lit(1)).alias("duplicate_count"))
-    numbered = with_ordinal(groups.select("sha1", "first_pos", "duplicate_count", "f.*"), ["first_pos"], "n")
-    return numbered.select(numbered_id("n", "U").alias("analysis_record_id"), numbered_id("n", "RAW-D").alias("dedupe_group_id"), F.col("record_id").alias("canonical_raw_record_id"), "raw_text", F.col("norm").alias("normalized_raw_text"), F.col("sha1").alias("normalized_raw_text_sha1"), "duplicate_count")
+    numbered = with_ordinal(canonical_sources(raw), ["first_pos"], "n")
+    return numbered.select(numbered_id("n", "U").alias("analysis_record_id"), numbered_id("n", "RAW-D").alias("dedupe_group_id"), "canonical_raw_record_id", "raw_text", F.col("norm").alias("normalized_raw_text"), F.col("sha1").alias("normalized_raw_text_sha1"), "duplicate_count")
 
 
 def canonical_audit(raw: DataFrame, groups: DataFrame) -> DataFrame:
@@ -40,11 +45,12 @@ def is_effective(fields: tuple[str, ...] = FIELDS, array: str = "object") -> Col
 
 
 def unit_score() -> Column:
-    """How much a unit holds, for choosing among duplicates; larger is better."""
+    """How much a unit holds, for choosing among duplicates; smaller is more."""
     has = {f: (T.normalize_text(f) != "").cast("int") for f in ("scene", "loc_detail", "risk_scene")}
     objects = F.coalesce(F.size("object"), F.lit(0))
     some = (objects > 0).cast("int")
-    return F.struct((some + has["scene"] + has["loc_detail"] + has["risk_scene"]).alias("a"), has["risk_scene"].alias("b"), has["scene"].alias("c"), some.alias("d"), has["loc_detail"].alias("e"), objects.alias("f"))
+    parts = [some + has["scene"] + has["loc_detail"] + has["risk_scene"], has["risk_scene"], has["scene"], some, has["loc_detail"], objects]
+    return F.struct(*[(-p).alias(f"s{k}") for k, p in enumerate(parts)])
 
 
 def unit_audit(units: DataFrame, canonical_ids: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -58,8 +64,7 @@ def unit_audit(units: DataFrame, canonical_ids: DataFrame, by: tuple[str, ...] =
     ids = canonical_ids.select(F.col("canonical_raw_record_id").alias("raw_record_id")).distinct().withColumn("_c", F.lit(True))
     u = units.join(ids, "raw_record_id", "left").withColumn("_e", is_effective()).withColumn("_k", F.sha1(F.concat_ws("\u001f", *by, T.normalize_text("raw_text"), T.normalize_text("finding"))))
     live = u.filter("_c AND _e")
-    best = live.groupBy("_k").agg(F.max(unit_score()).alias("_s"))
-    kept = live.join(best, "_k").filter(unit_score() == F.col("_s")).groupBy("_k").agg(F.min("record_id").alias("_kept"))
+    kept = live.groupBy("_k").agg(F.min(F.struct(unit_score().alias("s"), "record_id")).alias("_b")).select("_k", F.col("_b.record_id").alias("_kept"))
     out = u.join(kept, "_k", "left")
     dup = "duplicate_raw_text_finding_within_canonical"
     live_row = F.col("_c").isNotNull() & F.col("_e")

@@ -29,7 +29,7 @@ def rank_in_group(df: DataFrame, group: str, order: list[str], to: str) -> DataF
     The group is spread over partitions by its order columns; a row's rank is its global ordinal
     less the group's smallest one.
     """
-    numbered = checkpointed(with_ordinal(df, [group, *order], "_g"))
+    numbered = with_ordinal(df, [group, *order], "_g")
     first = numbered.groupBy(group).agg(F.min("_g").alias("_f"))
     return numbered.join(first, group).withColumn(to, (F.col("_g") - F.col("_f") + 1).cast("int")).drop("_g", "_f")
 

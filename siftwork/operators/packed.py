@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ast
+import hashlib
 import json
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,19 +41,20 @@ def _closing(text: str, at: int) -> int:
     return -1
 
 
-def pieces(text: str, delimiters: str) -> list[str]:
-    """``text`` cut at the delimiters that stand outside quotes and brackets.
+def cuts(text: str, delimiters: str) -> tuple[list[str], list[str]]:
+    """``text`` cut at the delimiters that stand outside quotes and brackets: the pieces, and the delimiters between them.
 
     Nothing is cut directly between two digits or two Latin letters. A straight quote opens only at
     the start of a value; what never closes is an ordinary character.
     """
-    out, start, i, n, open_from = [], 0, 0, len(text), {}
+    out, between, start, i, n, open_from = [], [], 0, 0, len(text), {}
     while i < n:
         ch = text[i]
         if ch in delimiters:
             a, b = text[i - 1 : i], text[i + 1 : i + 2]
             if not (a and b and ((a.isdecimal() and b.isdecimal()) or (_latin(a) and _latin(b)))):
                 out.append(text[start:i])
+                between.append(ch)
                 start = i + 1
         elif (ch in BRACKETS or ch == "“" or (ch in QUOTES and not text[start:i].strip())) and open_from.get(ch, n) > i:
             end = _closing(text, i)
@@ -60,7 +63,11 @@ def pieces(text: str, delimiters: str) -> list[str]:
             else:
                 i = end
         i += 1
-    return [*out, text[start:]]
+    return [*out, text[start:]], between
+
+
+def pieces(text: str, delimiters: str) -> list[str]:
+    return cuts(text, delimiters)[0]
 
 
 def bare(piece: str) -> str:
@@ -94,15 +101,58 @@ def values_of(cell: str, delimiters: str) -> list[str]:
     return [x for x in found if x]
 
 
+#: A value is bound to a neighbour if that stands beside it this often; share of values that are not bound from which a
+#: delimiter separates values.
+BOUND, FREE = 0.9, 0.05
+
+
+def _neighbours(df: DataFrame) -> DataFrame:
+    """``source, delimiter, tied, free``: values that stand beside a delimiter more than once, bound and not bound.
+
+    If a mark belongs to values, as in `AC / DC`, then each part has the same neighbour across it
+    nearly always; if it separates values, the neighbours vary. A value is looked at on each side on
+    its own, over all its occurrences in the source, at whatever delimiter or at the end of a cell.
+    Counts are summed per batch before they are shuffled.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            seen: Counter = Counter()
+            for s, c in zip(b["source"], b["cell"], strict=True):
+                c = c.strip()
+                got = listed(c)
+                values, between = ([x.strip() for x in got], []) if got is not None else cuts(c, DELIMITERS)
+                if got is None:
+                    values = [x.strip() for x in values]
+                last = len(values) - 1
+                for k, v in enumerate(values):
+                    if v:
+                        left, right = (between[k - 1], values[k - 1]) if between and k else ("", ""), (between[k], values[k + 1]) if between and k < last else ("", "")
+                        seen[s, v, "l", *left] += 1
+                        seen[s, v, "r", *right] += 1
+            rows = [(s, _digest(s, v, side), d, _digest(d, other), n) for (s, v, side, d, other), n in seen.items()]
+            yield pd.DataFrame(rows, columns=["source", "place", "delimiter", "other", "n"])
+
+    sides = df.mapInPandas(run, "source string, place bigint, delimiter string, other bigint, n bigint")
+    counts = sides.groupBy("source", "place", "delimiter", "other").agg(F.sum("n").alias("n"))
+    each = counts.groupBy("source", "place").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.collect_set("delimiter").alias("ds")).filter("n > 1")
+    free = F.col("most") < BOUND * F.col("n")
+    return each.select("source", F.explode("ds").alias("delimiter"), free.alias("free")).filter("delimiter <> ''").groupBy("source", "delimiter").agg(F.count_if(~F.col("free")).alias("tied"), F.count_if("free").alias("free"))
+
+
+def _digest(*parts: str) -> int:
+    return int.from_bytes(hashlib.blake2b("\u0000".join(parts).encode(errors="surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def delimiter_scores(df: DataFrame, source: str, cell: str) -> DataFrame:
-    """``source, delimiter, n_cells, score, accepted`` for every delimiter that cuts a cell of the source.
-
-    A delimiter is accepted if a cell that it cuts holds a value: the given cells have their values
-    between any of the delimiters, so neither odd cells nor odd pieces refuse one. The score only
-    tells how alike the cells are: the share of cells whose piece count is within twice and half
-    the median, times the mean over the cells of the share of their pieces that are regular (a
-    letter, at most 60 characters, no open quote). Only counts per source, delimiter and piece
-    count leave a task. Cells that are lists say nothing about delimiters.
+    """``source, delimiter, n_cells, score, free_share, accepted`` for every delimiter that cuts a cell of the source.
+
+    The score is the share of cells whose piece count is within twice and half the median, times
+    the mean over the cells of the share of their pieces that are regular (a letter, at most 60
+    characters, no open quote). ``free_share`` tells values from parts of values: see
+    :func:`_neighbours`. A delimiter is accepted if a cell that it cuts holds a value, unless nearly all
+    values beside it are bound to their neighbours; values that stand only once say nothing, and
+    neither odd cells nor odd pieces refuse a delimiter. Cells that are lists only tell of values.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,7 +176,9 @@ def delimiter_scores(df: DataFrame, source: str, cell: str) -> DataFrame:
     s = counts.groupBy("source", "delimiter").agg(*[F.sum(x).alias(x) for x in ("n", "p", "r")], F.percentile("c", F.lit(0.5), F.col("n")).alias("mid"), F.collect_list(F.struct("c", "n")).alias("each"))
     near = F.aggregate("each", F.lit(0).cast("bigint"), lambda t, x: t + F.when((x["c"] <= 2 * F.col("mid")) & (2 * x["c"] >= F.col("mid")), x["n"]).otherwise(0))
     score = F.coalesce(F.col("r") / F.nullif("p", F.lit(0)), F.lit(0.0)) * near / F.col("n")
-    return s.select("source", "delimiter", F.col("n").alias("n_cells"), score.alias("score"), (F.col("p") > 0).alias("accepted"))
+    s = s.join(_neighbours(cells), ["source", "delimiter"], "left")
+    share = F.coalesce(F.try_divide("free", F.col("free") + F.col("tied")), F.lit(1.0))
+    return s.select("source", "delimiter", F.col("n").alias("n_cells"), score.alias("score"), share.alias("free_share"), ((F.col("p") > 0) & (share >= FREE)).alias("accepted"))
 
 
 def values_column(cell: Column | str, delimiters: Column | str) -> Column:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftwork.operators.groups import connected_components, pairs_within
+from siftwork.operators.groups import pairs_within
 from siftwork.operators.ordinal import numbered_id, with_ordinal
 from siftwork.operators.vectors import dot, unit
+from siftwork.session import checkpointed
 
 
 def candidate_pairs(topics: DataFrame, k: int = 5, quantile: float = 0.95) -> DataFrame:
@@ -39,43 +41,50 @@ def rule_comparison(pairs: DataFrame) -> DataFrame:
     return r.groupBy(F.col("x.rule").alias("rule")).agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if("cross_parent").alias("n_cross_parent"), F.avg("similarity").alias("mean_similarity"))
 
 
-def maximal_cliques(edges: DataFrame, a: str, b: str, most: int = 400) -> DataFrame:
+def maximal_cliques(edges: DataFrame, a: str, b: str) -> DataFrame:
     """``clique, node``: the maximal cliques of two or more nodes; a clique's name is its sorted nodes.
 
-    Cliques are found within a connected component, which must not have more than ``most`` nodes; a
-    larger component raises an error that says so, since their number can grow exponentially.
+    Nodes are put in order by degree, and every clique is found from its first node: one search per
+    node, among the neighbours behind it, which leaves out what a neighbour before it extends. So a
+    task holds the neighbours of one node and the edges between them, and no component is held
+    whole. Null ends and loops are dropped; a graph without edges has no clique.
     """
-    import pandas as pd
-
-    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct()
-    comp = connected_components(e, "a", "b")
-    largest = comp.groupBy("component").count().agg(F.max("count")).first()[0] or 0
-    if largest > most:
-        raise ValueError(f"a component has {largest} nodes; cliques are searched up to {most}")
-    kind = dict(e.dtypes)["a"]
-
-    def search(f: pd.DataFrame) -> pd.DataFrame:
-        near: dict = {}
-        for x, y in zip(f["a"], f["b"], strict=True):
-            near.setdefault(x, set()).add(y)
-            near.setdefault(y, set()).add(x)
-        found, stack = [], [((), frozenset(near), frozenset())]
-        while stack:
-            taken, open_, done = stack.pop()
-            if not open_ and not done:
-                found.append(sorted(taken))
-                continue
-            if not open_:
-                continue
-            pivot = max(open_ | done, key=lambda n: (len(near[n] & open_), str(n)))
-            for n in sorted(open_ - near[pivot]):
-                stack.append(((*taken, n), open_ & near[n], done & near[n]))
-                open_, done = open_ - {n}, done | {n}
-        rows = [("|".join(map(str, c)), n) for c in found if len(c) > 1 for n in c]
-        return pd.DataFrame(rows, columns=["clique", "node"])
-
-    tagged = e.join(comp.select(F.col("node").alias("a"), "component"), "a")
-    return tagged.groupBy("component").applyInPandas(search, f"clique string, node {kind}")
+    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).dropna().filter("a <> b")
+    e = checkpointed(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    degree = both.groupBy("a").agg(F.count(F.lit(1)).alias("d"))
+    ranked = both.join(degree, "a").join(degree.select(F.col("a").alias("b"), F.col("d").alias("e")), "b")
+    star = checkpointed(ranked.select("a", "b", (F.struct("d", "a") < F.struct(F.col("e").alias("d"), F.col("b").alias("a"))).alias("later")))
+    spokes = star.select(F.col("a").alias("first"), F.col("b").alias("x"), F.lit(None).cast(dict(e.dtypes)["a"]).alias("y"), "later")
+    x, y = (star.select(F.col("a").alias("first"), F.col("b").alias(c)) for c in "xy")
+    rims = e.select(F.col("a").alias("x"), F.col("b").alias("y")).join(x, "x").join(y, ["first", "y"]).select("first", "x", "y", F.lit(False).alias("later"))
+    return spokes.unionByName(rims).groupBy("first").applyInPandas(_cliques_from, f"clique string, node {dict(e.dtypes)['a']}")
+
+
+def _cliques_from(f: pd.DataFrame) -> pd.DataFrame:
+    """The maximal cliques that start at one node, by branching on the neighbours that a pivot leaves; sets are bit masks."""
+    spokes = f[f["y"].isna()]
+    nodes = spokes["x"].tolist()
+    at = {n: k for k, n in enumerate(nodes)}
+    near = [0] * len(nodes)
+    rims = f[f["y"].notna()]
+    for x, y in zip(rims["x"], rims["y"], strict=True):
+        near[at[x]] |= 1 << at[y]
+        near[at[y]] |= 1 << at[x]
+    bits = lambda mask: [k for k in range(mask.bit_length()) if mask >> k & 1]
+    before = sum(1 << k for k, later in enumerate(spokes["later"]) if not later)
+    todo, names = [(0, (1 << len(nodes)) - 1 & ~before, before)], []
+    while todo:
+        clique, can, seen = todo.pop()
+        if not can:
+            if not seen and clique:
+                names.append(sorted([f["first"].iloc[0], *(nodes[k] for k in bits(clique))]))
+            continue
+        best = max(bits(can | seen), key=lambda k: (near[k] & can).bit_count())
+        for k in bits(can & ~near[best]):
+            todo.append((clique | 1 << k, can & near[k], seen & near[k]))
+            can, seen = can & ~(1 << k), seen | 1 << k
+    return pd.DataFrame([("|".join(map(str, c)), n) for c in names for n in c], columns=["clique", "node"])
 
 
 def group_summary(cliques: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -12,15 +12,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftwork.operators.channels import MISSING, NOISE
 from siftwork.operators.groups import pairs_within
+from siftwork.operators.ordinal import rank_in_group
+from siftwork.session import checkpointed
 
-
-#: Topics whose mean vectors may be sent to the workers.
-TOPICS = 1 << 16
+#: Topics whose mean vectors are sent to the workers at once, and topics and rows that a task compares at once.
+TOPICS, TOPICS_AT_ONCE, ROWS_AT_ONCE = 1 << 16, 1024, 2000
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -52,7 +52,7 @@ def centroid_ranks(rows: DataFrame, key: str, label: str, vector: str, dim: int,
     live = rows if with_noise else rows.filter(F.col(label) >= 0)
     c = centroids(live, [label], vector, dim).drop("n")
     near = live.join(c, label).select(key, label, distance(vector, "centroid").alias("distance"))
-    ranked = near.withColumn("rank", F.row_number().over(W.partitionBy(label).orderBy(F.round("distance", 9), key)))
+    ranked = rank_in_group(near.withColumn("_d", F.round("distance", 9)), label, ["_d", key], "rank").select(key, label, "distance", "rank")
     if with_noise:
         return ranked
     rest = rows.filter(F.col(label) < 0).select(key, label, F.lit(None).cast("double").alias("distance"), F.lit(None).cast("int").alias("rank"))
@@ -68,36 +68,50 @@ def structure(rows: DataFrame, label: str) -> DataFrame:
     return per.agg(total.alias("record_count"), (total - missing).alias("clustered_record_count"), missing.alias("missing_count"), (missing / total).alias("missing_ratio"), F.count_if(topic).alias("cluster_count"), noise.alias("noise_count"), (noise / total).alias("noise_ratio"), F.coalesce(F.percentile(F.when(topic, F.col("n")), F.lit(0.5)), F.lit(0.0)).alias("median_topic_size"), largest.alias("largest_topic_size"), F.coalesce(F.try_divide(largest, total - missing), F.lit(0.0)).alias("largest_topic_ratio"))
 
 
-def silhouette(rows: DataFrame, key: str, label: str, vector: str, dim: int) -> DataFrame:
+def silhouette(rows: DataFrame, key: str, label: str, vector: str, dim: int, topics: int = TOPICS) -> DataFrame:
     """``key, label, silhouette`` by cosine distance, for rows of a topic.
 
     The mean cosine distance to a cluster is one less the product with the mean of its unit vectors,
-    so a row is compared with the means alone: at most ``TOPICS`` times ``dim`` numbers, sent once. Rows of a topic of one row have 0; with a single topic there is no row.
+    so a row is compared with the means alone. At most ``topics`` means are sent at a time; with
+    more of them the rows are read in several passes, whose results are brought together by key.
+    Rows of a topic of one row have 0; with a single topic there is no row.
     """
     u = rows.filter(F.col(label) >= 0).select(key, label, unit(vector).alias("u"))
-    rows = centroids(u, [label], "u", dim).orderBy(label).limit(TOPICS + 1).collect()
-    if len(rows) > TOPICS:
-        raise ValueError(f"more than {TOPICS} topics")
+    means = checkpointed(centroids(u, [label], "u", dim))
+    n_topics = means.count()
+    passes = max(1, -(-n_topics // topics))
     kinds = dict(rows_types(u, key, label))
-    m = np.array([r["centroid"] for r in rows]).reshape(-1, dim)
-    means = u.sparkSession.sparkContext.broadcast((np.array([r[label] for r in rows]), m, np.array([r["n"] for r in rows])))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        labels, m, n = means.value
-        for b in batches:
-            if not len(b) or len(labels) < 2:
-                continue
-            d = 1 - np.stack(b["u"].to_numpy()) @ m.T
-            at = np.searchsorted(labels, b[label].to_numpy())
-            row = np.arange(len(b))
-            size = n[at]
-            a = d[row, at] * size / np.maximum(size - 1, 1)
-            d[row, at] = np.inf
-            other = d.min(1)
-            top = np.maximum(a, other)
-            yield pd.DataFrame({key: b[key], label: b[label], "silhouette": np.where((size == 1) | (top == 0), 0.0, (other - a) / np.where(top == 0, 1, top))})
-
-    return u.mapInPandas(score, f"{key} {kinds[key]}, {label} {kinds[label]}, silhouette double")
+    sc, parts = u.sparkSession.sparkContext, None
+    for p in range(passes):
+        some = means.filter(F.pmod(F.xxhash64(label), F.lit(passes)) == p).orderBy(label).collect()
+        sent = sc.broadcast((np.array([r[label] for r in some]), np.array([r["centroid"] for r in some]).reshape(-1, dim), np.array([r["n"] for r in some])))
+
+        def score(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            labels, m, n = sent.value
+            for batch in batches:
+                for k in range(0, len(batch), ROWS_AT_ONCE):
+                    b = batch.iloc[k : k + ROWS_AT_ONCE]
+                    x, own = np.stack(b["u"].to_numpy()), b[label].to_numpy()
+                    a, other = np.full(len(b), np.nan), np.full(len(b), np.inf)
+                    for c in range(0, len(labels), TOPICS_AT_ONCE):
+                        d = 1 - x @ m[c : c + TOPICS_AT_ONCE].T
+                        at = np.searchsorted(labels[c : c + TOPICS_AT_ONCE], own)
+                        here = np.flatnonzero((at < d.shape[1]) & (labels[c + np.minimum(at, d.shape[1] - 1)] == own))
+                        size = n[c + at[here]]
+                        a[here] = np.where(size > 1, d[here, at[here]] * size / np.maximum(size - 1, 1), np.inf)
+                        d[here, at[here]] = np.inf
+                        other = np.minimum(other, d.min(1))
+                    yield pd.DataFrame({key: b[key], label: own, "a": a, "b": other})
+
+        found = u.mapInPandas(score, f"{key} {kinds[key]}, {label} {kinds[label]}, a double, b double")
+        parts = found if parts is None else parts.unionByName(found)
+    if n_topics < 2:
+        return u.limit(0).select(key, label, F.lit(0.0).alias("silhouette"))
+    if passes > 1:
+        parts = parts.groupBy(key, label).agg(F.max(F.when(~F.isnan("a"), F.col("a"))).alias("a"), F.min("b").alias("b"))
+    inf = F.lit(float("inf"))
+    value = F.when((F.col("a") == inf) | (F.greatest("a", "b") == 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    return parts.select(key, label, value.alias("silhouette"))
 
 
 def rows_types(df: DataFrame, *columns: str) -> list[tuple[str, str]]:

@@ -103,11 +103,11 @@ def cluster_profiles(spark, d):
 
 
 def clustering_agreement(spark, d):
-    return round_all(R.agreement(checkpointed(_cells(spark, d))).drop("ami"))
+    return round_all(R.agreement(checkpointed(_cells(spark, d))))
 
 
 def adjusted_mutual_information(spark, d):
-    return round_all(R.agreement(checkpointed(_cells(spark, d))).select("n_records", "ami"))
+    return round_all(R.agreement(checkpointed(_cells(spark, d)), True).select("n_records", "ami"))
 
 
 def _labelled(spark, d):

@@ -20,7 +20,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_delimiters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return delimiter_scores(object_cells(spark, sf_dir), "source", "cell").withColumn("score", F.round("score", 4))
+    return delimiter_scores(object_cells(spark, sf_dir), "source", "cell").withColumns({c: F.round(c, 4) for c in ("score", "free_share")})
 
 
 QUERIES = {"p6_found": p6_found, "p6_delimiters": p6_delimiters}

@@ -113,7 +113,7 @@ def text_helpers(spark, d):
 
 
 def unit_dedupe_audit(spark, d):
-    return D.unit_audit(checkpointed(units(spark, d)), D.canonical_groups(raw(spark, d)))
+    return D.unit_audit(units(spark, d), D.canonical_sources(raw(spark, d)))
 
 
 def unit_dedupe(spark, d):
@@ -220,11 +220,19 @@ def merged_versions(spark, d):
     return m.groupBy("n_versions").agg(F.count(F.lit(1)).alias("n"))
 
 
+def merged_sources(spark, d):
+    """Raw records, canonical ones and those behind the structured records by id: how many distinct texts an id has."""
+    c = table(spark, d, "canonical_raw_records").select(F.col("canonical_raw_record_id").alias("record_id"), "raw_text")
+    s = table(spark, d, "structured_records").select(F.col("raw_record_id").alias("record_id"), "raw_text")
+    m = D.merge_by_id([raw(spark, d).select("record_id", "raw_text"), c, s], "record_id")
+    return m.groupBy("n_versions").agg(F.count(F.lit(1)).alias("n"))
+
+
 def clause_findings(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(T.clause_with("text", ["缺失", "裸露", "断裂"])).alias("clause_md5"))
 
 
-QUERIES = {f.__name__: f for f in (raw_dedup_groups, raw_dedup_audit, source_preprocessing_summary, normalize_text_scalar, cache_keys, parse_objects, json_cells, metadata_flags, text_helpers, unit_dedupe_audit, unit_dedupe, consolidate_units, gold_remap, common_universe, universe_audit, complete_field_subset, batch_assignment, candidate_groups, vote_extraction, vote_scene_split, provenance_validation, validation_summary, provenance_all_fields, validation_all_fields, channel_inputs_union, provider_channels, selected_experiments, field_composition, merged_versions, clause_findings)}
+QUERIES = {f.__name__: f for f in (raw_dedup_groups, raw_dedup_audit, source_preprocessing_summary, normalize_text_scalar, cache_keys, parse_objects, json_cells, metadata_flags, text_helpers, unit_dedupe_audit, unit_dedupe, consolidate_units, gold_remap, common_universe, universe_audit, complete_field_subset, batch_assignment, candidate_groups, vote_extraction, vote_scene_split, provenance_validation, validation_summary, provenance_all_fields, validation_all_fields, channel_inputs_union, provider_channels, selected_experiments, field_composition, merged_versions, merged_sources, clause_findings)}
 
 # DuckDB
 
@@ -297,6 +305,7 @@ SQL = {
     "selected_experiments": f"WITH {INPUTS} SELECT experiment_id, CASE experiment_id WHEN 'T8' THEN 1 ELSE 2 END::BIGINT AS place, count(*) AS n, count(*) FILTER ({s_('input_text')} = '') AS n_blank FROM ch WHERE experiment_id IN ('T8', 'B1') GROUP BY 1, 2",
     "field_composition": f"WITH {UNITS}, p AS (SELECT concat_ws('+', CASE WHEN trim(risk_scene) <> '' THEN 'risk_scene' END, CASE WHEN len(object) > 0 THEN 'object' END, CASE WHEN trim(coalesce(finding, '')) <> '' THEN 'finding' END) AS pattern FROM u) SELECT pattern, count(*) AS n, pattern = 'risk_scene+object+finding' AS is_complete FROM p WHERE pattern <> '' GROUP BY 1",
     "clause_findings": f"WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array({n_('text')}, '[，,；;。]'), lambda x: trim(x, ' ') <> '') AS p FROM documents), m AS (SELECT *, list_position(list_transform(p, lambda x: regexp_matches(x, '缺失|裸露|断裂')), true) AS i FROM t) SELECT doc_id, md5(CASE WHEN len(p) = 0 THEN '' ELSE array_to_string(CASE WHEN coalesce(i, 0) > 0 THEN p[i:] ELSE p[len(p):] END, '，') END) AS clause_md5 FROM m",
+    "merged_sources": "WITH x AS (SELECT record_id, raw_text FROM raw_records UNION SELECT canonical_raw_record_id, raw_text FROM canonical_raw_records UNION SELECT raw_record_id, raw_text FROM structured_records), v AS (SELECT record_id, count(*) AS n_versions FROM x GROUP BY 1) SELECT n_versions, sum(n_versions)::BIGINT AS n FROM v GROUP BY 1",
     "merged_versions": "WITH x AS (SELECT DISTINCT record_id, raw_text FROM raw_records), v AS (SELECT record_id, count(*) AS n_versions FROM x GROUP BY 1) SELECT n_versions, sum(n_versions)::BIGINT AS n FROM v GROUP BY 1",
     "consolidate_units": f"""WITH {AUDIT}, ku AS (SELECT u.* FROM u JOIN audit USING (record_id) WHERE is_kept_unit),
  vals AS (SELECT raw_record_id, 'finding' AS f, {n_('finding')} AS v, record_id AS o, 0 AS p FROM ku UNION ALL SELECT raw_record_id, 'scene', {n_('scene')}, record_id, 0 FROM ku UNION ALL SELECT raw_record_id, 'loc_detail', {n_('loc_detail')}, record_id, 0 FROM ku

@@ -19,6 +19,7 @@ def local_session(cpus: int | str = "*", app: str = "siftwork") -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("SIFTWORK_DRIVER_MEMORY", "8g"))
@@ -36,13 +37,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Point reliable checkpoints at the cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only where that setting is missing and no folder was set, as in tests, a temporary folder of
-    this machine is taken.
+    Only in a local session without that setting, as in tests, a temporary folder of this machine is
+    taken; on a cluster its lack is an error, since no other machine could read such a folder. With
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark removes what no frame needs any more.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 

@@ -93,13 +93,28 @@ def test_silhouette_matches_pair_distances(spark):
         assert got[i] == pytest.approx((b - a) / max(a, b) if own else 0.0)
 
 
+def test_silhouette_in_passes(spark):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, int(rng.integers(0, 9)), rng.normal(size=3).tolist()) for i in range(80)], "id int, l int, v array<double>")
+    one, many = ({r["id"]: r["silhouette"] for r in vectors.silhouette(df, "id", "l", "v", 3, topics=t).collect()} for t in (100, 2))
+    assert len(one) == 80 and one == pytest.approx(many)
+    assert vectors.silhouette(df.filter("l = 1"), "id", "l", "v", 3).count() == 0
+
+
+def test_log_gamma():
+    import math
+
+    x = np.array([1.0, 1.5, 2, 3, 10, 1e3, 1e7])
+    assert np.allclose(R.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-12, atol=1e-12)
+
+
 def test_agreement_of_equal_and_random_labels(spark):
     rng = random.Random(4)
     same = spark.createDataFrame([(i % 5, i % 5) for i in range(200)], "a int, b int")
-    r = R.agreement(R.contingency(same)).first()
+    r = R.agreement(R.contingency(same), True).first()
     assert r["ami"] == pytest.approx(1) and r["ari"] == pytest.approx(1) and r["nmi"] == pytest.approx(1)
     loose = spark.createDataFrame([(rng.randrange(5), rng.randrange(5)) for _ in range(2000)], "a int, b int")
-    r = R.agreement(R.contingency(loose)).first()
+    r = R.agreement(R.contingency(loose), True).first()
     assert abs(r["ami"]) < 0.02 and abs(r["ari"]) < 0.02
 
 
@@ -107,6 +122,20 @@ def test_cliques(spark):
     edges = [(1, 2), (2, 3), (1, 3), (3, 4), (5, 6), (6, 7), (7, 5), (7, 8), (8, 5)]
     got = {r["clique"] for r in topics.maximal_cliques(spark.createDataFrame(edges, "a int, b int"), "a", "b").collect()}
     assert got == {"1|2|3", "3|4", "5|6|7", "5|7|8"}
+    rng = random.Random(11)
+    near = {n: set() for n in range(24)}
+    edges = [(rng.randrange(24), rng.randrange(24)) for _ in range(150)] + [(None, 3)]
+    for a, b in edges:
+        if a is not None and a != b:
+            near[a].add(b), near[b].add(a)
+    cliques = {frozenset(c) for n in range(24) for k in range(1, 7) for c in itertools.combinations(sorted(near[n]), k) if all(y in near[x] for x, y in itertools.combinations(c, 2)) for c in [(n, *c)]}
+    want = {c for c in cliques if not any(c <= near[n] for n in range(24))}
+    got = topics.maximal_cliques(spark.createDataFrame(edges, "a int, b int"), "a", "b").collect()
+    assert {frozenset(map(int, r["clique"].split("|"))) for r in got} == want and len(got) == sum(map(len, want))
+    assert topics.maximal_cliques(spark.createDataFrame([(1, 1)], "a int, b int"), "a", "b").count() == 0
+    # A component of more nodes than one search would hold: a ring with chords.
+    ring = [(i, (i + j) % 1000) for i in range(1000) for j in (1, 2)]
+    assert topics.maximal_cliques(spark.createDataFrame(ring, "a int, b int"), "a", "b").count() == 3000
 
 
 def test_sources(spark, tmp_path):

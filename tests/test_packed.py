@@ -1,4 +1,5 @@
 import json
+import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -67,3 +68,21 @@ def test_odd_cells_refuse_no_delimiter(spark):
     assert got == {f"a{i}": 3 for i in range(200)} | {"big": 5000, "n": 3, "l": 2}
     score = {r["source"]: r["score"] for r in P.delimiter_scores(df, "src", "cell").collect()}
     assert abs(score["s"] - 200 / 201) < 1e-9 and score["t"] == 0
+
+
+def test_inference_refuses_marks_that_belong_to_values(spark):
+    """In source s ` / ` stands within values, in source t the same mark separates them; commas alike."""
+    rng = random.Random(3)
+    things = ["阀门", "泵", "软管", "配电箱", "护栏", "吊钩"]
+    rows = []
+    for i in range(60):
+        a, b = rng.sample(things, 2)
+        rows.append((f"s{i:02d}", "s", f"{a}；AC / DC 电源；{b}" if i % 2 else f"{b}；钢丝绳，双股"))
+        rows.append((f"t{i:02d}", "t", f"{a} / {b}，{rng.choice(things)}"))
+    df = spark.createDataFrame(rows, "id string, src string, cell string")
+    got = {(r["source"], r["delimiter"]): r["accepted"] for r in P.delimiter_scores(df, "src", "cell").collect()}
+    assert got == {("s", "；"): True, ("s", "/"): False, ("s", "，"): False, ("t", "/"): True, ("t", "，"): True}
+    cut = {}
+    for r in P.split_packed(df, "id", "src", "cell").orderBy("row_key", "pos").collect():
+        cut.setdefault(r["row_key"], []).append(r["item"])
+    assert "AC / DC 电源" in cut["s01"] and len(cut["s01"]) == 3 and cut["s00"][1] == "钢丝绳，双股" and all(len(cut[f"t{i:02d}"]) == 3 for i in range(60))
