@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.llm.form import letters_and_digits, reduced_column
-from siftwork.session import spread, table
+from siftwork.session import checkpointed, spread, table
 
-RUN, SHARD, SAMPLE = 40, 400_000, 16
-#: Characters of reduced items that are sent to the workers at once; more items go in several passes.
-ITEMS_AT_ONCE = 8_000_000
+RUN, SHARD, SAMPLE = 40, 1_500_000, 16
+#: Characters of distinct reduced items that are searched at once, and such lots that one scan of the documents takes.
+ITEMS_AT_ONCE, LOTS = 2_000_000, 16
 
 
 def code_points(text: str) -> np.ndarray:
@@ -30,16 +30,24 @@ def code_points(text: str) -> np.ndarray:
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """Suffix order by prefix doubling; only suffixes that are still tied are sorted again."""
+    """Suffix order by prefix doubling; only suffixes that are still tied are sorted again.
+
+    The first round takes as many symbols at once as fit in a number.
+    """
     n = len(symbols)
-    order = np.argsort(symbols, kind="stable")
-    s = symbols[order]
+    width = max(1, int(symbols.max(initial=0) + 1).bit_length())
+    k = max(1, 62 // width)
+    packed = np.zeros(n, np.int64)
+    for i in range(k):
+        packed <<= width
+        packed[: max(n - i, 0)] += symbols[i:] + 1
+    order = np.argsort(packed, kind="stable")
+    s = packed[order]
     head = np.maximum.accumulate(np.where(np.r_[True, s[1:] != s[:-1]], np.arange(n), 0))
     rank = np.empty(n, np.int64)
     rank[order] = head
     size = np.bincount(head, minlength=n)
     open_ = order[size[head] > 1]
-    k = 1
     while len(open_):
         beyond = open_ + k
         second = np.where(beyond < n, rank[np.minimum(beyond, n - 1)] + 1, 0)
@@ -73,17 +81,19 @@ class FMIndex:
         symbols[body] = len(pieces) + np.searchsorted(self.alphabet, np.concatenate(pieces))
         symbols[~body] = np.arange(len(pieces))
         order = suffix_array(symbols)
-        letters = np.where(body, symbols - len(pieces) + 1, 0)  # separators are symbol 0
+        letters = np.where(body, symbols - len(pieces) + 1, 0).astype(np.int32)  # separators are symbol 0
         bwt = letters[order - 1]
         self.before = np.cumsum(np.bincount(letters, minlength=len(self.alphabet) + 1)) - np.bincount(letters, minlength=len(self.alphabet) + 1)
         self.levels = max(1, int(len(self.alphabet)).bit_length())
-        self.ones, self.zeros, row = [], [], bwt
+        self.ones, self.zeros, row = [], [], bwt.copy()
         for level in reversed(range(self.levels)):
-            bit = (row >> level) & 1
-            self.ones.append(np.r_[0, np.cumsum(bit)].astype(np.int32))
-            self.zeros.append(int(n - bit.sum()))
-            row = np.concatenate([row[bit == 0], row[bit == 1]])
-        self.bwt = bwt.astype(np.int32)
+            bit = (row >> level) & 1 == 1
+            ones = np.zeros(n + 1, np.int32)
+            np.cumsum(bit, out=ones[1:])
+            self.ones.append(ones)
+            self.zeros.append(int(n - ones[-1]))
+            row = np.concatenate([row[~bit], row[bit]])
+        self.bwt = bwt
         self.n = n
         opens = np.zeros(n, bool)
         opens[self.starts] = True  # so that no walk passes a separator
@@ -101,14 +111,14 @@ class FMIndex:
             start = np.where(one, self.zeros[k] + b, start - b)
         return i - start
 
-    def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row numbers of the patterns (code points, one per row) that occur, and their intervals."""
-        alive = np.arange(len(patterns))
-        lo, hi = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n, np.int64)
-        for step in range(patterns.shape[1] - 1, -1, -1):
+    def search(self, text: np.ndarray, starts: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of the windows of ``run`` code points of ``text`` that occur, and their intervals."""
+        alive = np.arange(len(starts))
+        lo, hi = np.zeros(len(starts), np.int64), np.full(len(starts), self.n, np.int64)
+        for step in range(run - 1, -1, -1):
             if not len(alive) or not len(self.alphabet):
                 return alive[:0], lo[:0], hi[:0]
-            ch = patterns[alive, step]
+            ch = text[starts[alive] + step]
             c = np.minimum(np.searchsorted(self.alphabet, ch), len(self.alphabet) - 1)
             known = self.alphabet[c] == ch
             alive, c, lo, hi = alive[known], c[known] + 1, lo[known], hi[known]
@@ -134,19 +144,20 @@ class FMIndex:
         return out
 
 
-def windows(items: list[tuple[int, str]], run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct windows of the reduced items, and which (window, item) belong together."""
-    rows, owner = [], []
-    for i, text in items:
-        cp = code_points(text)
-        if len(cp) >= run:
-            rows.append(np.lib.stride_tricks.sliding_window_view(cp, run))
-            owner.append(np.full(len(cp) - run + 1, i, np.int64))
-    if not rows:
-        return np.empty((0, run), np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
-    uniq, inverse = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
-    pairs = np.unique(np.stack([inverse.ravel(), np.concatenate(owner)], 1), axis=0)
-    return uniq, pairs[:, 0], pairs[:, 1]
+class Items:
+    """Distinct reduced items as one array of code points, where their windows start, and whose they are."""
+
+    def __init__(self, rows: list[tuple[str, list[int]]], run: int):
+        texts = [code_points(t) for t, _ in rows]
+        length = np.array([len(t) for t in texts], np.int64)
+        begin = np.cumsum(length) - length
+        n = np.maximum(length - run + 1, 0)
+        self.text = np.concatenate(texts) if texts else np.empty(0, np.uint32)
+        self.window_text = np.repeat(np.arange(len(rows), dtype=np.int32), n)
+        self.starts = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        ids = [np.array(i, np.int64) for _, i in rows]
+        self.ids = np.concatenate(ids) if ids else np.empty(0, np.int64)
+        self.first = np.cumsum([0, *map(len, ids)])
 
 
 def source_offsets(text: str) -> np.ndarray:
@@ -165,40 +176,41 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str,
 
     Every span is a stretch of at least ``run`` letters and digits, each window of which stands in
     the item. Rows without a key, null and blank texts and items shorter than ``run`` share nothing; equal items are all
-    reported. The items are a set of bounded size: they are sent to the workers in passes of at most
-    ``ITEMS_AT_ONCE`` characters.
+    reported. The items are a set of bounded size: their distinct texts are sent to the workers in
+    lots of about ``ITEMS_AT_ONCE`` characters, and each shard's index is built once for ``LOTS`` of them.
     """
     sc = docs.sparkSession.sparkContext
     short = items.filter(F.col(item_key).isNotNull()).select(F.col(item_key).cast("long").alias("i"), reduced_column(item_text).alias("t")).filter(F.length("t") >= run).distinct()
-    size = short.agg(F.sum(F.length("t"))).first()[0] or 0
-    passes = max(1, -(-size // ITEMS_AT_ONCE))
+    texts = checkpointed(short.groupBy("t").agg(F.collect_list("i").alias("ids")))
+    size = texts.agg(F.sum(F.length("t"))).first()[0] or 0
+    lots = max(1, -(-size // ITEMS_AT_ONCE))
+    lot = F.pmod(F.xxhash64("t"), F.lit(lots))
     kind = dict(docs.dtypes)[key]
     schema = f"{key} {kind}, item bigint, start_at int, stop_at int"
     out = None
-    for p in range(passes):
-        part = [(r["i"], r["t"]) for r in short.filter(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == p).collect()]
-        shared = sc.broadcast(windows(part, run))
+    for p in range(0, lots, LOTS):
+        shared = [sc.broadcast(Items([(r["t"], r["ids"]) for r in texts.filter(lot == k).collect()], run)) for k in range(p, min(p + LOTS, lots))]
 
-        def search(held: list[tuple[object, int, np.ndarray]], shared=shared) -> pd.DataFrame:
-            patterns, window, owner = shared.value
+        def search(held: list[tuple[object, int, np.ndarray]], shared=shared) -> Iterator[pd.DataFrame]:
             index = FMIndex([x[2] for x in held])
-            alive, lo, hi = index.search(patterns)
-            if not len(alive):
-                return pd.DataFrame(columns=[key, "item", "start_at", "stop_at"])
-            n = hi - lo
-            rows = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            at, which = index.locate(rows), np.repeat(alive, n)
-            a, z = np.searchsorted(window, which), np.searchsorted(window, which, side="right")
-            m = z - a
-            item = owner[np.repeat(a, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
-            at = np.repeat(at, m)
-            piece = np.searchsorted(index.starts, at, side="right") - 1
-            t = pd.DataFrame({"piece": piece, "item": item, "at": at - index.starts[piece]}).drop_duplicates().sort_values(["piece", "item", "at"])
-            new = (t["piece"].diff() != 0) | (t["item"].diff() != 0) | (t["at"].diff() > run)
-            g = t.groupby(new.cumsum().to_numpy())
-            s = g.agg(piece=("piece", "first"), item=("item", "first"), a=("at", "min"), z=("at", "max"))
-            offset = np.array([held[x][1] for x in s["piece"]], np.int64)
-            return pd.DataFrame({key: [held[x][0] for x in s["piece"]], "item": s["item"].to_numpy(), "start_at": s["a"].to_numpy() + offset, "stop_at": s["z"].to_numpy() + offset + run})
+            for part in shared:
+                own = part.value
+                alive, lo, hi = index.search(own.text, own.starts, run)
+                if not len(alive):
+                    continue
+                n = hi - lo
+                rows = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                at, which = index.locate(rows), own.window_text[np.repeat(alive, n)]
+                m = own.first[which + 1] - own.first[which]
+                item = own.ids[np.repeat(own.first[which], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
+                at = np.repeat(at, m)
+                piece = np.searchsorted(index.starts, at, side="right") - 1
+                t = pd.DataFrame({"piece": piece, "item": item, "at": at - index.starts[piece]}).drop_duplicates().sort_values(["piece", "item", "at"])
+                new = (t["piece"].diff() != 0) | (t["item"].diff() != 0) | (t["at"].diff() > run)
+                g = t.groupby(new.cumsum().to_numpy())
+                s = g.agg(piece=("piece", "first"), item=("item", "first"), a=("at", "min"), z=("at", "max"))
+                offset = np.array([held[x][1] for x in s["piece"]], np.int64)
+                yield pd.DataFrame({key: [held[x][0] for x in s["piece"]], "item": s["item"].to_numpy(), "start_at": s["a"].to_numpy() + offset, "stop_at": s["z"].to_numpy() + offset + run})
 
         def scan(batches: Iterator[pd.DataFrame], search=search) -> Iterator[pd.DataFrame]:
             held, size = [], 0
@@ -211,10 +223,10 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str,
                         held.append((k, s, piece))
                         size += len(piece)
                         if size >= shard:
-                            yield search(held)
+                            yield from search(held)
                             held, size = [], 0
             if held:
-                yield search(held)
+                yield from search(held)
 
         found = spread(docs.select(key, text).filter(F.col(text).isNotNull() & F.col(key).isNotNull())).mapInPandas(scan, schema)
         out = found if out is None else out.unionByName(found)

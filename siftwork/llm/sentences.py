@@ -49,6 +49,9 @@ _MARKER = re.compile(r"[^\S\n\r]*(?:(\d{1,3})\.(?!\d)|(\d{1,3})[)）]|[(（](\d{
 _MARKS = re.compile(f"[{re.escape(STRONG + DOTS)}…⋯]+")
 _OPEN = re.compile("[" + re.escape("".join({*PAIRS, *PAIRS.values(), '"'})) + "]")
 _THAI = re.compile(r"(?<=[ก-ฺเ-๎])[^\S\n\r\x0b\x0c\x85  ]+(?=[ก-ฺเ-๎])")
+# Characters without width, which part no word.
+_UNSEEN = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
+_SEEN = dict.fromkeys(map(ord, _UNSEEN))
 _CJK = re.compile(r"[⺀-鿿가-힯豈-﫿ｦ-ﾟ]")
 _NEXT = re.compile(r"\s*([\"“„«‹「『(（\[]*)\s*([^\W\d_][^\W\d_̀-ͯ]*|\d+)?")
 
@@ -125,9 +128,9 @@ def _word_before(text: str, start: int, stop: int) -> str:
     ``#`` stands for a number, an empty text for anything else.
     """
     i = stop
-    while i > start and (text[i - 1].isalnum() or unicodedata.combining(text[i - 1]) or "ऀ" <= text[i - 1] <= "෿"):
+    while i > start and (text[i - 1].isalnum() or unicodedata.combining(text[i - 1]) or "ऀ" <= text[i - 1] <= "෿" or (text[i - 1] in _UNSEEN and i < stop)):
         i -= 1
-    word = text[i:stop]
+    word = text[i:stop].translate(_SEEN)
     while word[:1].isdigit() and not word.isdigit():
         word = word[1:]
     if not word or not word[0].isalpha():

@@ -233,7 +233,7 @@ def test_long_and_short_merges_agree(text):
 # 8
 
 
-def test_leaks_against_brute_force(spark):
+def test_leaks_against_brute_force(spark, monkeypatch):
     rng = random.Random(9)
     pool = ["".join(rng.choice("甲乙丙丁abcd12") for _ in range(rng.randint(30, 90))) for _ in range(12)]
     docs = []
@@ -247,7 +247,9 @@ def test_leaks_against_brute_force(spark):
     red = {j: form.letters_and_digits(t) for j, t in items if t}
     plain = [(k, form.letters_and_digits(t)) for k, t in docs if t and k is not None]
     want = {(k, j) for k, t in plain for j, r in red.items() if any(r[a : a + 40] in t for a in range(len(r) - 39))}
-    for shard in (300, 400_000):
+    for shard, lot, lots in ((300, 2_000_000, 16), (1_500_000, 100, 16), (1_500_000, 100, 2)):
+        monkeypatch.setattr(leaks, "ITEMS_AT_ONCE", lot)
+        monkeypatch.setattr(leaks, "LOTS", lots)
         found = leaks.leaks(d, "k", "t", q, "i", "q", shard=shard)
         assert {(r["k"], r["item"]) for r in found.collect()} == want
     spans = leaks.removal_spans(d, "k", "t", found).collect()
@@ -264,7 +266,7 @@ def test_index_counts_and_places():
     ix = leaks.FMIndex([leaks.code_points(p) for p in pieces])
     for _ in range(100):
         w = "".join(rng.choice("ab") for _ in range(rng.randint(1, 5)))
-        _, lo, hi = ix.search(leaks.code_points(w)[None])
+        _, lo, hi = ix.search(leaks.code_points(w), np.array([0]), len(w))
         want = sorted(int(ix.starts[k]) + i for k, p in enumerate(pieces) for i in range(len(p)) if p.startswith(w, i))
         got = sorted(ix.locate(np.arange(lo[0], hi[0])).tolist()) if len(lo) else []
         assert got == want
