@@ -111,7 +111,7 @@ def test_neighbours_against_brute_force(spark):
     u = x.astype(np.float32) / np.linalg.norm(x.astype(np.float32), axis=1, keepdims=True)
     s = u @ u.T
     np.fill_diagonal(s, -2)
-    for options in ({"cell": 64}, {"cell": 10_000}, {"cell": 64, "min_cosine": 0.9}):
+    for options in ({"cell": 64}, {"cell": 10_000}, {"cell": 8, "steps": (2, 8)}, {"cell": 64, "min_cosine": 0.9, "steps": ()}):
         got = {}
         for r in neighbours.nearest(v, names, 5, dim=8, **options).collect():
             got.setdefault(int(r["key"][1:]), []).append(r["cosine"])
@@ -122,6 +122,24 @@ def test_neighbours_against_brute_force(spark):
         assert all(len(g) <= 5 for g in got.values())
 
 
+def test_leaves_within_reach():
+    """The leaves that the descent finds are those whose boxes are near enough, nearest first."""
+    rng = np.random.default_rng(2)
+    sample = rng.normal(size=(500, 4)).astype(np.float32)
+    tree = neighbours.Tree(sample, 32)
+    q, most = rng.normal(size=(20, 4)).astype(np.float32), rng.uniform(0, 4, 20).astype(np.float32)
+    lo, hi = np.full((64, 4), -np.inf), np.full((64, 4), np.inf)
+    for node in range(1, 32):
+        for child in (2 * node, 2 * node + 1):
+            lo[child], hi[child] = lo[node], hi[node]
+        lo[2 * node + 1, tree.axis[node]] = hi[2 * node, tree.axis[node]] = tree.cut[node]
+    d = (np.maximum(0, np.maximum(lo[32:] - q[:, None], q[:, None] - hi[32:])) ** 2).sum(2)
+    row, leaf = tree.within(q, most)
+    assert {(r, t) for r, t in zip(row, leaf)} == {(r, t) for r, t in zip(*np.nonzero(d < most[:, None]))}
+    assert all((np.diff(d[i, leaf[row == i]]) >= -1e-5).all() for i in range(20))
+    assert abs(neighbours.chi2_cdf(np.array(neighbours.chi2_at(0.75, 6)), 6) - 0.75) < 1e-9
+
+
 def test_neighbours_of_nothing_and_one(spark):
     for rows in ([], [("a", [1.0, 0.0], 1)]):
         df = vector_table(spark, rows)
