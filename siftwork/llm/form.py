@@ -20,11 +20,18 @@ from pyspark.sql import functions as F
 # Compatibility mappings that change the look and are therefore not applied.
 KEPT_TAGS = ("<circle>", "<super>", "<sub>", "<fraction>")
 
-# Cyrillic and Greek letters and the Latin letters they look like.
-CYRILLIC = "АВЕЅІЈКМНОРСТУХҮԚԜаеѕіјорсухһԁԛԝ"
-CYRILLIC_LATIN = "ABESIJKMHOPCTYXYQWaesijopcyxhdqw"
-GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϳν"
-GREEK_LATIN = "ABEZHIKMNOPTYXojv"
+# Letters of other scripts and the Latin letters they look like, after the confusables of Unicode 16.0, with the
+# case of the letter; letters that only resemble a Latin one (such as σ and o, г and r) are left out.
+GREEK = "ͿΑΒΕΖΗΙΚΜΝΟΡΤΥΧαινορυϜϲϳϹϺ"
+GREEK_LATIN = "JABEZHIKMNOPTYXaivopuFcjCM"
+CYRILLIC = "ЅІЈАВЕКМНОРСТУХаеорсухѕіјѴѵҮһӀӏԁԌԚԛԜԝ"
+CYRILLIC_LATIN = "SIJABEKMHOPCTYXaeopcyxsijVvYhIldGQqWw"
+PHONETIC = "ɑɡ"
+PHONETIC_LATIN = "ag"
+CHEROKEE = "ᎠᎡᎢᎩᎪᎫᎬᎳᎷᎻᏀᏃᏔᏕᏙᏚᏞᏟᏢᏦᏳᏴ"
+CHEROKEE_LATIN = "DRTYAJEWMHGZWSVSLCPKGB"
+LISU = "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ"
+LISU_LATIN = "BPDTGKJCZFMNLSRVHWXYAEIOU"
 
 # CJK radicals that have no decomposition of their own, and the ideographs they look like.
 RADICALS = "⺁⺂⺃⺄⺅⺆⺉⺊⺋⺎⺏⺐⺒⺓⺔⺕⺖⺗⺘⺙⺛⺜⺝⺞⺠⺡⺢⺣⺤⺥⺦⺧⺨⺩⺫⺬⺭⺮⺯⺰⺱⺲⺳⺶⺹⺺⺻⺼⺾⺿⻀⻁⻂⻃⻄⻅⻆⻈⻉⻋⻌⻍⻎⻏⻐⻑⻒⻓⻔⻖⻗⻘⻙⻚⻛⻜⻝⻟⻠⻢⻣⻤⻥⻦⻧⻨⻩⻪⻫⻬⻭⻮⻯⻰⻱⻲"
@@ -57,7 +64,7 @@ def table() -> dict[int, str | None]:
             ch = chr(o)
             if (f := _flat(ch)) != ch and ud.normalize("NFD", ch) != f:
                 out[o] = f
-    for a, b in ((CYRILLIC, CYRILLIC_LATIN), (GREEK, GREEK_LATIN), (RADICALS, RADICALS_IDEOGRAPHS)):
+    for a, b in ((GREEK, GREEK_LATIN), (CYRILLIC, CYRILLIC_LATIN), (PHONETIC, PHONETIC_LATIN), (CHEROKEE, CHEROKEE_LATIN), (LISU, LISU_LATIN), (RADICALS, RADICALS_IDEOGRAPHS)):
         out |= dict(zip(map(ord, a), b, strict=True))
     for o in [*range(0x20), *range(0x7F, 0xA0)]:
         out[o] = " " if chr(o).isspace() else None

@@ -19,7 +19,7 @@ TEXT = "field_name string, key string, text string, form string"
 
 
 def test_one_form_rules():
-    same = [("ＸＰ－４８７１", "XP-4871"), ("é", "é"), ("МРа", "MPa"), ("ΖＦ", "ZF"), ("⽶⻔车", "米门车"), ("a​b­c", "abc"), (" a 　\nb ", "a b"), ("不", "不"), ("ё", "ë")]
+    same = [("ＸＰ－４８７１", "XP-4871"), ("é", "é"), ("МРа", "MPa"), ("ΖＦ", "ZF"), ("⽶⻔车", "米门车"), ("a​b­c", "abc"), (" a 　\nb ", "a b"), ("不", "不"), ("ё", "ë"), ("αρυɑӏϹ", "apualC"), ("ᎠᏢ", "DP"), ("ꓡꓲꓢꓴ", "LISU")]
     for a, b in same:
         assert form.one_form(a) == form.one_form(b), (a, b)
     other = [("①", "1"), ("5⁹4", "594"), ("é", "e"), ("٣", "3"), ("末", "未"), ("A", "a"), ("½", "1/2"), ("a b", "ab")]
