@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from siftwork.session import checkpointed, table
 
-#: Rows a cell should hold, rows of the sample that the splits are fitted on, and leaves at most.
-CELL, SAMPLE, LEAVES = 8192, 1 << 18, 1 << 16
+#: Rows a cell should hold, leaves at most, and rows of the sample that the splits are fitted on: ``FIT`` a leaf, within bounds.
+CELL, LEAVES, FIT, LEAST, MOST = 8192, 1 << 16, 16, 1 << 14, 1 << 18
 #: Rows of the table of repeated vectors up to which it is broadcast.
 DUPS = 200_000
 PROJECTIONS, SLACK, STOP = 6, 2.0, 0.75
@@ -230,9 +230,11 @@ def nearest(vectors: DataFrame, names: DataFrame, k: int, min_cosine: float = -1
             if len(b):
                 yield pd.DataFrame({"p": [(unpack(b["q"], dim) @ g).astype(np.float32).tobytes()]})
 
-    part = reps.select("q").sample(min(1.0, SAMPLE / max(n, 1)), seed=5) if n > SAMPLE else reps.select("q")
+    leaves = min(LEAVES, max(1, math.ceil(n / cell)))
+    rows = min(MOST, max(LEAST, FIT * leaves))
+    part = reps.select("q").sample(rows / n, seed=5) if n > rows else reps.select("q")
     got = b"".join(bytes(r["p"]) for r in part.mapInPandas(project, "p binary").collect())
-    tree = sc.broadcast(Tree(np.frombuffer(got, np.float32).reshape(-1, m), min(LEAVES, max(1, math.ceil(n / cell)))))
+    tree = sc.broadcast(Tree(np.frombuffer(got, np.float32).reshape(-1, m), leaves))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
