@@ -28,6 +28,16 @@ def provider_inputs(units: DataFrame, definitions: dict[str, list[str]], provide
     return out.select(F.concat_ws("-", "experiment_id", f"record_id.{provider}").alias("experiment_id"), F.col(f"record_id.{key}").alias("record_id"), "input_text")
 
 
+# Experiments without a vote, a channel for each provider, and those over the voted units.
+SINGLE = {"A1-F": ["finding"], "A1-O": ["object"], "A1-R": ["scene"]}
+VOTED = {"A2-F": ["finding"], "A2-O": ["object"], "A2-R": ["risk_scene"], "A3-R": ["loc_detail", "risk_scene"], "A4-R": ["risk_scene"]}
+
+
+def ablation_inputs(voted: DataFrame, single: DataFrame, provider: str) -> DataFrame:
+    """Channel rows of all experiments that compare voted units with those of each provider alone."""
+    return channel_inputs(voted, VOTED).unionByName(provider_inputs(single, SINGLE, provider))
+
+
 def select_experiments(inputs: DataFrame, wanted: list[str]) -> DataFrame:
     """Rows of the wanted experiments with their place in the list."""
     place = F.array_position(F.array(*[F.lit(w) for w in wanted]), F.col("experiment_id"))

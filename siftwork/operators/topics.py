@@ -2,35 +2,90 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftwork.operators.groups import pairs_within
 from siftwork.operators.ordinal import numbered_id, with_ordinal
-from siftwork.operators.vectors import dot, unit
+from siftwork.operators.vectors import against_all, unit
 from siftwork.session import checkpointed
 
 
+#: Bins of the similarities from -1 to 1 among which an order statistic is looked for.
+BINS = 10_000
+
+
+def similarity_quantile(topics: DataFrame, quantile: float) -> float | None:
+    """The quantile of the similarities of topics of unlike parents, interpolated; None without such a pair.
+
+    Counted per bin first; then only the values of the one or two bins that hold it are looked at.
+    """
+
+    def values(b: pd.DataFrame, other: pd.DataFrame, s: np.ndarray) -> np.ndarray:
+        pair = (b["topic_id"].to_numpy()[:, None] < other["topic_id"].to_numpy()) & (b["parent"].to_numpy()[:, None] != other["parent"].to_numpy())
+        return np.round(s[pair], 9)
+
+    bin_of = lambda v: np.clip(((v + 1) / 2 * BINS).astype(np.int64), 0, BINS - 1)
+
+    def counted(b: pd.DataFrame, other: pd.DataFrame, s: np.ndarray) -> pd.DataFrame:
+        at, n = np.unique(bin_of(values(b, other, s)), return_counts=True)
+        return pd.DataFrame({"bin": at, "n": n})
+
+    of_all = lambda fn, schema: against_all(topics, "topic_id", ["parent"], "c", fn, schema)
+    counts = of_all(counted, "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").toPandas()
+    if not len(counts):
+        return None
+    upto = counts["n"].cumsum().to_numpy()
+    place = quantile * (upto[-1] - 1)
+    ranks = [int(np.floor(place)), int(np.ceil(place))]
+    wanted = sorted({int(counts["bin"][np.searchsorted(upto, r, side="right")]) for r in ranks})
+
+    def within(b: pd.DataFrame, other: pd.DataFrame, s: np.ndarray) -> pd.DataFrame:
+        v = values(b, other, s)
+        at, n = np.unique(v[np.isin(bin_of(v), wanted)], return_counts=True)
+        return pd.DataFrame({"s": at, "n": n})
+
+    # A bin has at most 2 * 10 ** 9 / BINS values of nine digits.
+    found = of_all(within, "s double, n bigint").groupBy("s").agg(F.sum("n").alias("n")).orderBy("s").toPandas()
+    before = upto[np.searchsorted(counts["bin"], wanted[0])] - counts["n"][np.searchsorted(counts["bin"], wanted[0])]
+    sums = before + found["n"].cumsum().to_numpy()
+    low, high = (float(found["s"][np.searchsorted(sums, r, side="right")]) for r in ranks)
+    return low + (high - low) * (place - ranks[0])
+
+
 def candidate_pairs(topics: DataFrame, k: int = 5, quantile: float = 0.95) -> DataFrame:
-    """All pairs of ``topic_id, parent, centroid`` that a rule selects, with the rules as flags.
+    """The pairs of ``topic_id, parent, centroid`` that a rule selects, with the rules as flags.
 
     Rules: each among the other's ``k`` nearest (``mutual``), one among the other's (``either``),
-    similarity of at least the quantile over pairs of unlike parents (``high``). Topics are the
-    clusters of a collection, so their pairs are few; they are made in blocks.
+    similarity of at least the quantile over pairs of unlike parents (``high``). Topics are compared
+    in blocks of a matrix; only selected pairs are written down.
     """
-    t = topics.select("topic_id", "parent", unit("centroid").alias("c"))
-    ids = pairs_within(t.select(F.lit(1).alias("g"), "topic_id"), ["g"], "topic_id").select("key_a", "key_b")
-    side = [t.select(F.col("topic_id").alias(f"key_{x}"), F.col("c").alias(f"c{x}"), F.col("parent").alias(f"parent_{x}")) for x in "ab"]
-    p = ids.join(side[0], "key_a").join(side[1], "key_b").select("key_a", "key_b", (F.col("parent_a") != F.col("parent_b")).alias("cross_parent"), F.round(dot("ca", "cb"), 9).alias("similarity"))
-    threshold = p.filter("cross_parent").agg(F.percentile("similarity", F.lit(quantile)).alias("threshold"))
-    both = p.select(F.col("key_a").alias("src"), F.col("key_b").alias("dst"), "similarity").unionByName(p.select(F.col("key_b").alias("src"), F.col("key_a").alias("dst"), "similarity"))
-    near = both.withColumn("r", F.row_number().over(W.partitionBy("src").orderBy(F.desc("similarity"), "dst"))).filter(F.col("r") <= k)
-    votes = near.groupBy(F.least("src", "dst").alias("key_a"), F.greatest("src", "dst").alias("key_b")).agg(F.count(F.lit(1)).alias("v"))
-    out = p.join(votes, ["key_a", "key_b"], "left").join(F.broadcast(threshold))
-    flags = out.select("key_a", "key_b", "cross_parent", "similarity", (F.coalesce("v", F.lit(0)) == 2).alias("mutual"), (F.coalesce("v", F.lit(0)) >= 1).alias("either"), F.coalesce(F.col("similarity") >= F.round("threshold", 9), F.lit(False)).alias("high"))
-    return flags.filter("either OR high")
+    t = checkpointed(topics.select("topic_id", "parent", unit("centroid").alias("c")))
+    threshold = similarity_quantile(t, quantile)
+    least = np.inf if threshold is None else round(threshold, 9)
+    pair = "src string, dst string, cross_parent boolean, similarity double"
+
+    def chosen(b: pd.DataFrame, other: pd.DataFrame, r: np.ndarray, c: np.ndarray, s: np.ndarray) -> pd.DataFrame:
+        src, dst = b.iloc[r].reset_index(drop=True), other.iloc[c].reset_index(drop=True)
+        return pd.DataFrame({"src": src["topic_id"], "dst": dst["topic_id"], "cross_parent": src["parent"] != dst["parent"], "similarity": s[r, c]})
+
+    def nearest(b: pd.DataFrame, other: pd.DataFrame, s: np.ndarray) -> pd.DataFrame:
+        s = np.round(s, 9)
+        s[b["topic_id"].to_numpy()[:, None] == other["topic_id"].to_numpy()] = -np.inf
+        edge = np.partition(s, -k, axis=1)[:, [-k]] if s.shape[1] > k else np.full((len(s), 1), -3.0)
+        return chosen(b, other, *np.nonzero((s >= edge) & (s > -np.inf)), s)
+
+    def high(b: pd.DataFrame, other: pd.DataFrame, s: np.ndarray) -> pd.DataFrame:
+        s = np.round(s, 9)
+        return chosen(b, other, *np.nonzero((s >= least) & (b["topic_id"].to_numpy()[:, None] < other["topic_id"].to_numpy())), s)
+
+    of_all = lambda fn: against_all(t, "topic_id", ["parent"], "c", fn, pair)
+    near = of_all(nearest).withColumn("r", F.row_number().over(W.partitionBy("src").orderBy(F.desc("similarity"), "dst"))).filter(F.col("r") <= k)
+    both = near.select("src", "dst", "cross_parent", "similarity", F.lit(1).alias("v")).unionByName(of_all(high).withColumn("v", F.lit(0)))
+    pairs = both.groupBy(F.least("src", "dst").alias("key_a"), F.greatest("src", "dst").alias("key_b")).agg(F.max("cross_parent").alias("cross_parent"), F.max("similarity").alias("similarity"), F.sum("v").alias("v"))
+    return pairs.select("key_a", "key_b", "cross_parent", "similarity", (F.col("v") == 2).alias("mutual"), (F.col("v") >= 1).alias("either"), (F.col("similarity") >= least).alias("high"))
 
 
 def rule_comparison(pairs: DataFrame) -> DataFrame:

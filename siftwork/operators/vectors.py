@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.operators.channels import MISSING, NOISE
-from siftwork.operators.groups import pairs_within
 from siftwork.operators.ordinal import rank_in_group
 from siftwork.session import checkpointed
 
@@ -118,13 +117,53 @@ def rows_types(df: DataFrame, *columns: str) -> list[tuple[str, str]]:
     return [(c, t) for c, t in df.dtypes if c in columns]
 
 
+def against_all(topics: DataFrame, key: str, columns: list[str], vector: str, fn, schema: str, lot: int = TOPICS) -> DataFrame:
+    """``fn`` of every batch of topics against all topics, without a row per pair.
+
+    ``fn(batch, lot, products)`` gets two frames of ``key`` and ``columns`` and the matrix of their
+    vectors' products, a bounded piece at a time, and returns a frame of ``schema``; what it gives
+    for the pieces of a row is for the caller to bring together. At most ``lot`` topics are sent at
+    a time; ``topics`` is best checkpointed.
+    """
+    sc, out = topics.sparkSession.sparkContext, None
+    passes = max(1, -(-topics.count() // lot))
+    for p in range(passes):
+        some = topics.filter(F.pmod(F.xxhash64(key), F.lit(passes)) == p).select(key, *columns, vector).toPandas()
+        matrix = np.stack(some[vector].to_numpy()) if len(some) else np.empty((0, 0))
+        sent = sc.broadcast((some[[key, *columns]], matrix))
+
+        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            other, m = sent.value
+            for batch in batches:
+                for k in range(0, len(batch), ROWS_AT_ONCE):
+                    b = batch.iloc[k : k + ROWS_AT_ONCE]
+                    x = np.stack(b[vector].to_numpy())
+                    for c in range(0, len(other), TOPICS_AT_ONCE):
+                        yield fn(b[[key, *columns]], other.iloc[c : c + TOPICS_AT_ONCE], x @ m[c : c + TOPICS_AT_ONCE].T)
+
+        found = topics.select(key, *columns, vector).mapInPandas(run, schema)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def topic_similarity(rows: DataFrame, label: str, vector: str, dim: int) -> DataFrame:
-    """One row: the mean and the largest cosine between the centroids of two topics."""
-    c = centroids(rows.filter(F.col(label) >= 0).select(label, unit(vector).alias("u")), [label], "u", dim).select(F.col(label).alias("l"), unit("centroid").alias("c"))
-    ids = pairs_within(c.select(F.lit(1).alias("g"), "l"), ["g"], "l")
-    sides = [c.select(F.col("l").alias(f"key_{x}"), F.col("c").alias(f"c{x}")) for x in "ab"]
-    sim = ids.join(sides[0], "key_a").join(sides[1], "key_b").select(dot("ca", "cb").alias("s"))
-    return sim.agg(F.count("s").alias("n_pairs"), F.avg("s").alias("mean_similarity"), F.max("s").alias("max_similarity"))
+    """One row: the mean and the largest cosine between the centroids of two topics.
+
+    The mean follows from the length of the sum of all unit centroids; no pair is written down.
+    """
+    c = centroids(rows.filter(F.col(label) >= 0).select(label, unit(vector).alias("u")), [label], "u", dim)
+    c = checkpointed(c.select(F.col(label).alias("l"), unit("centroid").alias("c")))
+
+    def largest(b: pd.DataFrame, other: pd.DataFrame, s: np.ndarray) -> pd.DataFrame:
+        s[b["l"].to_numpy()[:, None] == other["l"].to_numpy()] = -np.inf
+        return pd.DataFrame({"s": [s.max(initial=-np.inf)]})
+
+    top = against_all(c, "l", [], "c", largest, "s double").agg(F.max("s").alias("m"))
+    parts = [F.sum(F.element_at("c", i + 1)) for i in range(dim)]
+    total = c.agg(F.count(F.lit(1)).alias("k"), sum((p * p for p in parts[1:]), parts[0] * parts[0]).alias("t"), F.sum(dot("c", "c")).alias("own"))
+    n = (F.col("k") * (F.col("k") - 1) / 2).cast("bigint")
+    some = F.col("k") > 1
+    return total.join(top).select(n.alias("n_pairs"), F.when(some, (F.col("t") - F.col("own")) / 2 / n).alias("mean_similarity"), F.when(some, F.col("m")).alias("max_similarity"))
 
 
 def recluster_noise(rows: DataFrame, label: str, second: Column, least_count: int, least_ratio: float) -> DataFrame:

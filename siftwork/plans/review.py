@@ -16,7 +16,7 @@ from siftwork.operators.checks import unit_key_problems as problems_of
 from siftwork.plans import clusters as P
 from siftwork.plans.clusters import CELLS, DIM, LAB, VEC, cent, round_all
 from siftwork.plans.evaluation import BASE, gold, predictions
-from siftwork.plans.records import CANDS, GROUPS, UNITS, c_, channel_inputs_union, n_, objects_, raw, s_, units
+from siftwork.plans.records import CANDS, GROUPS, UNITS, c_, channel_inputs_union, n_, objects_, piece, raw, s_, units
 from siftwork.session import checkpointed, table
 from siftwork.sources import tables as S
 
@@ -88,6 +88,11 @@ def provider_units(spark, d):
     return n.join(e, "source_model", "left").fillna(0)
 
 
+def ablation_channels(spark, d):
+    """Inputs of all experiments: each model's effective units alone, and the voted units."""
+    return C.ablation_inputs(units(spark, d), S.effective_units(_candidate_units(spark, d), "source_model", D.is_effective()), "source_model")
+
+
 def provider_record_levels(spark, d):
     """Each model's units de-duplicated and brought to the grain of canonical records."""
     g = checkpointed(D.canonical_groups(raw(spark, d)))
@@ -286,7 +291,7 @@ def naming_requests(spark, d):
     return n.select("label", "n_rows", F.array_join(F.transform("samples", lambda x: x["cache_key"]), ",").alias("samples"))
 
 
-QUERIES = {f.__name__: f for f in (typed_cells, nested_json, concise_findings, extraction_records, sites_in_range, provider_units, provider_record_levels, cluster_assignments, cluster_name_review, cluster_field_values, channel_metadata, unit_key_problems, external_labels, clustering_evaluation, scene_split_eval, split_match_summary, evaluation_fields, evaluation_matches, evaluation_summary, source_evaluation, unit_requests, card_requests, control_cards, group_requests, validated_controls, naming_requests)}
+QUERIES = {f.__name__: f for f in (typed_cells, nested_json, concise_findings, extraction_records, sites_in_range, provider_units, ablation_channels, provider_record_levels, cluster_assignments, cluster_name_review, cluster_field_values, channel_metadata, unit_key_problems, external_labels, clustering_evaluation, scene_split_eval, split_match_summary, evaluation_fields, evaluation_matches, evaluation_summary, source_evaluation, unit_requests, card_requests, control_cards, group_requests, validated_controls, naming_requests)}
 
 # DuckDB
 
@@ -333,6 +338,7 @@ SQL = {
     "extraction_records": f"WITH f AS (SELECT record_id, record_id AS gold_record_id, raw_record_id, {n_('finding')} AS f, {n_('scene')} AS s, array_to_string({objects_('object')}, '¦') AS object FROM structured_records) SELECT record_id, gold_record_id, raw_record_id, CASE WHEN lower(f) = 'nan' THEN '' ELSE f END AS finding, CASE WHEN lower(s) = 'nan' THEN '' ELSE s END AS scene, '' AS risk_scene, object FROM f",
     "sites_in_range": "WITH c AS (SELECT DISTINCT * FROM extraction_candidates), m AS (SELECT round(min(m), 6) AS low, round(max(m), 6) AS high FROM (SELECT avg(confidence) AS m FROM c GROUP BY source_model)), s AS (SELECT site_code, round(avg(confidence), 6) AS mean_confidence FROM c GROUP BY 1) SELECT site_code, mean_confidence, CASE WHEN mean_confidence < low THEN 'below' WHEN mean_confidence > high THEN 'above' WHEN mean_confidence IS NOT NULL THEN 'within' END AS place FROM s, m",
     "provider_units": f"WITH {PUNITS} SELECT source_model, count(*) AS n_units, count(*) FILTER ({EFFECTIVE}) AS n_effective FROM pu GROUP BY 1",
+    "ablation_channels": f"WITH {UNITS}, {PUNITS} " + " UNION ALL ".join([f"SELECT '{e}' AS experiment_id, record_id, concat_ws(' | ', {', '.join(piece(f) for f in fields)}) AS input_text FROM u" for e, fields in C.VOTED.items()] + [f"SELECT '{e}-' || source_model, record_id, concat_ws(' | ', {', '.join(piece(f) for f in fields)}) FROM pu WHERE {EFFECTIVE}" for e, fields in C.SINGLE.items()]),
     "provider_record_levels": f"""WITH {GROUPS}, {PUNITS}, ua AS (SELECT pu.*, md5(source_model || chr(31) || {n_('raw_text')} || chr(31) || {n_('finding')}) AS k, (len(object) > 0)::INT AS o, ({n_('scene')} <> '')::INT AS s FROM pu JOIN (SELECT DISTINCT canon FROM g) c ON c.canon = pu.raw_record_id WHERE {EFFECTIVE}),
  ku AS (SELECT * FROM ua QUALIFY row_number() OVER (PARTITION BY k ORDER BY o + s DESC, s DESC, o DESC, len(object) DESC, record_id) = 1),
  vals AS (SELECT source_model, raw_record_id, 'finding' AS f, {n_('finding')} AS v, record_id AS ord, 0 AS p FROM ku UNION ALL SELECT source_model, raw_record_id, 'scene', {n_('scene')}, record_id, 0 FROM ku UNION ALL SELECT source_model, raw_record_id, 'objects', object[i], record_id, i FROM (SELECT ku.*, unnest(range(1, len(object) + 1)) AS i FROM ku)),

@@ -93,6 +93,27 @@ def test_silhouette_matches_pair_distances(spark):
         assert got[i] == pytest.approx((b - a) / max(a, b) if own else 0.0)
 
 
+def test_topics_compared_in_lots(spark, monkeypatch):
+    """Selected pairs and similarities of all topics, in one lot and in many, against all pairs written out."""
+    rng = np.random.default_rng(6)
+    c = rng.normal(size=(40, 5)).round(2)
+    df = spark.createDataFrame([(f"t{i:02d}", i % 3, v.tolist()) for i, v in enumerate(c)], "topic_id string, parent int, centroid array<double>")
+    u = c / np.linalg.norm(c, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 9)
+    i, j = np.triu_indices(40, 1)
+    least = round(float(np.quantile(s[i, j][i % 3 != j % 3], 0.95)), 9)
+    near = {a: [b for b in sorted(range(40), key=lambda b: (-s[a, b], b)) if b != a][:5] for a in range(40)}
+    want = {(f"t{a:02d}", f"t{b:02d}", a in near[b] and b in near[a], s[a, b] >= least) for a, b in zip(i.tolist(), j.tolist()) if a in near[b] or b in near[a] or s[a, b] >= least}
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "l int, v array<double>")
+    for lot in (1 << 16, 7):
+        monkeypatch.setattr(vectors.against_all, "__defaults__", (lot,))
+        got = {(r["key_a"], r["key_b"], r["mutual"], r["high"]) for r in topics.candidate_pairs(df).collect()}
+        assert got == want
+        r = vectors.topic_similarity(rows, "l", "v", 5).first()
+        assert r["n_pairs"] == 780 and r["mean_similarity"] == pytest.approx(s[i, j].mean()) and r["max_similarity"] == pytest.approx(s[i, j].max())
+    assert topics.candidate_pairs(df.limit(1)).count() == 0 and topics.candidate_pairs(df.limit(0)).count() == 0
+
+
 def test_silhouette_in_passes(spark):
     rng = np.random.default_rng(4)
     df = spark.createDataFrame([(i, int(rng.integers(0, 9)), rng.normal(size=3).tolist()) for i in range(80)], "id int, l int, v array<double>")
