@@ -173,9 +173,10 @@ def reliabilities(votes: DataFrame, tolerance: float = 1e-4, most: int = 200, se
     blocks = checkpointed(packed_votes(items if items is not None else items_of(votes)))
     start = votes.select("field_name", "annotator").distinct().select("*", F.lit(1000 * START).alias("total"), F.lit(1000.0).alias("n"), F.lit(0.0).alias("ways"))
     state = checkpointed(start.withColumn("reliability", F.lit(START)))
+    table_ = _sent(state, sent)
     for _ in range(most):
-        known = sc.broadcast(_sent(state, sent))
-        rows = blocks if known.value is not None else _joined(blocks, "block", ["field_name", "annotator"], state.drop("reliability"))
+        known = sc.broadcast(table_)
+        rows = blocks if table_ is not None else _joined(blocks, "block", ["field_name", "annotator"], state.drop("reliability"))
 
         def run(batches: Iterator[pd.DataFrame], known=known) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -190,17 +191,38 @@ def reliabilities(votes: DataFrame, tolerance: float = 1e-4, most: int = 200, se
                     pairs = pd.DataFrame({"field_name": field, "annotator": None, "total": agree, "n": every})
                     yield pd.concat([people.assign(total=total, n=n), pairs]).groupby(["field_name", "annotator"], as_index=False, dropna=False).sum()
 
-        sums = checkpointed(rows.mapInPandas(run, "field_name string, annotator string, total double, n double").groupBy("field_name", "annotator").agg(F.sum("total").alias("total"), F.sum("n").alias("n")))
-        ways = sums.filter("annotator IS NULL").select("field_name", F.greatest(F.ln((F.col("n") + 1) / (F.col("total") + 1)), F.lit(0.0)).alias("ways"))
-        share = F.coalesce(F.try_divide("total", "n"), F.lit(START))
-        was = state.select("field_name", "annotator", F.col("reliability").alias("_was"), F.col("ways").alias("_ways"))
-        new = sums.filter("annotator IS NOT NULL").join(ways, "field_name").join(was, ["field_name", "annotator"]).withColumn("reliability", share)
-        moved = F.greatest(F.abs(F.col("reliability") - F.col("_was")), F.abs(F.col("ways") - F.col("_ways")))
-        state = checkpointed(new.select("field_name", "annotator", "total", "n", "ways", "reliability", moved.alias("moved")))
-        if (state.agg(F.max("moved")).first()[0] or 0.0) < tolerance:
-            return state.drop("moved")
-        state = state.drop("moved")
-    raise RuntimeError(f"messages did not settle in {most} rounds")
+        sums = rows.mapInPandas(run, "field_name string, annotator string, total double, n double").groupBy("field_name", "annotator").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+        if table_ is not None:
+            table_, moved = _updated(table_, sums.collect())  # a row per annotator and field, at most as many as were sent
+        else:
+            state, moved = _updated_frame(state, checkpointed(sums))
+        if moved < tolerance:
+            break
+    else:
+        raise RuntimeError(f"messages did not settle in {most} rounds")
+    if table_ is None:
+        return state
+    kinds = "field_name string, annotator string, total double, n double, ways double, reliability double"
+    return votes.sparkSession.createDataFrame([(*who, *x, x[0] / x[1] if x[1] else START) for who, x in table_.items()], kinds)
+
+
+def _updated(known: dict, sums: list) -> tuple[dict, float]:
+    """The annotators' sums after a round, and the most that a reliability or a field's ways moved by."""
+    pairs = {r["field_name"]: (r["total"], r["n"]) for r in sums if r["annotator"] is None}
+    ways = {f: max(float(np.log((n + 1) / (agree + 1))), 0.0) for f, (agree, n) in pairs.items()}
+    new = {(r["field_name"], r["annotator"]): (r["total"], r["n"], ways[r["field_name"]]) for r in sums if r["annotator"] is not None}
+    share = lambda x: x[0] / x[1] if x[1] else START
+    return new, max((max(abs(share(x) - share(known[who])), abs(x[2] - known[who][2])) for who, x in new.items()), default=0.0)
+
+
+def _updated_frame(state: DataFrame, sums: DataFrame) -> tuple[DataFrame, float]:
+    """The same for annotators that are too many to be sent."""
+    ways = sums.filter("annotator IS NULL").select("field_name", F.greatest(F.ln((F.col("n") + 1) / (F.col("total") + 1)), F.lit(0.0)).alias("ways"))
+    was = state.select("field_name", "annotator", F.col("reliability").alias("_was"), F.col("ways").alias("_ways"))
+    new = sums.filter("annotator IS NOT NULL").join(ways, "field_name").join(was, ["field_name", "annotator"]).withColumn("reliability", F.coalesce(F.try_divide("total", "n"), F.lit(START)))
+    moved = F.greatest(F.abs(F.col("reliability") - F.col("_was")), F.abs(F.col("ways") - F.col("_ways")))
+    out = checkpointed(new.select("field_name", "annotator", "total", "n", "ways", "reliability", moved.alias("moved")))
+    return out.drop("moved"), out.agg(F.max("moved")).first()[0] or 0.0
 
 
 def consensus(votes: DataFrame, sent: int = SENT) -> DataFrame:
