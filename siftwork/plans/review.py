@@ -65,7 +65,7 @@ def sites_in_range(spark, d):
     c = table(spark, d, "extraction_candidates").distinct()
     models = c.groupBy("source_model").agg(F.avg("confidence").alias("m")).agg(F.min("m").alias("low"), F.max("m").alias("high"))
     sites = c.groupBy("site_code").agg(F.avg("confidence").alias("mean_confidence"))
-    return round_all(sites.join(F.broadcast(models)).select("site_code", "mean_confidence", T.range_label(F.round("mean_confidence", 6), F.round("low", 6), F.round("high", 6)).alias("place")))
+    return round_all(sites.join(F.broadcast(models)).select("site_code", "mean_confidence", T.range_label(F.round("mean_confidence", 11), F.round("low", 11), F.round("high", 11)).alias("place")), 11)
 
 
 # Readers and record levels
@@ -336,7 +336,7 @@ SQL = {
     "nested_json": f"SELECT record_id, 'record_id,inner,texts,n' AS keys, md5(record_id || '¦' || coalesce(finding, '') || '¦' || coalesce(scene, '') || '¦1') AS scalars_md5, 3 AS n_strings, json_type({JSON_CELL}) = 'OBJECT' AS is_object, json_type({JSON_CELL}) = 'ARRAY' AS is_array, len(list_filter({LISTED}, lambda x: {n_('x')} <> ''))::INT AS n_listed FROM structured_records",
     "concise_findings": f"WITH a AS (SELECT record_id, {s_('finding')} AS x FROM structured_records), b AS (SELECT record_id, {short_('x')} AS x FROM a), c AS (SELECT *, list_filter(list_transform(regexp_split_to_array(regexp_replace(x, '([。！？；])', '\\1' || chr(10), 'g'), '[\\r\\n]+'), lambda p: {s_('p')}), lambda p: p <> '') AS s FROM b) SELECT record_id, CASE WHEN length(x) <= 24 THEN x ELSE {s_('substr(coalesce(s[1], x), 1, 24)')} END AS short FROM c",
     "extraction_records": f"WITH f AS (SELECT record_id, record_id AS gold_record_id, raw_record_id, {n_('finding')} AS f, {n_('scene')} AS s, array_to_string({objects_('object')}, '¦') AS object FROM structured_records) SELECT record_id, gold_record_id, raw_record_id, CASE WHEN lower(f) = 'nan' THEN '' ELSE f END AS finding, CASE WHEN lower(s) = 'nan' THEN '' ELSE s END AS scene, '' AS risk_scene, object FROM f",
-    "sites_in_range": "WITH c AS (SELECT DISTINCT * FROM extraction_candidates), m AS (SELECT round(min(m), 6) AS low, round(max(m), 6) AS high FROM (SELECT avg(confidence) AS m FROM c GROUP BY source_model)), s AS (SELECT site_code, round(avg(confidence), 6) AS mean_confidence FROM c GROUP BY 1) SELECT site_code, mean_confidence, CASE WHEN mean_confidence < low THEN 'below' WHEN mean_confidence > high THEN 'above' WHEN mean_confidence IS NOT NULL THEN 'within' END AS place FROM s, m",
+    "sites_in_range": "WITH c AS (SELECT DISTINCT * FROM extraction_candidates), m AS (SELECT round(min(m), 11) AS low, round(max(m), 11) AS high FROM (SELECT avg(confidence) AS m FROM c GROUP BY source_model)), s AS (SELECT site_code, round(avg(confidence), 11) AS mean_confidence FROM c GROUP BY 1) SELECT site_code, mean_confidence, CASE WHEN mean_confidence < low THEN 'below' WHEN mean_confidence > high THEN 'above' WHEN mean_confidence IS NOT NULL THEN 'within' END AS place FROM s, m",
     "provider_units": f"WITH {PUNITS} SELECT source_model, count(*) AS n_units, count(*) FILTER ({EFFECTIVE}) AS n_effective FROM pu GROUP BY 1",
     "ablation_channels": f"WITH {UNITS}, {PUNITS} " + " UNION ALL ".join([f"SELECT '{e}' AS experiment_id, record_id, concat_ws(' | ', {', '.join(piece(f) for f in fields)}) AS input_text FROM u" for e, fields in C.VOTED.items()] + [f"SELECT '{e}-' || source_model, record_id, concat_ws(' | ', {', '.join(piece(f) for f in fields)}) FROM pu WHERE {EFFECTIVE}" for e, fields in C.SINGLE.items()]),
     "provider_record_levels": f"""WITH {GROUPS}, {PUNITS}, ua AS (SELECT pu.*, md5(source_model || chr(31) || {n_('raw_text')} || chr(31) || {n_('finding')}) AS k, (len(object) > 0)::INT AS o, ({n_('scene')} <> '')::INT AS s FROM pu JOIN (SELECT DISTINCT canon FROM g) c ON c.canon = pu.raw_record_id WHERE {EFFECTIVE}),
