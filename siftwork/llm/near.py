@@ -126,9 +126,10 @@ def token_counts(tokens: DataFrame, t: float) -> tuple[np.ndarray, int]:
 def placed_sets(tokens: DataFrame, t: float) -> tuple[DataFrame, int]:
     """The distinct sets with what the search needs of them, and how many tree entries they have at most.
 
-    Added to ``field_name, digest, tokens`` are ``id``, the size ``n``, the ``map`` and ``trees``:
-    a number per field and shard for each shard that the set asks, of which the trees of the first
-    ``hold`` hold it. Two trees with the same number are searched as one, which changes no result.
+    Columns are ``id, field_name, digest``, the size ``n``, the ``map`` and ``trees``: a number per
+    field and shard for each shard that the set asks, of which the trees of the first ``hold`` hold
+    it. Two trees with the same number are searched as one, which changes no result. Tokens are not
+    moved: only what the search needs is.
     """
     counts, entries = token_counts(tokens, t)
     shared = tokens.sparkSession.sparkContext.broadcast(counts)
@@ -156,11 +157,10 @@ def placed_sets(tokens: DataFrame, t: float) -> tuple[DataFrame, int]:
                 row, place, tree = row[first], place[first], tree[first]
                 order = np.lexsort((place, row))
                 hold = np.bincount(row[place < held[row]], minlength=len(b))
-                yield b.assign(n=size, map=[m.tobytes() for m in maps], trees=split_at(tree[order], row[order], len(b)), hold=hold)
+                yield b[["field_name", "digest"]].assign(n=size, map=[m.tobytes() for m in maps], trees=split_at(tree[order], row[order], len(b)), hold=hold)
 
-    sets = tokens.groupBy("field_name", "digest").agg(F.first("tokens").alias("tokens"))
-    placed = sets.mapInPandas(run, "field_name string, digest binary, tokens array<bigint>, n int, map binary, trees array<bigint>, hold int")
-    return checkpointed(placed).withColumn("id", F.monotonically_increasing_id()), entries
+    placed = tokens.select("field_name", "digest", "tokens").mapInPandas(run, "field_name string, digest binary, n int, map binary, trees array<bigint>, hold int")
+    return checkpointed(placed.dropDuplicates(["field_name", "digest"])).withColumn("id", F.monotonically_increasing_id()), entries
 
 
 def far(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -350,18 +350,17 @@ def search_shuffled(sets: DataFrame, t: float) -> DataFrame:
     return met.mapInPandas(run, "a bigint, b bigint").distinct()
 
 
-#: Candidates up to which their ids are sent to the sets; beyond it the sets are shuffled to them.
-FEW = 500_000
+#: Candidates up to which their ids and digests are sent to the sets; beyond it they meet by shuffle.
+FEW = 200_000
 
 
 def similar_sets(tokens: DataFrame, t: float) -> DataFrame:
     """``field_name, a, b, similarity`` of all pairs of digests of distinct token sets with at least ``t``."""
     sets, entries = placed_sets(tokens, t)
     found = checkpointed((search_sent if entries <= SENT else search_shuffled)(sets, t))
-    slim = sets.select("id", "field_name", "digest", "tokens")
-    if found.count() <= FEW:
-        wanted = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        slim = slim.join(F.broadcast(wanted), "id", "left_semi")
+    sent = F.broadcast if found.count() <= FEW else lambda df: df
+    wanted = sets.select("id", "field_name", "digest").join(sent(found.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "id", "left_semi")
+    slim = tokens.select("field_name", "digest", "tokens").join(sent(wanted), ["field_name", "digest"]).dropDuplicates(["id"])
     x, y = (slim.select(F.col("id").alias(s), F.col("field_name").alias(f"f{s}"), F.col("digest").alias(f"d{s}"), F.col("tokens").alias(f"t{s}")) for s in "ab")
     shared = F.size(F.array_intersect("ta", "tb"))
     sim = shared / (F.size("ta") + F.size("tb") - shared)
