@@ -203,9 +203,11 @@ class Forest:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"sets": None}
 
-    def search(self, tree: np.ndarray, asker: np.ndarray, size: np.ndarray, maps: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, at: np.ndarray, asker: np.ndarray, size: np.ndarray, maps: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
         """(asker, member) within reach, members no larger than the asker; ``size`` and ``maps`` are by asker.
 
+        ``at`` are the places in ``trees`` of the trees that are asked.
+
         An asker of size s reaches a member of size m at a distance of at most s + m less twice the
         overlap they need; with the distance d to a node it follows the edges from d less that to d
         more than that.
@@ -213,9 +215,6 @@ class Forest:
         none = np.empty(0, np.int64)
         found_q, found_m = [none], [none]
         own_size, own_maps, _ = self.sets
-        at = np.minimum(np.searchsorted(self.trees, tree), len(self.trees) - 1)
-        here = self.trees[at] == tree
-        asker, at = asker[here], at[here]
         for s in range(0, len(asker), AT_ONCE):
             q, base = asker[s : s + AT_ONCE], at[s : s + AT_ONCE] * self.span
             lo, hi = base + np.ceil(t * size[q] - 1e-9).astype(np.int64), base + np.minimum(size[q], self.span - 1)
@@ -245,15 +244,29 @@ def _need(t: float, most: int) -> np.ndarray:
     return np.ceil(t / (1 + t) * np.arange(most + 1) - 1e-9).astype(np.int64)
 
 
-def _pairs(ids: np.ndarray, size: np.ndarray, maps: np.ndarray, tree: np.ndarray, asker: np.ndarray, forests: list[Forest], t: float) -> pd.DataFrame:
-    """Distinct pairs ``a, b`` of ids; of two equal sizes the one with the larger id asks."""
-    out = []
-    for f in forests:
-        q, m = f.search(tree, asker, size, maps, t)
-        a, b = ids[q], f.sets[2][m]
-        keep = (f.sets[0][m] < size[q]) | (b < a)
-        out.append(pd.DataFrame({"a": a[keep], "b": b[keep]}))
-    return pd.concat(out, ignore_index=True).drop_duplicates() if out else pd.DataFrame(columns=["a", "b"])
+class Forests:
+    """Several forests and where each tree stands; a tree is in one of them."""
+
+    def __init__(self, forests: list[Forest]):
+        self.forests = forests
+        trees = np.concatenate([f.trees for f in forests])
+        order = np.argsort(trees)
+        self.trees = trees[order]
+        self.which = np.repeat(np.arange(len(forests)), [len(f.trees) for f in forests])[order]
+        self.place = np.concatenate([np.arange(len(f.trees)) for f in forests])[order]
+
+    def pairs(self, ids: np.ndarray, size: np.ndarray, maps: np.ndarray, tree: np.ndarray, asker: np.ndarray, t: float) -> pd.DataFrame:
+        """Distinct pairs ``a, b`` of ids; of two equal sizes the one with the larger id asks."""
+        at = np.minimum(np.searchsorted(self.trees, tree), len(self.trees) - 1)
+        here = self.trees[at] == tree
+        at, asker, out = at[here], asker[here], []
+        for k, f in enumerate(self.forests):
+            own = self.which[at] == k
+            q, m = f.search(self.place[at[own]], asker[own], size, maps, t)
+            a, b = ids[q], f.sets[2][m]
+            keep = (f.sets[0][m] < size[q]) | (b < a)
+            out.append(pd.DataFrame({"a": a[keep], "b": b[keep]}))
+        return pd.concat(out, ignore_index=True).drop_duplicates()
 
 
 def _maps(packed: pd.Series) -> np.ndarray:
@@ -296,11 +309,12 @@ def search_sent(sets: DataFrame, t: float) -> DataFrame:
         forests = [pickle.loads(x) for x in trees.value]
         for f in forests:
             f.sets = known.value
+        every = Forests(forests) if forests else None
         for b in batches:
-            if len(b):
+            if len(b) and every:
                 own = np.searchsorted(ids, b["id"].to_numpy())
                 asker = np.repeat(np.arange(len(b)), b["trees"].map(len))
-                yield _pairs(ids[own], size[own], maps[:, own], np.concatenate(b["trees"].to_list()), asker, forests, t)
+                yield every.pairs(ids[own], size[own], maps[:, own], np.concatenate(b["trees"].to_list()), asker, t)
 
     return sets.select("id", "trees").mapInPandas(run, "a bigint, b bigint")
 
@@ -325,7 +339,7 @@ def search_shuffled(sets: DataFrame, t: float) -> DataFrame:
         tree = _mixed(tree ^ block).view(np.int64) if block.any() else tree
         table = (members["n"].to_numpy(np.int64), _maps(members["map"]), members["id"].to_numpy())
         forest = Forest(tree[df["held"].to_numpy()], np.arange(len(members)), table)
-        return _pairs(askers["id"].to_numpy(), askers["n"].to_numpy(np.int64), _maps(askers["map"]), tree[~df["held"].to_numpy()], np.arange(len(askers)), [forest], t)
+        return Forests([forest]).pairs(askers["id"].to_numpy(), askers["n"].to_numpy(np.int64), _maps(askers["map"]), tree[~df["held"].to_numpy()], np.arange(len(askers)), t)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting, n = [], 0
